@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.functions import skew
@@ -305,3 +305,252 @@ def density_on_grid(df: DataFrame, keys: Sequence[str], value: str, lo: float, h
     return g.groupBy(*keys, "grid").agg(
         (F.sum(F.col("c") * F.exp(-u * u / 2)) / (F.max("__n") * F.max("__h") * F.sqrt(2 * F.pi()))).alias("density")
     )
+
+
+def duplicate_audit(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Keys held by several rows and the columns in which those rows differ (a NULL beside a value differs too)."""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for c in columns:
+        differs = (F.min(c) != F.max(c)) | ((F.count(c) > 0) & (F.count(c) < F.count(F.lit(1))))
+        aggs.append(F.coalesce(differs, F.lit(False)).alias(f"__d_{c}"))
+    found = df.groupBy(*keys).agg(*aggs).filter("n > 1")
+    names = F.array_compact(F.array(*[F.when(F.col(f"__d_{c}"), F.lit(c)) for c in columns]))
+    return found.select(*keys, "n", F.explode(names).alias("col"))
+
+
+def epoch_audit(df: DataFrame, keys: Sequence[str], group: str, first: int, length: int) -> DataFrame:
+    """Per group: keys, repeated keys and keys whose frame range leaves ``[first, length)``."""
+    per = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min("trace_start_idx").alias("a"), F.max("trace_end_idx").alias("z")
+    )
+    outside = (F.col("a") < first) | (F.col("a") > F.col("z")) | (F.col("z") >= length)
+    return per.groupBy(group).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("n") > 1).alias("n_repeated"),
+        F.count_if(outside).alias("n_outside"),
+    )
+
+
+def rename_feedback(df: DataFrame, session: Sequence[str], waits: Column) -> DataFrame:
+    """Name the first feedback epoch ``Feedback Start``: the wait where a session has one, else reward or punishment."""
+    flag = df.groupBy(*session).agg(F.bool_or(waits).alias("HasFeedbackWait"))
+    out = skew.attach(df, flag, session)
+    has = F.col("HasFeedbackWait")
+    starts = (has & (F.col("epoch") == "Feedback Wait")) | (~has & F.col("epoch").isin("Reward", "Punishment"))
+    return out.withColumn("epoch", F.when(starts, "Feedback Start").otherwise(F.col("epoch")))
+
+
+def merge_feedback(df: DataFrame, trial: Sequence[str], fps: float) -> DataFrame:
+    """Stretch ``Feedback Start`` to the end of the trial's reward or punishment and drop the latter."""
+    late = F.col("epoch").isin("Reward", "Punishment")
+    per = df.groupBy(*trial).agg(
+        F.bool_or(F.col("epoch") == "Feedback Start").alias("__fs"),
+        F.max(F.when(late, F.col("trace_end_idx"))).alias("__z"),
+    )
+    out = skew.attach(df, per, trial)
+    merges = F.col("HasFeedbackWait") & F.col("__fs") & F.col("__z").isNotNull()
+    start = merges & (F.col("epoch") == "Feedback Start")
+    out = out.filter(~(merges & late))
+    return out.withColumns(
+        {
+            "epoch_time": F.when(start, (F.col("__z") - F.col("trace_start_idx") + 1) / F.lit(fps)).otherwise(
+                F.col("epoch_time")
+            ),
+            "trace_end_idx": F.when(start, F.col("__z")).otherwise(F.col("trace_end_idx")),
+        }
+    ).drop("__fs", "__z")
+
+
+def typical_band(df: DataFrame, session: Sequence[str], time: str, tolerance: float) -> DataFrame:
+    """Trials near their session's 45–55 % times and near the overall median of those."""
+    q = skew.exact_percentiles(df, session, time, {"__lo": 0.45, "__hi": 0.55})
+    mid = skew.attach(df, q, session, how="inner")
+    mid = mid.filter(F.col(time).between(F.col("__lo") - tolerance, F.col("__hi") + tolerance)).drop("__lo", "__hi")
+    med = skew.exact_percentiles(mid, [], time, {"__m": 0.5})
+    out = skew.attach(mid, med, [], how="inner")
+    return out.filter(F.col(time).between(F.col("__m") - tolerance, F.col("__m") + tolerance)).drop("__m")
+
+
+def split_by(df: DataFrame, keys: Sequence[str]):
+    """Grouping that drops rows with a NULL key."""
+    return df.dropna(subset=list(keys)).groupBy(*keys)
+
+
+def regroup(branches: dict[str, DataFrame], tag: str) -> DataFrame:
+    """Put branch results together under a tag column."""
+    parts = [d.withColumn(tag, F.lit(n)) for n, d in branches.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+class SplitLevel:
+    """Flags that name the grouping columns of an average; session and subject exclude each other."""
+
+    SESSION, ANIMAL, REGION, LAYER, SAMPLING, STIMULUS, QUANTILE, DIRECTION, DURATION = (1 << i for i in range(9))
+
+
+_SPLIT_COLUMNS = {
+    SplitLevel.SESSION: ["Name", "SessionNum"],
+    SplitLevel.ANIMAL: ["Name"],
+    SplitLevel.REGION: ["Region"],
+    SplitLevel.LAYER: ["Layer"],
+    SplitLevel.SAMPLING: ["SamplingType"],
+    SplitLevel.STIMULUS: ["Stimulus"],
+    SplitLevel.QUANTILE: ["quantile_idx"],
+    SplitLevel.DIRECTION: ["ChoiceLeft"],
+    SplitLevel.DURATION: ["DurationBin"],
+}
+
+
+def split_columns(level: int) -> list[str]:
+    if level & SplitLevel.SESSION and level & SplitLevel.ANIMAL:
+        raise ValueError("split by session or by subject, not both")
+    return [c for flag, cols in _SPLIT_COLUMNS.items() if level & flag for c in cols]
+
+
+def condition_label(df: DataFrame, outcome=False, direction=False, evidence=False, speed=False) -> DataFrame:
+    """A readable group label from the chosen condition columns."""
+    parts = []
+    if outcome:
+        parts.append(F.when(F.col("ChoiceCorrect") == 1, "Correct").otherwise("Incorrect"))
+    if direction:
+        parts.append(F.when(F.col("ChoiceLeft") == 1, "Left").otherwise("Right"))
+    if evidence:
+        parts.append(F.col("DVstr"))
+    if speed:
+        parts.append(F.element_at(F.array(*map(F.lit, ("Fast", "Typical", "Slow"))), F.col("quantile_idx").cast("int")))
+    return df.withColumn("label", F.concat_ws(" / ", *parts))
+
+
+def combinations(df: DataFrame, columns: Sequence[str], combos: dict[str, Sequence[str]], aggs) -> DataFrame:
+    """All named groupings in one pass with grouping sets, tagged by ``combination``."""
+    level = {n: sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in cols) for n, cols in combos.items()}
+    g = df.groupingSets([list(c) for c in combos.values()], *columns).agg(F.grouping_id().alias("__g"), *aggs)
+    tag = F.lit(None).cast("string")
+    for n, code in level.items():
+        tag = F.when(F.col("__g") == code, n).otherwise(tag)
+    return g.withColumn("combination", tag).drop("__g")
+
+
+def evidence_quantile_bin(df: DataFrame, parts: int) -> DataFrame:
+    """Bins of absolute evidence with equal counts; equal edges fall together."""
+    d = df.withColumn("__a", F.abs("DV"))
+    edges = skew.exact_percentiles(d, [], "__a", {f"__e{i}": i / parts for i in range(1, parts)})
+    out = skew.attach(d, edges, [])
+    idx = F.lit(parts).cast("long")
+    for i in range(parts - 1, 0, -1):
+        idx = F.when(F.col("__a") <= F.col(f"__e{i}"), F.lit(i).cast("long")).otherwise(idx)
+    return out.withColumn("bin", idx).drop("__a", *[f"__e{i}" for i in range(1, parts)])
+
+
+def assigned_difficulty(df: DataFrame, rdk: Column, combine_sides: bool) -> DataFrame:
+    """Easy, Medium or Hard by matching the evidence percent with the session's difficulty settings."""
+    p = F.round(F.col("DV") * 100)
+    p = F.when(rdk, p).otherwise(p / 2)
+    p = F.abs(p) if combine_sides else p
+    hard = (p == F.col("Difficulty3")) | (p == F.col("Difficulty4"))
+    label = F.when(p == F.col("Difficulty1"), "Easy").when(p == F.col("Difficulty2"), "Medium").when(hard, "Hard")
+    return df.withColumn("difficulty", label)
+
+
+def reward_rate_group_curve(curve: DataFrame, min_trials: int, exclude_bins: Sequence[int], timeout: float | None = None):
+    to = F.col("GUI_TimeOutIncorrectChoice")
+    c = curve.filter(to.isNull() if timeout is None else to == timeout)
+    c = c.filter((F.col("n_trials") >= min_trials) & ~F.col("bin").isin(list(exclude_bins)))
+    return c.groupBy("bin").agg(
+        rnd(F.avg("rt_mean")).alias("rt_mean"), rnd(sem("rt_mean")).alias("rt_sem"), F.count(F.lit(1)).alias("n_subjects")
+    )
+
+
+def by_speed(df: DataFrame, unit: Sequence[str], value: str) -> DataFrame:
+    """One row per unit with the mean of ``value`` in each speed class."""
+    cells = {n: F.avg(F.when(F.col("quantile_idx") == q, F.col(value))) for q, n in enumerate(("fast", "typical", "slow"), 1)}
+    return df.groupBy(*unit).agg(*[c.alias(n) for n, c in cells.items()])
+
+
+def paired_t(a: Column, b: Column) -> Column:
+    """Paired t statistic as an aggregate over rows."""
+    return F.avg(a - b) / F.nullif(F.stddev_samp(a - b) / F.sqrt(F.count(a - b)), F.lit(0.0))
+
+
+def stay_matrix(df: DataFrame) -> DataFrame:
+    """Previous outcome × current difficulty (and their total): subjects first, then means over subjects."""
+    d = df.filter(F.col("PrevChoiceCorrect").isNotNull())
+    s = d.groupingSets(
+        [["Name", "PrevChoiceCorrect", "DVstr"], ["Name", "PrevChoiceCorrect"]], "Name", "PrevChoiceCorrect", "DVstr"
+    ).agg(
+        (100 * F.avg("Stay")).alias("st"),
+        (100 * F.avg("StayBaseline")).alias("sb"),
+        (100 * F.avg("ChoiceCorrect")).alias("pf"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    totals = df.groupBy("Name").agg(F.count(F.lit(1)).alias("total"))
+    u = F.col("st") - F.col("sb")
+    return (
+        s.join(totals, "Name")
+        .withColumn("difficulty", F.coalesce("DVstr", F.lit("Total")))
+        .groupBy("PrevChoiceCorrect", "difficulty")
+        .agg(
+            rnd(F.avg(u)).alias("stay_update"),
+            rnd(sem(u)).alias("stay_update_sem"),
+            rnd(F.avg("st")).alias("stay"),
+            rnd(F.avg("sb")).alias("stay_ref"),
+            rnd(F.avg("pf")).alias("performance"),
+            rnd(F.avg(100 * F.col("n") / F.col("total"))).alias("trials_percent"),
+            F.sum("n").alias("n_trials"),
+        )
+    )
+
+
+def prior_current_cells(df: DataFrame, eps: float = 1e-6) -> DataFrame:
+    """Eight cells of previous outcome, current and previous difficulty: subject means of time and shifted log time."""
+    lowest = df.agg(F.min("calcStimulusTime").alias("__min"))
+    shift = F.when(F.col("__min") <= 0, F.lit(eps) - F.col("__min")).otherwise(0.0)
+    keys = ["PrevChoiceCorrect", "DVstr", "PrevDVstr"]
+    d = df.filter("PrevChoiceCorrect is not null and DVstr in ('Easy', 'Hard') and PrevDVstr in ('Easy', 'Hard')")
+    d = skew.attach(d, lowest, [])
+    s = d.groupBy(*keys, "Name").agg(
+        F.avg("calcStimulusTime").alias("t"), F.avg(F.ln(F.col("calcStimulusTime") + shift)).alias("l"), F.count(F.lit(1)).alias("n")
+    )
+    return s.groupBy(*keys).agg(
+        rnd(F.avg("t")).alias("time"),
+        rnd(F.avg("l")).alias("log_time"),
+        rnd(F.avg("n")).alias("trials"),
+        rnd(sem("n")).alias("trials_sem"),
+        F.count(F.lit(1)).alias("n_subjects"),
+    )
+
+
+def chronometry_cells(df: DataFrame, points: Sequence[float], edges: Sequence[float], tolerance: float = 0.001):
+    """Trials at the minimum-sampling points (± tolerance) with their evidence bin."""
+    at = F.lit(None).cast("double")
+    for p in points:
+        at = F.when(F.col("MinSample").between(p - tolerance, p + tolerance), F.lit(p)).otherwise(at)
+    d = df.filter(F.col("ChoiceCorrect").isNotNull()).withColumn("MinSample", at)
+    return d.withColumn("bin", bucket(F.abs("DV"), edges)).filter("bin is not null and MinSample is not null")
+
+
+def fast_slow_pairs(df: DataFrame, edges: Sequence[float]) -> DataFrame:
+    """Accuracy of fast and slow trials side by side per evidence bin and subject."""
+    d = df.filter(F.col("ChoiceCorrect").isNotNull()).withColumn("bin", bucket(F.col("DV"), edges)).filter("bin is not null")
+    cell = {n: F.avg(F.when(F.col("quantile_idx") == q, F.col("ChoiceCorrect"))) for n, q in (("fast", 1), ("slow", 3))}
+    return d.groupBy("bin", "Name").agg(*[c.alias(n) for n, c in cell.items()])
+
+
+def outcome_copies(df: DataFrame) -> DataFrame:
+    """Each trial twice, once without punishment epochs (correct) and once without reward epochs (incorrect)."""
+    twice = df.withColumn("ChoiceCorrect", F.explode(F.array(F.lit(1), F.lit(0))))
+    keep = F.when(F.col("ChoiceCorrect") == 1, ~F.col("epoch").contains("Punish")).otherwise(~F.col("epoch").contains("Reward"))
+    word = F.when(F.col("ChoiceCorrect") == 1, " Reward").otherwise(" Punish")
+    return twice.filter(keep).withColumn("trial", F.concat(F.col("TrialNumber").cast("string"), word))
+
+
+def distinct_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Subjects, sessions and trials per key; sessions are collapsed first so each shuffle stays small."""
+    sess = df.groupBy(*keys, "Name", "SessId").agg(F.count(F.lit(1)).alias("n"))
+    subj = sess.groupBy(*keys, "Name").agg(F.count(F.lit(1)).alias("s"), F.sum("n").alias("n"))
+    return subj.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_subjects"), F.sum("s").alias("n_sessions"), F.sum("n").alias("n_trials")
+    )

@@ -66,6 +66,21 @@ def trials(spark: SparkSession, sf: str) -> DataFrame:
 SESS = ["Name", "SessionNum"]
 
 
+def ev_epochs(spark: SparkSession, sf: str) -> DataFrame:
+    """Epoch rows of one-day trials, one epoch per event."""
+    return ev(spark, sf).selectExpr(
+        "event_id",
+        "concat('S', user_id) as Name",
+        "sess as SessionNum",
+        "dayofmonth(ts) as TrialNumber",
+        """case event_type when 'signup' then 'Pre-Trial Start' when 'purchase' then 'Reward' when 'view' then 'Punishment'
+           when 'click' then 'Decision Time' else 'Feedback Wait' end as epoch""",
+        "cast(k as bigint) as trace_start_idx",
+        "cast(k + floor(value) as bigint) as trace_end_idx",
+        "value / 50.0D as epoch_time",
+    )
+
+
 def trials_prev(spark: SparkSession, sf: str) -> DataFrame:
     return windows.previous_trial(trials(spark, sf), SESS)
 
@@ -120,10 +135,10 @@ def epochs(spark: SparkSession, sf: str) -> DataFrame:
         .selectExpr("*", "8 * (t - 1) as b", "2 + t % 3 as L", "t % 2 as cl", "cast(if(t % 4 != 3, 1, 0) as bigint) as cc")
         .selectExpr(
             "*",
-            """inline(array(
-                struct('Pre-Trial Start' as epoch, 1L as state_id, b as trace_start_idx, b as trace_end_idx),
-                struct('Sampling', 2L, b + 1, b + L), struct('Movement to Lateral Port', 3L, b + L + 1, b + L + 1),
-                struct(if(cc = 1, 'Reward', 'Timeout Punishment'), 4L, b + L + 2, b + 7)))""",
+            """stack(4, 'Pre-Trial Start', 1L, b, b, 'Sampling', 2L, b + 1, b + L,
+                'Movement to Lateral Port', 3L, b + L + 1, b + L + 1,
+                if(cc = 1, 'Reward', 'Timeout Punishment'), 4L, b + L + 2, b + 7)
+               as (epoch, state_id, trace_start_idx, trace_end_idx)""",
         )
         .selectExpr(
             "ShortName",

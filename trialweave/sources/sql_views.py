@@ -7,7 +7,7 @@ import re
 
 def rnd(expr: str) -> str:
     """Nine-decimal rounding without a negative zero."""
-    return f"(round({expr}, 9) + 0.0)"
+    return f"(round(CAST({expr} AS DOUBLE), 9) + 0.0::DOUBLE)"
 
 
 def streak_sql(src: str, pos: str = "TrialNumber", keep: str = "*") -> str:
@@ -58,6 +58,11 @@ def learn_sql(applies: str, rate: float) -> str:
 VIEWS: dict[str, str] = {
     "ev": """SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k,
         CAST(floor((least(day(ts), 30) - 1) / 10.0) AS INT) + 1 AS sess FROM events""",
+    "ev_epochs": """SELECT event_id, 'S' || user_id AS Name, sess AS SessionNum, CAST(day(ts) AS INT) AS TrialNumber,
+        CASE event_type WHEN 'signup' THEN 'Pre-Trial Start' WHEN 'purchase' THEN 'Reward' WHEN 'view' THEN 'Punishment'
+          WHEN 'click' THEN 'Decision Time' ELSE 'Feedback Wait' END AS epoch,
+        CAST(k AS BIGINT) AS trace_start_idx, CAST(k + floor(value) AS BIGINT) AS trace_end_idx,
+        value / 50.0::DOUBLE AS epoch_time FROM ev""",
     "trials": f"""SELECT event_id, 'S' || user_id AS Name,
         CASE sess WHEN 1 THEN '2024-01-01' WHEN 2 THEN '2024-01-11' ELSE '2024-01-21' END AS Date,
         sess AS SessionNum, 'S' || user_id || '_' || sess AS SessId,
