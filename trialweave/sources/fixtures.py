@@ -155,6 +155,8 @@ def epochs(spark: SparkSession, sf: str) -> DataFrame:
             "cc as ChoiceCorrect",
             "1 + t % 3 as quantile_idx",
             "if(cl = cc, 1, -1) * (1 + (t * 5 + label) % 3) / 3.0D as DV",
+            """if(t > 1, if((t - 1) % 2 = if((t - 1) % 4 != 3, 1, 0), 1, -1) * (1 + ((t - 1) * 5 + label) % 3) / 3.0D, null)
+               as PrevDV""",
             "if(t > 1, (t - 1) % 2, null) as PrevChoiceLeft",
             "if(t > 1, cast(if((t - 1) % 4 != 3, 1, 0) as bigint), null) as PrevChoiceCorrect",
             "if(label % 2 = 0, 'M2_Bi', 'ALM_Bi') as BrainRegion",
@@ -172,7 +174,7 @@ def ep_frames(spark: SparkSession, sf: str) -> DataFrame:
 def reduc(spark: SparkSession, sf: str) -> DataFrame:
     """Mean of each trace over the Sampling epoch of each trial."""
     keys = (
-        "ShortName trace_id TrialNumber ChoiceLeft ChoiceCorrect quantile_idx DV PrevChoiceLeft PrevChoiceCorrect "
+        "ShortName trace_id TrialNumber ChoiceLeft ChoiceCorrect quantile_idx DV PrevDV PrevChoiceLeft PrevChoiceCorrect "
         "BrainRegion Layer"
     ).split()
     ep = ep_frames(spark, sf).filter(F.col("epoch") == "Sampling")

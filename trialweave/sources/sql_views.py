@@ -113,6 +113,8 @@ VIEWS: dict[str, str] = {
         4.0::DOUBLE AS acq_sampling_rate, (trace_end_idx - trace_start_idx + 1) / 4.0::DOUBLE AS epoch_time, 8::BIGINT AS MaxTrial,
         cl AS ChoiceLeft, cc AS ChoiceCorrect, 1 + t % 3 AS quantile_idx,
         (CASE WHEN cl = cc THEN 1 ELSE -1 END) * (1 + (t * 5 + label) % 3) / 3.0::DOUBLE AS DV,
+        CASE WHEN t > 1 THEN (CASE WHEN (t - 1) % 2 = CASE WHEN (t - 1) % 4 <> 3 THEN 1 ELSE 0 END THEN 1 ELSE -1 END)
+          * (1 + ((t - 1) * 5 + label) % 3) / 3.0::DOUBLE END AS PrevDV,
         CASE WHEN t > 1 THEN (t - 1) % 2 END AS PrevChoiceLeft,
         CASE WHEN t > 1 THEN CASE WHEN (t - 1) % 4 <> 3 THEN 1 ELSE 0 END END AS PrevChoiceCorrect,
         CASE WHEN label % 2 = 0 THEN 'M2_Bi' ELSE 'ALM_Bi' END AS BrainRegion,
@@ -126,8 +128,25 @@ VIEWS: dict[str, str] = {
           SELECT DISTINCT 'N' || label AS ShortName, label, unnest(range(1, 9)) AS t FROM embeddings) x) y) z""",
     "ep_frames": """SELECT e.* EXCLUDE (label), f.trace_id, f.frame, f.v FROM epochs e JOIN frames f
         ON e.ShortName = f.ShortName AND f.frame BETWEEN e.trace_start_idx AND e.trace_end_idx""",
-    "reduc": """SELECT ShortName, trace_id, TrialNumber, ChoiceLeft, ChoiceCorrect, quantile_idx, DV, PrevChoiceLeft,
+    "reduc": """SELECT ShortName, trace_id, TrialNumber, ChoiceLeft, ChoiceCorrect, quantile_idx, DV, PrevDV, PrevChoiceLeft,
         PrevChoiceCorrect, BrainRegion, Layer, round(avg(v), 9) AS x FROM ep_frames WHERE epoch = 'Sampling' GROUP BY ALL""",
+    "conds": """SELECT ShortName, trace_id, BrainRegion, Layer, TrialNumber, x, q AS quantile, c.n AS data_col, c.s AS side, p.n AS prior_col, p.v AS prior_val
+      FROM (SELECT *, unnest([{'n': 'none', 'v': 'none'}, {'n': 'PrevChoiceLeft', 'v': coalesce(CAST(PrevChoiceLeft AS VARCHAR), 'null')},
+          {'n': 'PrevChoiceCorrect', 'v': coalesce(CAST(PrevChoiceCorrect AS VARCHAR), 'null')}]) AS p FROM (
+        SELECT *, unnest(['All', CAST(quantile_idx AS VARCHAR)]) AS q FROM (
+          SELECT *, unnest([{'n': 'ChoiceCorrect', 's': ChoiceCorrect = 1}, {'n': 'PrevChoiceCorrect', 's': PrevChoiceCorrect = 1},
+            {'n': 'Difficulty', 's': CASE WHEN abs(abs(DV) - 1) < 1e-6 THEN true WHEN abs(abs(DV) - 1/3.0::DOUBLE) < 1e-6 THEN false END},
+            {'n': 'PrevDifficulty', 's': CASE WHEN abs(abs(PrevDV) - 1) < 1e-6 THEN true WHEN abs(abs(PrevDV) - 1/3.0::DOUBLE) < 1e-6 THEN false END},
+            {'n': 'ChoiceLeft', 's': ChoiceLeft = 1}, {'n': 'PrevChoiceLeft', 's': PrevChoiceLeft = 1}]) AS c FROM reduc) a) b) d
+      WHERE c.s IS NOT NULL AND x IS NOT NULL""",
+    "tests": """SELECT ShortName, trace_id, BrainRegion, Layer, quantile, data_col, prior_col, prior_val, left_mean, right_mean, left_median, right_median,
+        n_left, n_right, rs - n_left * (n_left + 1) / 2.0::DOUBLE AS u, (rs - n_left * (n_left + 1) / 2.0::DOUBLE) / (n_left * n_right) AS auc
+      FROM (SELECT ShortName, trace_id, BrainRegion, Layer, quantile, data_col, prior_col, prior_val, round(avg(x) FILTER (WHERE side), 9) AS left_mean,
+          round(avg(x) FILTER (WHERE NOT side), 9) AS right_mean, round(median(x) FILTER (WHERE side), 10) AS left_median, round(median(x) FILTER (WHERE NOT side), 10) AS right_median,
+          count(*) FILTER (WHERE side) AS n_left, count(*) FILTER (WHERE NOT side) AS n_right, sum(rk) FILTER (WHERE side) AS rs
+        FROM (SELECT *, rank() OVER (PARTITION BY ShortName, trace_id, quantile, data_col, prior_col, prior_val ORDER BY x)
+            + (count(*) OVER (PARTITION BY ShortName, trace_id, quantile, data_col, prior_col, prior_val, x) - 1) / 2.0::DOUBLE AS rk FROM conds) c
+        GROUP BY ALL) g WHERE n_left > 0 AND n_right > 0""",
     "regions": """SELECT 'R' || label || (CASE WHEN vec_id % 2 = 0 THEN '_left' ELSE '_right' END) AS area_name,
         CAST(10 + label % 7 + 3 * (vec_id % 2) AS BIGINT) AS weight FROM embeddings GROUP BY ALL""",
     "region_frames": """SELECT 'R' || label AS region, CASE WHEN trace_id % 2 = 0 THEN 'left' ELSE 'right' END AS side, frame,
