@@ -4,18 +4,26 @@ from __future__ import annotations
 
 import functools
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_erf = np.frompyfunc(math.erf, 1, 1)
-_lgamma = np.frompyfunc(math.lgamma, 1, 1)
+if __name__ in sys.modules:
+    # Ship this module with the UDFs, so that workers need not be able to import the package.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def _each(fn, x) -> np.ndarray:
+    x = np.asarray(x, dtype=float)
+    return np.array([fn(v) for v in x.ravel()], dtype=float).reshape(x.shape)
 
 
 def normal_two_sided(z: np.ndarray) -> np.ndarray:
-    return 1.0 - np.asarray(_erf(np.abs(z) / math.sqrt(2.0)), dtype=float)
+    return 1.0 - _each(math.erf, np.abs(z) / math.sqrt(2.0))
 
 
 def beta_inc(a, b, x) -> np.ndarray:
@@ -40,7 +48,7 @@ def beta_inc(a, b, x) -> np.ndarray:
             h = h * c * d
     with np.errstate(divide="ignore", invalid="ignore"):
         logs = a2 * np.log(x2) + b2 * np.log1p(-x2)
-    norm = np.asarray(_lgamma(a2 + b2) - _lgamma(a2) - _lgamma(b2), dtype=float)
+    norm = _each(math.lgamma, a2 + b2) - _each(math.lgamma, a2) - _each(math.lgamma, b2)
     front = np.where((x2 <= 0) | (x2 >= 1), 0.0, np.exp(logs + norm)) / a2
     val = np.where(x2 >= 1, 1.0, front * h)
     return np.where(swap, 1 - val, val)
@@ -49,7 +57,7 @@ def beta_inc(a, b, x) -> np.ndarray:
 def gamma_tail(a, x) -> np.ndarray:
     """Upper regularised incomplete gamma function: series below a + 1, continued fraction above."""
     a, x = (np.array(v, dtype=float, copy=True) for v in np.broadcast_arrays(a, x))
-    lg = np.asarray(_lgamma(a), dtype=float)
+    lg = _each(math.lgamma, a)
     safe = np.where(x > 0, x, 1.0)
     front = np.exp(-safe + a * np.log(safe) - lg)
     term = 1 / a
@@ -133,4 +141,4 @@ def p_normal(z: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def erf(x: pd.Series) -> pd.Series:
-    return pd.Series(np.asarray(_erf(x.astype(float).to_numpy()), dtype=float))
+    return pd.Series(_each(math.erf, x.to_numpy()))

@@ -141,8 +141,8 @@ VIEWS: dict[str, str] = {
       WHERE c.s IS NOT NULL AND x IS NOT NULL""",
     "tests": """SELECT ShortName, trace_id, BrainRegion, Layer, quantile, data_col, prior_col, prior_val, left_mean, right_mean, left_median, right_median,
         n_left, n_right, rs - n_left * (n_left + 1) / 2.0::DOUBLE AS u, (rs - n_left * (n_left + 1) / 2.0::DOUBLE) / (n_left * n_right) AS auc
-      FROM (SELECT ShortName, trace_id, BrainRegion, Layer, quantile, data_col, prior_col, prior_val, round(avg(x) FILTER (WHERE side), 9) AS left_mean,
-          round(avg(x) FILTER (WHERE NOT side), 9) AS right_mean, round(median(x) FILTER (WHERE side), 10) AS left_median, round(median(x) FILTER (WHERE NOT side), 10) AS right_median,
+      FROM (SELECT ShortName, trace_id, BrainRegion, Layer, quantile, data_col, prior_col, prior_val, round(avg(x) FILTER (WHERE side), 12) AS left_mean,
+          round(avg(x) FILTER (WHERE NOT side), 12) AS right_mean, round(median(x) FILTER (WHERE side), 12) AS left_median, round(median(x) FILTER (WHERE NOT side), 12) AS right_median,
           count(*) FILTER (WHERE side) AS n_left, count(*) FILTER (WHERE NOT side) AS n_right, sum(rk) FILTER (WHERE side) AS rs
         FROM (SELECT *, rank() OVER (PARTITION BY ShortName, trace_id, quantile, data_col, prior_col, prior_val ORDER BY x)
             + (count(*) OVER (PARTITION BY ShortName, trace_id, quantile, data_col, prior_col, prior_val, x) - 1) / 2.0::DOUBLE AS rk FROM conds) c
