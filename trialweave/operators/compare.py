@@ -135,8 +135,8 @@ def neg_log_likelihood(model: str, x: Column, n: Column, p: Column, pars: Sequen
 def grid_fit(points: DataFrame, keys: Sequence[str], model: str, lo: Sequence[float], hi: Sequence[float], steps: int = 9, passes: int = 10, shrink: float = 0.45):
     """Best-fitting parameters of every key at once: a parameter grid around the best so far, shrunk at each pass.
 
-    ``points`` holds keys, ``x``, ``n``, ``p``: a handful of evidence bins per key.  They are kept as one small array, so a pass
-    is one exploded grid that is reduced map-side; no key waits for another.
+    ``points`` holds keys, ``x``, ``n``, ``p``: a handful of evidence bins per key.  A pass is one exploded
+    grid that is reduced map-side; no key waits for another.
     """
     names = MODELS[model]
     pts = points.groupBy(*keys).agg(F.collect_list(F.struct("x", "n", "p")).alias("pts"))
@@ -153,23 +153,22 @@ def grid_fit(points: DataFrame, keys: Sequence[str], model: str, lo: Sequence[fl
                 f"{float(b)}D), {float(a)}D))"
             )
             grid = grid.withColumn(n, F.explode(F.array_distinct(at)))
-        pars = [F.col(n) for n in names]
-
-        def term(acc, pt):
-            q = psychometric(model, pt["x"], pars)
-            q = F.greatest(F.least(q, F.lit(1 - eps)), F.lit(eps))
-            return acc - pt["n"] * (pt["p"] * F.ln(q) + (1 - pt["p"]) * F.ln(1 - q))
-
-        scored = grid.withColumn("nll", F.aggregate("pts", F.lit(0.0), term))
-        best = scored.groupBy(*keys).agg(F.min_by(F.struct(*names, "nll", "pts"), "nll").alias("b"))
-        cur = best.select(*keys, *[F.col(f"b.{n}").alias(n) for n in names], F.col("b.nll").alias("nll"), F.col("b.pts").alias("pts"))
-        cur = cur if k == passes - 1 else cur.drop("nll")
+        q = psychometric(model, F.col("pt.x"), [F.col(n) for n in names])
+        q = F.greatest(F.least(q, F.lit(1 - eps)), F.lit(eps))
+        p = F.col("pt.p")
+        term = F.col("pt.n") * (p * F.ln(q) + (1 - p) * F.ln(1 - q))
+        each = grid.withColumn("pt", F.explode("pts"))
+        scored = each.groupBy(*keys, *names).agg((-F.sum(term)).alias("nll"), F.first("pts").alias("pts"))
+        best = scored.groupBy(*keys).agg(
+            *[F.min_by(n, F.struct("nll", *names)).alias(n) for n in names], F.min("nll").alias("nll"), F.first("pts").alias("pts")
+        )
+        cur = best if k == passes - 1 else best.drop("nll")
     return cur.drop("pts")
 
 
 def performance_edges(fits: DataFrame, keys: Sequence[str], model: str, periods: int) -> DataFrame:
     """Evidence where a fitted curve comes nearest to equal performance steps on each side (201 points)."""
-    g = fits.withColumn("dv", F.explode(F.sequence(F.lit(-100), F.lit(100))) / F.lit(100.0))
+    g = fits.withColumn("dv", F.explode(F.sequence(F.lit(-100), F.lit(100)))).withColumn("dv", F.col("dv") / F.lit(100.0))
     g = g.withColumn("f", psychometric(model, F.col("dv"), [F.col(n) for n in MODELS[model]]))
     ends = g.groupBy(*keys).agg(
         F.max(F.when(F.col("dv") == 0, F.col("f"))).alias("mid"), F.max(F.when(F.col("dv") == 1, F.col("f"))).alias("right"), F.max(F.when(F.col("dv") == -1, F.col("f"))).alias("left")

@@ -58,9 +58,9 @@ def repeated_anova(df: DataFrame, family: Sequence[str], subject: str, condition
     """F of a balanced subject × condition design from sums of squares at four grouping levels."""
     sets = [[*family, subject], [*family, condition], [*family, subject, condition], [*family]]
     g = df.groupingSets(sets, *family, subject, condition).agg(
-        F.grouping(subject).alias("gs"), F.grouping(condition).alias("gc"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("__q"), F.count(value).alias("n")
+        F.grouping(subject).alias("gs"), F.grouping(condition).alias("gc"), F.sum(value).alias("__s_"), F.sum(F.col(value) * F.col(value)).alias("__q"), F.count(value).alias("__n_")
     )
-    part = F.col("s") * F.col("s") / F.col("n")
+    part = F.col("__s_") * F.col("__s_") / F.col("__n_")
 
     def level(gs, gc, what):
         return F.sum(F.when((F.col("gs") == gs) & (F.col("gc") == gc), what))
@@ -77,12 +77,12 @@ def repeated_anova(df: DataFrame, family: Sequence[str], subject: str, condition
 
 
 def one_way_anova(df: DataFrame, family: Sequence[str], group: str, value: str) -> DataFrame:
-    g = df.groupBy(*family, group).agg(F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("__q"), F.count(value).alias("n"))
+    g = df.groupBy(*family, group).agg(F.sum(value).alias("__s_"), F.sum(F.col(value) * F.col(value)).alias("__q"), F.count(value).alias("__n_"))
     a = g.groupBy(*family).agg(
-        F.sum(F.col("s") * F.col("s") / F.col("n")).alias("a"), F.sum("s").alias("s"), F.sum("__q").alias("__q"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")
+        F.sum(F.col("__s_") * F.col("__s_") / F.col("__n_")).alias("__a_"), F.sum("__s_").alias("__s_"), F.sum("__q").alias("__q"), F.sum("__n_").alias("__n_"), F.count(F.lit(1)).alias("__k_")
     )
-    d1, d2 = F.col("k") - 1, F.col("n") - F.col("k")
-    f = (F.col("a") - F.col("s") * F.col("s") / F.col("n")) / d1 / ((F.col("__q") - F.col("a")) / d2)
+    d1, d2 = F.col("__k_") - 1, F.col("__n_") - F.col("__k_")
+    f = (F.col("__a_") - F.col("__s_") * F.col("__s_") / F.col("__n_")) / d1 / ((F.col("__q") - F.col("__a_")) / d2)
     return a.select(*family, f.alias("f_stat"), d1.alias("df1"), d2.alias("df2"))
 
 
