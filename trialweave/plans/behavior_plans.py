@@ -93,7 +93,7 @@ def a6(spark, sf):
 
 @query("A7_result_sink", "SELECT Name, DVstr, count(*) AS n FROM trials GROUP BY ALL")
 def a7(spark, sf):
-    path = f"{tb.shared_dir(spark)}/trialweave_results/{abs(hash(sf))}"
+    path = f"{tb.shared_dir(spark)}/trialweave/{spark.sparkContext.applicationId}/results_{abs(hash(sf))}"
     tb.write_results(fx.ev(spark, sf).selectExpr(
         "concat('S', user_id) Name",
         "case when abs((k - 50) / 50.0D) >= 0.66 then 'Easy' when abs((k - 50) / 50.0D) <= 0.33 then 'Hard' else 'Med' end DVstr",
@@ -566,7 +566,7 @@ def d16(spark, sf):
         {qr('avg(fast - slow) / (stddev_samp(fast - slow) / sqrt(count(fast - slow)))')} AS t_stat FROM p""",
 )
 def d17(spark, sf):
-    wide = bh.by_speed(fx.trials_q(spark, sf).filter("quantile_idx is not null"), ["Name"], "PrevChoiceCorrect")
+    wide = bh.by_speed(fx.trials_prev_q(spark, sf).filter("quantile_idx is not null"), ["Name"], "PrevChoiceCorrect")
     cells = [c for n in ("fast", "typical", "slow") for c in (rnd(F.avg(n)).alias(n), rnd(bh.sem(n)).alias(f"{n}_sem"))]
     return wide.agg(F.count("*").alias("n_subjects"), *cells, rnd(bh.paired_t(F.col("fast"), F.col("slow"))).alias("t_stat"))
 

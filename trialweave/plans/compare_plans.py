@@ -346,7 +346,7 @@ def d51(spark, sf):
 
 
 def _points(spark, sf, keys):
-    p = bh.psychometric_points(fx.trials_q(spark, sf), keys, _PSY, "ChoiceLeft")
+    p = bh.psychometric_points(fx.trials(spark, sf), keys, _PSY, "ChoiceLeft")
     return p.select(*keys, F.col("dv").alias("x"), "n", F.col("outcome").alias("p"))
 
 

@@ -283,7 +283,7 @@ def g15(spark, sf):
 
 @query("G15_paired_t_p")
 def g15p(spark, sf):
-    b = bh.by_speed(fx.trials_q(spark, sf).filter("quantile_idx is not null"), ["Name"], "PrevChoiceCorrect")
+    b = bh.by_speed(fx.trials_prev_q(spark, sf).filter("quantile_idx is not null"), ["Name"], "PrevChoiceCorrect")
     t = b.agg(F.count(E("fast - slow")).alias("n"), bh.paired_t(F.col("fast"), F.col("slow")).alias("t_stat"))
     return t.withColumn("p", tails.p_student("t_stat", F.col("n") - 1))
 

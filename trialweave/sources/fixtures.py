@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trialweave.functions.skew import number_rows
 from trialweave.operators import windows
+from trialweave.sources.tables import stored
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -29,6 +30,11 @@ def ev(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def trials(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored trial table."""
+    return stored(spark, f"trials|{sf}", lambda: derive_trials(spark, sf))
+
+
+def derive_trials(spark: SparkSession, sf: str) -> DataFrame:
     """One row per trial; numbering is blocked by hour so that a busy subject never fills one task."""
     rows = number_rows(
         ev(spark, sf).drop("ts"),
@@ -86,11 +92,17 @@ def trials_prev(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def trials_rr(spark: SparkSession, sf: str) -> DataFrame:
-    return windows.reward_rate(trials_prev(spark, sf), SESS, "TrialNumber", {"RewardRate5": ("ChoiceCorrect", 5)})
+    return windows.reward_rate(trials(spark, sf), SESS, "TrialNumber", {"RewardRate5": ("ChoiceCorrect", 5)})
 
 
 def trials_q(spark: SparkSession, sf: str) -> DataFrame:
-    return windows.speed_class(trials_rr(spark, sf), [*SESS, "DVstr"], "calcStimulusTime", "TrialNumber")
+    """Trials with their speed class."""
+    return windows.speed_class(trials(spark, sf), [*SESS, "DVstr"], "calcStimulusTime", "TrialNumber")
+
+
+def trials_prev_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Trials with previous-trial columns and their speed class."""
+    return windows.speed_class(trials_prev(spark, sf), [*SESS, "DVstr"], "calcStimulusTime", "TrialNumber")
 
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,6 +127,11 @@ def frames_null(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def frames_big(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored long traces."""
+    return stored(spark, f"frames_big|{sf}", lambda: derive_frames_big(spark, sf))
+
+
+def derive_frames_big(spark: SparkSession, sf: str) -> DataFrame:
     cols = "l_shipdate l_orderkey l_linenumber l_partkey l_quantity l_extendedprice".split()
     li = table(spark, sf, "lineitem").select("l_suppkey", *cols)
     rows = number_rows(li, ["l_suppkey"], [F.col(c) for c in cols], F.unix_date(F.to_date("l_shipdate")), "rn")
@@ -172,6 +189,11 @@ def ep_frames(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reduc(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored trial reduction."""
+    return stored(spark, f"reduc|{sf}", lambda: derive_reduc(spark, sf))
+
+
+def derive_reduc(spark: SparkSession, sf: str) -> DataFrame:
     """Mean of each trace over the Sampling epoch of each trial."""
     keys = (
         "ShortName trace_id TrialNumber ChoiceLeft ChoiceCorrect quantile_idx DV PrevDV PrevChoiceLeft PrevChoiceCorrect "
