@@ -28,8 +28,12 @@ def sem(c: Column | str) -> Column:
     return F.stddev_samp(c) / F.sqrt(F.count(c))
 
 
-def rnd(c: Column | str) -> Column:
-    return F.round(c, 9)
+def rnd(c: Column | str, digits: int = 9) -> Column:
+    return F.round(c, digits)
+
+
+def r6(c: Column | str) -> Column:
+    return rnd(c, 6)
 
 
 def diff(start: str, end: str, out: str):

@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 from trialweave.functions import draws, skew
 from trialweave.operators import behavior as bh
 from trialweave.operators import windows
-from trialweave.operators.behavior import rnd
+from trialweave.operators.behavior import r6, rnd
 from trialweave.plans.registry import query
 from trialweave.sources import fixtures as fx
 from trialweave.sources import tables as tb
 from trialweave.sources.sql_views import DVSTR
+from trialweave.sources.sql_views import q6
 from trialweave.sources.sql_views import rnd as qr
 
 SESS = ["Name", "SessionNum"]
@@ -765,13 +766,13 @@ def d28(spark, sf):
 
 @query(
     "D57_all_and_per_subject",
-    f"""SELECT Name, DVstr, {qr('avg(z)')} AS mean_z, count(*) AS n FROM (SELECT *, (calcStimulusTime - avg(calcStimulusTime) OVER w)
+    f"""SELECT Name, DVstr, {q6('avg(z)')} AS mean_z, count(*) AS n FROM (SELECT *, (calcStimulusTime - avg(calcStimulusTime) OVER w)
       / stddev_pop(calcStimulusTime) OVER w AS z FROM trials WINDOW w AS (PARTITION BY Name)) t
       GROUP BY GROUPING SETS ((DVstr), (Name, DVstr))""",
 )
 def d57(spark, sf):
     z = bh.z_by(fx.trials(spark, sf), ["Name"], {"z": "calcStimulusTime"})
-    return z.groupingSets([["DVstr"], ["Name", "DVstr"]], "Name", "DVstr").agg(rnd(F.avg("z")).alias("mean_z"), F.count("*").alias("n"))
+    return z.groupingSets([["DVstr"], ["Name", "DVstr"]], "Name", "DVstr").agg(r6(F.avg("z")).alias("mean_z"), F.count("*").alias("n"))
 
 
 # ---- set operations -------------------------------------------------------------------------------------------------
@@ -831,9 +832,9 @@ def g25(spark, sf):
 
 @query(
     "G26_time_z_scores",
-    f"""SELECT event_id, {qr('(calcStimulusTime - avg(calcStimulusTime) OVER s) / nullif(stddev_pop(calcStimulusTime) OVER s, 0)')} AS z_subject,
-      {qr('(calcStimulusTime - avg(calcStimulusTime) OVER n) / nullif(stddev_samp(calcStimulusTime) OVER n, 0)')} AS z_session,
-      {qr('(calcStimulusTime - avg(calcStimulusTime) FILTER (WHERE OptoEnabled = 0) OVER s) / stddev_samp(calcStimulusTime) FILTER (WHERE OptoEnabled = 0) OVER s')} AS z_control
+    f"""SELECT event_id, {q6('(calcStimulusTime - avg(calcStimulusTime) OVER s) / nullif(stddev_pop(calcStimulusTime) OVER s, 0)')} AS z_subject,
+      {q6('(calcStimulusTime - avg(calcStimulusTime) OVER n) / nullif(stddev_samp(calcStimulusTime) OVER n, 0)')} AS z_session,
+      {q6('(calcStimulusTime - avg(calcStimulusTime) FILTER (WHERE OptoEnabled = 0) OVER s) / stddev_samp(calcStimulusTime) FILTER (WHERE OptoEnabled = 0) OVER s')} AS z_control
       FROM trials WINDOW s AS (PARTITION BY Name), n AS (PARTITION BY Name, SessionNum)""",
 )
 def g26(spark, sf):
@@ -843,7 +844,7 @@ def g26(spark, sf):
     z = bh.z_by(z, SESS, {"z_session": "calcStimulusTime"}, population=False)
     ref = t.groupBy("Name").agg(F.avg("ctl").alias("m"), F.stddev_samp("ctl").alias("d"))
     z = skew.attach(z, ref, ["Name"]).withColumn("z_control", E("(calcStimulusTime - m) / nullif(d, 0)"))
-    return z.select("event_id", *[rnd(c).alias(c) for c in ("z_subject", "z_session", "z_control")])
+    return z.select("event_id", *[r6(c).alias(c) for c in ("z_subject", "z_session", "z_control")])
 
 
 @query(

@@ -7,10 +7,11 @@ from trialweave.operators import behavior as bh
 from trialweave.operators import compare as cm
 from trialweave.operators import tracking as tk
 from trialweave.operators import windows as wn
-from trialweave.operators.behavior import rnd
+from trialweave.operators.behavior import r6, rnd
 from trialweave.plans.behavior_plans import _PSY, _bucket_sql, mso, mso_sql
 from trialweave.plans.registry import query
 from trialweave.sources import fixtures as fx
+from trialweave.sources.sql_views import q6
 from trialweave.sources.sql_views import rnd as qr
 from trialweave.sources.sql_views import streak_sql
 
@@ -319,12 +320,12 @@ def _kernel1():
       z AS (SELECT *, (SimRT - avg(SimRT) OVER w) / nullif(stddev_pop(SimRT) OVER w, 0) AS z, CASE WHEN DV = 0 THEN q_val ELSE abs(q_val) * sign(DV) * sign(q_val) END AS qr FROM s WINDOW w AS (PARTITION BY Name)),
       c AS (SELECT CAST(ceil(learned_rate / 0.1::DOUBLE - 1e-9) AS BIGINT) AS rr, CAST(ceil(abs(DV) / (1/3.0::DOUBLE) - 1e-9) AS BIGINT) AS dv, CAST(ceil((qr + 1) / 0.1::DOUBLE - 1e-9) AS BIGINT) AS q,
         CASE WHEN count(*) > 1 THEN avg(z) END AS v FROM z GROUP BY 1, 2, 3)
-      SELECT a.rr, a.dv, a.q, {qr('CASE WHEN a.v IS NOT NULL THEN sum(w * b.v) + (1 - sum(w)) * a.v END')} AS smooth FROM c a JOIN {_kernel1()} ON true
+      SELECT a.rr, a.dv, a.q, {q6('CASE WHEN a.v IS NOT NULL THEN sum(w * b.v) + (1 - sum(w)) * a.v END')} AS smooth FROM c a JOIN {_kernel1()} ON true
       JOIN c b ON b.rr = a.rr AND b.dv = a.dv AND b.q = a.q + d AND (b.v IS NOT NULL OR a.v IS NULL) GROUP BY a.rr, a.dv, a.q, a.v""",
 )
 def d49(spark, sf):
     s = cm.value_surface(_states(spark, sf).filter("SimChoiceCorrect = 1"), "SimRT")
-    return s.withColumn("smooth", rnd("smooth"))
+    return s.withColumn("smooth", r6("smooth"))
 
 
 _AGR = f"(SELECT Name, bin, avg(ChoiceCorrect) AS real, avg(SimChoiceCorrect) AS model FROM (SELECT *, {_bucket_sql('DV', _PSY)} AS bin FROM trials WHERE ChoiceCorrect IS NOT NULL) t WHERE bin IS NOT NULL GROUP BY ALL)"

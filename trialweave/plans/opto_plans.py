@@ -7,10 +7,11 @@ from trialweave.operators import behavior as bh
 from trialweave.operators import opto as op
 from trialweave.operators import resample as rs
 from trialweave.operators import stats as st
-from trialweave.operators.behavior import rnd
+from trialweave.operators.behavior import r6, rnd
 from trialweave.plans.behavior_plans import _BIAS, _PSY, _bucket_sql, mso, mso_sql
 from trialweave.plans.registry import query
 from trialweave.sources import fixtures as fx
+from trialweave.sources.sql_views import q6
 from trialweave.sources.sql_views import rnd as qr
 
 E = F.expr
@@ -223,15 +224,15 @@ def d41(spark, sf):
 
 @query(
     "D42_time_accuracy_bars",
-    f"""SELECT Name, CASE WHEN OptoEnabled = 0 THEN 'Control' ELSE Region END AS arm, {qr('median(z)')} AS median_z, {qr('100 * avg(ChoiceCorrect)')} AS accuracy FROM {_Z} z GROUP BY ALL""",
+    f"""SELECT Name, CASE WHEN OptoEnabled = 0 THEN 'Control' ELSE Region END AS arm, {q6('median(z)')} AS median_z, {q6('100 * avg(ChoiceCorrect)')} AS accuracy FROM {_Z} z GROUP BY ALL""",
 )
 def d42(spark, sf):
     from trialweave.functions import skew
 
     z = op.control_z(_opto(spark, sf), ["Name"]).withColumn("arm", E("if(OptoEnabled = 0, 'Control', Region)"))
     med = skew.exact_percentiles(z, ["Name", "arm"], "z", {"median_z": 0.5})
-    acc = z.groupBy("Name", "arm").agg(rnd(100 * F.avg("ChoiceCorrect")).alias("accuracy"))
-    return acc.join(med, ["Name", "arm"], "left").withColumn("median_z", rnd("median_z"))
+    acc = z.groupBy("Name", "arm").agg(r6(100 * F.avg("ChoiceCorrect")).alias("accuracy"))
+    return acc.join(med, ["Name", "arm"], "left").withColumn("median_z", r6("median_z"))
 
 
 @query(
@@ -241,15 +242,15 @@ def d42(spark, sf):
       s AS (SELECT Name, SessId, po, Region, PrevChoiceCorrect AS pc, avg(z) AS m FROM z WHERE po IS NOT NULL AND PrevChoiceCorrect IS NOT NULL GROUP BY ALL),
       u AS (SELECT Name, po, Region, pc, avg(m) AS m FROM s GROUP BY ALL),
       w AS (SELECT Name, po, Region, avg(m) FILTER (WHERE pc = 0) AS i, avg(m) FILTER (WHERE pc = 1) AS c FROM u GROUP BY ALL)
-      SELECT po AS PrevOptoEnabled, Region, {qr('avg(i)')} AS incorrect, {qr('avg(c)')} AS correct, {qr('avg(i - c)')} AS difference,
-        {qr('stddev_samp(i - c) / sqrt(count(i - c))')} AS difference_sem, count(i - c) AS n_subjects FROM w GROUP BY ALL""",
+      SELECT po AS PrevOptoEnabled, Region, {q6('avg(i)')} AS incorrect, {q6('avg(c)')} AS correct, {q6('avg(i - c)')} AS difference,
+        {q6('stddev_samp(i - c) / sqrt(count(i - c))')} AS difference_sem, count(i - c) AS n_subjects FROM w GROUP BY ALL""",
 )
 def d43(spark, sf):
     from trialweave.operators import windows as wn
 
     t = wn.previous_trial(fx.trials(spark, sf), ["Name", "SessionNum"], extra={"PrevOptoEnabled": F.col("OptoEnabled")})
     f = op.feedback_table(t, ["Name"], "calcStimulusTime")
-    return f.select("PrevOptoEnabled", "Region", "n_subjects", *[rnd(c).alias(c) for c in ("incorrect", "correct", "difference", "difference_sem")])
+    return f.select("PrevOptoEnabled", "Region", "n_subjects", *[r6(c).alias(c) for c in ("incorrect", "correct", "difference", "difference_sem")])
 
 
 @query(

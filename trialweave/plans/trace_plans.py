@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from trialweave.functions import skew
 from trialweave.operators import behavior as bh
 from trialweave.operators import traces as tr
-from trialweave.operators.behavior import rnd
+from trialweave.operators.behavior import r6, rnd
 from trialweave.plans.registry import query
 from trialweave.sources import fixtures as fx
+from trialweave.sources.sql_views import q6
 from trialweave.sources.sql_views import rnd as qr
 
 E = F.expr
@@ -15,8 +16,12 @@ T = ["ShortName", "trace_id"]
 TR = "ShortName, trace_id"
 
 
-def _r(df, keys, *values):
-    return df.select(*keys, *[rnd(v).alias(v) for v in values])
+def _r(df, keys, *values, fn=rnd):
+    return df.select(*keys, *[fn(v).alias(v) for v in values])
+
+
+def _r6(df, keys, *values):
+    return _r(df, keys, *values, fn=r6)
 
 
 @query("F1_array_round_trip", "SELECT ShortName, trace_id, frame, v FROM frames")
@@ -30,13 +35,13 @@ _Z = """SELECT ShortName, trace_id, frame, (v - avg(v) OVER w) / nullif(stddev_p
 
 @query(
     "F2_full_trace_then_epochs",
-    f"""SELECT e.ShortName, TrialNumber, epoch, trace_id, {qr('avg(v)')} AS v FROM epochs e JOIN ({_Z.format('frames')}) f
+    f"""SELECT e.ShortName, TrialNumber, epoch, trace_id, {q6('avg(v)')} AS v FROM epochs e JOIN ({_Z.format('frames')}) f
       ON e.ShortName = f.ShortName AND frame BETWEEN trace_start_idx AND trace_end_idx GROUP BY ALL""",
 )
 def f2(spark, sf):
     z = tr.z_score(fx.frames(spark, sf).drop("label"), T)
     j = tr.slice_join(fx.epochs(spark, sf), z)
-    return j.groupBy("ShortName", "TrialNumber", "epoch", "trace_id").agg(rnd(F.avg("v")).alias("v"))
+    return j.groupBy("ShortName", "TrialNumber", "epoch", "trace_id").agg(r6(F.avg("v")).alias("v"))
 
 
 @query("C2_epoch_slice_join", "SELECT ShortName, TrialNumber, epoch, trace_id, frame, v FROM ep_frames")
@@ -77,20 +82,20 @@ def f4(spark, sf):
     return f.groupBy("ShortName", "trace_group").agg(rnd(F.avg("v")).alias("mean"), rnd(F.stddev_pop("v")).alias("std"))
 
 
-@query("F5_z_score", f"SELECT ShortName, trace_id, frame, {qr('v')} AS v FROM ({_Z.format('frames_big')}) z")
+@query("F5_z_score", f"SELECT ShortName, trace_id, frame, {q6('v')} AS v FROM ({_Z.format('frames_big')}) z")
 def f5(spark, sf):
-    return _r(tr.z_score(fx.frames_big(spark, sf), T), [*T, "frame"], "v")
+    return _r6(tr.z_score(fx.frames_big(spark, sf), T), [*T, "frame"], "v")
 
 
 @query(
     "F5_z_score_restricted",
-    f"""SELECT ShortName, trace_id, frame, epoch, {qr('''(v - avg(v) FILTER (WHERE epoch = 'Sampling') OVER w)
+    f"""SELECT ShortName, trace_id, frame, epoch, {q6('''(v - avg(v) FILTER (WHERE epoch = 'Sampling') OVER w)
       / nullif(stddev_pop(v) FILTER (WHERE epoch = 'Sampling') OVER w, 0)''')} AS v FROM ep_frames
       WINDOW w AS (PARTITION BY ShortName, trace_id)""",
 )
 def f5r(spark, sf):
     z = tr.z_score(fx.ep_frames(spark, sf), T, only=F.col("epoch") == "Sampling")
-    return _r(z, [*T, "frame", "epoch"], "v")
+    return _r6(z, [*T, "frame", "epoch"], "v")
 
 
 @query(
@@ -377,13 +382,13 @@ def f25(spark, sf):
 
 @query(
     "F26_normalise_align",
-    f"""WITH {_ALIGN} SELECT b.ShortName, TrialNumber, epoch, trace_id, frame - trace_start_idx AS pos, {qr('v')} AS v FROM b
+    f"""WITH {_ALIGN} SELECT b.ShortName, TrialNumber, epoch, trace_id, frame - trace_start_idx AS pos, {q6('v')} AS v FROM b
       JOIN ({_Z.format('frames')}) z ON z.ShortName = b.ShortName AND frame BETWEEN trace_start_idx AND trace_end_idx""",
 )
 def f26(spark, sf):
     z = tr.z_score(fx.frames(spark, sf).drop("label"), T)
     j = tr.slice_join(_aligned(spark, sf), z).withColumn("pos", E("frame - trace_start_idx"))
-    return _r(j, ["ShortName", "TrialNumber", "epoch", "trace_id", "pos"], "v")
+    return _r6(j, ["ShortName", "TrialNumber", "epoch", "trace_id", "pos"], "v")
 
 
 _SAMP = """s AS (SELECT * FROM (SELECT *, lag(epoch_time) OVER w AS bt, lead(epoch_time) OVER w AS nt, lead(trace_start_idx) OVER w AS ns FROM epochs
@@ -406,14 +411,14 @@ def f27(spark, sf):
 
 @query(
     "F28_align_sampling",
-    f"""WITH {_SAMP}, z AS ({_Z.format('frames')}) SELECT trace_id, z.ShortName, quantile_idx, x.part::BIGINT AS part, frame - x.a AS pos, {qr('avg(v)')} AS mean, count(*) AS n_rows
+    f"""WITH {_SAMP}, z AS ({_Z.format('frames')}) SELECT trace_id, z.ShortName, quantile_idx, x.part::BIGINT AS part, frame - x.a AS pos, {q6('avg(v)')} AS mean, count(*) AS n_rows
       FROM p JOIN z ON z.ShortName = p.ShortName AND frame BETWEEN x.a AND x.z GROUP BY ALL""",
 )
 def f28(spark, sf):
     from trialweave.operators import composites as cp
 
     out = cp.align_sampling(fx.epochs(spark, sf), fx.frames(spark, sf).drop("label"), 0.25, 0.25)
-    return _r(out, ["trace_id", "ShortName", "quantile_idx", "part", "pos", "n_rows"], "mean")
+    return _r6(out, ["trace_id", "ShortName", "quantile_idx", "part", "pos", "n_rows"], "mean")
 
 
 @query(
@@ -573,9 +578,9 @@ def f34(spark, sf):
 _W = "region_frames f JOIN regions r ON r.area_name = f.region || '_' || f.side"
 
 
-@query("F35_bilateral_merge", f"SELECT region, frame, {qr('sum(v * weight) / sum(weight)')} AS v FROM {_W} GROUP BY ALL")
+@query("F35_bilateral_merge", f"SELECT region, frame, {q6('sum(v * weight) / sum(weight)')} AS v FROM {_W} GROUP BY ALL")
 def f35(spark, sf):
-    return _r(tr.unify_sides(fx.region_frames(spark, sf), fx.regions(spark, sf)), ["region", "frame"], "v")
+    return _r6(tr.unify_sides(fx.region_frames(spark, sf), fx.regions(spark, sf)), ["region", "frame"], "v")
 
 
 @query(
@@ -590,11 +595,11 @@ def c16(spark, sf):
 
 @query(
     "F36_whole_cortex",
-    f"""SELECT region, side, frame, {qr('v')} AS v FROM region_frames UNION ALL
-      SELECT 'Crtx', side, frame, {qr('sum(v * weight) / sum(weight)')} FROM {_W} GROUP BY side, frame""",
+    f"""SELECT region, side, frame, {q6('v')} AS v FROM region_frames UNION ALL
+      SELECT 'Crtx', side, frame, {q6('sum(v * weight) / sum(weight)')} FROM {_W} GROUP BY side, frame""",
 )
 def f36(spark, sf):
-    return _r(tr.whole_side(fx.region_frames(spark, sf), fx.regions(spark, sf)), ["region", "side", "frame"], "v")
+    return _r6(tr.whole_side(fx.region_frames(spark, sf), fx.regions(spark, sf)), ["region", "side", "frame"], "v")
 
 
 @query(
@@ -611,14 +616,14 @@ def f37(spark, sf):
 
 @query(
     "F38_trial_mean_activity",
-    f"""SELECT ShortName, TrialNumber, ChoiceLeft, CASE WHEN trace_id % 2 = 0 THEN 'left' ELSE 'right' END AS side, {qr('avg(x)')} AS mean, count(*) AS n FROM reduc GROUP BY ALL""",
+    f"""SELECT ShortName, TrialNumber, ChoiceLeft, CASE WHEN trace_id % 2 = 0 THEN 'left' ELSE 'right' END AS side, {q6('avg(x)')} AS mean, count(*) AS n FROM reduc GROUP BY ALL""",
 )
 def f38(spark, sf):
     r = fx.reduc(spark, sf).withColumn("side", E("if(trace_id % 2 = 0, 'left', 'right')"))
-    return r.groupBy("ShortName", "TrialNumber", "ChoiceLeft", "side").agg(rnd(F.avg("x")).alias("mean"), F.count("*").alias("n"))
+    return r.groupBy("ShortName", "TrialNumber", "ChoiceLeft", "side").agg(r6(F.avg("x")).alias("mean"), F.count("*").alias("n"))
 
 
-_DIST = f"""SELECT ShortName, quantile_idx, {qr("avg(m) FILTER (WHERE r = 0) - avg(m) FILTER (WHERE r = 1)")} AS distance FROM
+_DIST = f"""SELECT ShortName, quantile_idx, {q6("avg(m) FILTER (WHERE r = 0) - avg(m) FILTER (WHERE r = 1)")} AS distance FROM
     (SELECT ShortName, quantile_idx, TrialNumber, trace_id % 2 AS r, avg(x) AS m FROM reduc GROUP BY ALL) t GROUP BY ALL"""
 
 
@@ -626,7 +631,7 @@ def _distance(spark, sf):
     r = fx.reduc(spark, sf).withColumn("r", E("trace_id % 2"))
     t = r.groupBy("ShortName", "quantile_idx", "TrialNumber", "r").agg(F.avg("x").alias("m"))
     d = F.avg(F.when(F.col("r") == 0, F.col("m"))) - F.avg(F.when(F.col("r") == 1, F.col("m")))
-    return t.groupBy("ShortName", "quantile_idx").agg(rnd(d).alias("distance"))
+    return t.groupBy("ShortName", "quantile_idx").agg(r6(d).alias("distance"))
 
 
 @query("F39_region_distance", _DIST)
@@ -651,14 +656,14 @@ def c15(spark, sf):
 
 @query(
     "F40_track_activity",
-    f"""SELECT ShortName, quantile_idx, count(*) AS n_traces, count(*) FILTER (WHERE m > 0.02) AS n_above, {qr('100.0 * count(*) FILTER (WHERE m > 0.02) / count(*)')} AS percent
+    f"""SELECT ShortName, quantile_idx, count(*) AS n_traces, count(*) FILTER (WHERE m > 0.02) AS n_above, {q6('100.0 * count(*) FILTER (WHERE m > 0.02) / count(*)')} AS percent
       FROM (SELECT ShortName, quantile_idx, trace_id, avg(x) AS m FROM reduc GROUP BY ALL) t GROUP BY ALL""",
 )
 def f40(spark, sf):
     t = fx.reduc(spark, sf).groupBy("ShortName", "quantile_idx", "trace_id").agg(F.avg("x").alias("m"))
     above = F.count_if(F.col("m") > 0.02)
     return t.groupBy("ShortName", "quantile_idx").agg(
-        F.count("*").alias("n_traces"), above.alias("n_above"), rnd(100.0 * above / F.count("*")).alias("percent")
+        F.count("*").alias("n_traces"), above.alias("n_above"), r6(100.0 * above / F.count("*")).alias("percent")
     )
 
 

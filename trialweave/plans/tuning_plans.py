@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 from trialweave.functions import draws, skew
 from trialweave.operators import behavior as bh
 from trialweave.operators import tuning as tu
-from trialweave.operators.behavior import rnd
+from trialweave.operators.behavior import r6, rnd
 from trialweave.operators.tuning import TEST, TRACE
 from trialweave.plans.registry import query
 from trialweave.plans.trace_plans import _POS, _pos
 from trialweave.sources import fixtures as fx
+from trialweave.sources.sql_views import q6
 from trialweave.sources.sql_views import rnd as qr
 
 E = F.expr
@@ -281,11 +282,11 @@ def c13(spark, sf):
     f"""WITH d AS (SELECT r.*, CASE WHEN tuned_left IS NULL THEN 'untuned' WHEN tuned_left = ChoiceLeft THEN 'preferred' ELSE 'anti' END AS g FROM reduc r LEFT JOIN {_LAB} l
         ON l.ShortName = r.ShortName AND l.trace_id = r.trace_id),
       n AS (SELECT quantile_idx, g, ShortName, trace_id, avg(x) AS m, sum(x) AS s, count(*) AS n FROM d GROUP BY ALL)
-      SELECT quantile_idx, g AS "group", {qr('avg(m)')} AS mean, {qr('stddev_samp(m) / sqrt(count(m))')} AS sem, {qr('sum(s) / sum(n)')} AS pooled, count(*) AS n_neurons FROM n GROUP BY ALL""",
+      SELECT quantile_idx, g AS "group", {q6('avg(m)')} AS mean, {q6('stddev_samp(m) / sqrt(count(m))')} AS sem, {q6('sum(s) / sum(n)')} AS pooled, count(*) AS n_neurons FROM n GROUP BY ALL""",
 )
 def g28(spark, sf):
     p = tu.preference_activity(fx.reduc(spark, sf), _labels(spark, sf))
-    return p.select("quantile_idx", "group", "n_neurons", *[rnd(c).alias(c) for c in ("mean", "sem", "pooled")])
+    return p.select("quantile_idx", "group", "n_neurons", *[r6(c).alias(c) for c in ("mean", "sem", "pooled")])
 
 
 @query(
@@ -310,19 +311,19 @@ def _traj(spark, sf):
 
 @query(
     "F44_tuning_trajectories",
-    f"""WITH {_TRAJ} SELECT bin, n, {qr('p')} AS preferred, {qr('a')} AS anti, {qr('100 * (p - a) / nullif(p, 0)')} AS weight,
-      {qr('100 * abs(a / nullif(p, 0)) * sqrt(pow(sa / nullif(a, 0), 2) + pow(ps / nullif(p, 0), 2))')} AS weight_sem FROM g""",
+    f"""WITH {_TRAJ} SELECT bin, n, {q6('p')} AS preferred, {q6('a')} AS anti, {q6('100 * (p - a) / nullif(p, 0)')} AS weight,
+      {q6('100 * abs(a / nullif(p, 0)) * sqrt(pow(sa / nullif(a, 0), 2) + pow(ps / nullif(p, 0), 2))')} AS weight_sem FROM g""",
 )
 def f44(spark, sf):
-    return _traj(spark, sf).select("bin", "n", *[rnd(c).alias(c) for c in ("preferred", "anti", "weight", "weight_sem")])
+    return _traj(spark, sf).select("bin", "n", *[r6(c).alias(c) for c in ("preferred", "anti", "weight", "weight_sem")])
 
 
 @query(
     "F44_trajectory_fit",
-    f"WITH {_TRAJ} SELECT {qr('regr_slope(100 * (p - a) / nullif(p, 0), bin)')} AS slope, {qr('regr_intercept(100 * (p - a) / nullif(p, 0), bin)')} AS intercept FROM g",
+    f"WITH {_TRAJ} SELECT {q6('regr_slope(100 * (p - a) / nullif(p, 0), bin)')} AS slope, {q6('regr_intercept(100 * (p - a) / nullif(p, 0), bin)')} AS intercept FROM g",
 )
 def f44f(spark, sf):
-    return _traj(spark, sf).agg(rnd(F.regr_slope("weight", "bin")).alias("slope"), rnd(F.regr_intercept("weight", "bin")).alias("intercept"))
+    return _traj(spark, sf).agg(r6(F.regr_slope("weight", "bin")).alias("slope"), r6(F.regr_intercept("weight", "bin")).alias("intercept"))
 
 
 @query(

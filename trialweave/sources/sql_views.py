@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 
 
-def rnd(expr: str) -> str:
-    """Nine-decimal rounding without a negative zero."""
-    return f"(round(CAST({expr} AS DOUBLE), 9) + 0.0::DOUBLE)"
+def rnd(expr: str, digits: int = 9) -> str:
+    """Rounding without a negative zero."""
+    return f"(round(CAST({expr} AS DOUBLE), {digits}) + 0.0::DOUBLE)"
+
+
+def q6(expr: str) -> str:
+    return rnd(expr, 6)
 
 
 def streak_sql(src: str, pos: str = "TrialNumber", keep: str = "*") -> str:
