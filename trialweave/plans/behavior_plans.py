@@ -640,13 +640,13 @@ def d21(spark, sf):
 
 @query(
     "D21_difficulty_slope",
-    f"""SELECT ChoiceCorrect, {qr('-regr_slope(mean, x)')} AS slope, {qr('degrees(atan(-regr_slope(mean, x)))')} AS angle
+    f"""SELECT ChoiceCorrect, {q6('-regr_slope(mean, x)')} AS slope, {q6('degrees(atan(-regr_slope(mean, x)))')} AS angle
       FROM (SELECT *, CASE DVstr WHEN 'Hard' THEN 1 WHEN 'Med' THEN 2 ELSE 3 END AS x FROM ({_D21}) d) e GROUP BY ChoiceCorrect""",
 )
 def d21s(spark, sf):
     d = d21(spark, sf).withColumn("x", E("case DVstr when 'Hard' then 1 when 'Med' then 2 else 3 end"))
     slope = -F.regr_slope("mean", "x")
-    return d.groupBy("ChoiceCorrect").agg(rnd(slope).alias("slope"), rnd(F.degrees(F.atan(slope))).alias("angle"))
+    return d.groupBy("ChoiceCorrect").agg(r6(slope).alias("slope"), r6(F.degrees(F.atan(slope))).alias("angle"))
 
 
 @query(

@@ -13,6 +13,7 @@ from trialweave.plans.registry import query
 from trialweave.sources import fixtures as fx
 from trialweave.sources.sql_views import q6
 from trialweave.sources.sql_views import rnd as qr
+from trialweave.sources.sql_views import rnd as rnd_sql
 
 E = F.expr
 ITER = 20
@@ -296,11 +297,11 @@ _ANOVA = f"""WITH d AS (SELECT * FROM {_SPEED} s), c AS (SELECT sum(m) * sum(m)
 
 @query(
     "G16_repeated_anova",
-    f"""{_ANOVA} SELECT {qr('((b - cf) / (nc - 1)) / ((q - a - b + cf) / ((nc - 1) * (ns - 1)))')} AS f_stat, nc - 1 AS df1, (nc - 1) * (ns - 1) AS df2 FROM a, b, c""",
+    f"""{_ANOVA} SELECT {rnd_sql('((b - cf) / (nc - 1)) / ((q - a - b + cf) / ((nc - 1) * (ns - 1)))', 4)} AS f_stat, nc - 1 AS df1, (nc - 1) * (ns - 1) AS df2 FROM a, b, c""",
 )
 def g16(spark, sf):
     d = _speed(spark, sf).withColumn("fam", F.lit(1))
-    return st.repeated_anova(d, ["fam"], "Name", "q", "m").select(F.round("f_stat", 9).alias("f_stat"), "df1", "df2")
+    return st.repeated_anova(d, ["fam"], "Name", "q", "m").select(rnd("f_stat", 4).alias("f_stat"), "df1", "df2")
 
 
 @query(

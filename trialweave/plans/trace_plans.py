@@ -151,9 +151,9 @@ _BASE = f"""g AS ({_gauss_sql('frames_big', 10)}),
         / nullif(count(*) FILTER (WHERE v < baseline), 0)), 9) AS zscore, count(*) AS n_frames FROM frames_big JOIN md USING ({TR}) GROUP BY ALL)"""
 
 
-@query("F9_baseline", f"WITH {_BASE} SELECT {TR}, {qr('baseline')} AS baseline, {qr('zscore')} AS zscore, n_frames FROM st")
+@query("F9_baseline", f"WITH {_BASE} SELECT {TR}, {q6('baseline')} AS baseline, {q6('zscore')} AS zscore, n_frames FROM st")
 def f9(spark, sf):
-    return tr.baseline(fx.frames_big(spark, sf), fps=1.0)
+    return _r6(tr.baseline(fx.frames_big(spark, sf), fps=1.0), [*T, "n_frames"], "baseline", "zscore")
 
 
 @query(

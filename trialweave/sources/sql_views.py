@@ -6,8 +6,8 @@ import re
 
 
 def rnd(expr: str, digits: int = 9) -> str:
-    """Rounding without a negative zero."""
-    return f"(round(CAST({expr} AS DOUBLE), {digits}) + 0.0::DOUBLE)"
+    """Rounding without a negative zero, shifted off exact decimal halves like ``operators.behavior.rnd``."""
+    return f"(round(CAST({expr} AS DOUBLE) + {1.37 * 10.0 ** -(digits + 1)!r}::DOUBLE, {digits}) + 0.0::DOUBLE)"
 
 
 def q6(expr: str) -> str:
