@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import math
 import sys
 
@@ -82,9 +81,8 @@ def gamma_tail(a, x) -> np.ndarray:
     return np.where(x <= 0, 1.0, np.where(x < a + 1, low, front * h))
 
 
-@functools.lru_cache(maxsize=4096)
-def _rank_sum_counts(n1: int, n2: int) -> tuple[float, ...]:
-    """How many arrangements give each U, by counting subsets of ranks."""
+def _rank_sum_counts(n1: int, n2: int) -> np.ndarray:
+    """Share of arrangements that give each U, by counting subsets of ranks."""
     ways = np.zeros((n1 + 1, n1 * n2 + 1))
     ways[0, 0] = 1
     for j in range(1, n1 + n2 + 1):
@@ -92,7 +90,7 @@ def _rank_sum_counts(n1: int, n2: int) -> tuple[float, ...]:
             shift = j - k  # ranks above the smallest possible for the k-th pick
             if shift <= n1 * n2:
                 ways[k, shift:] += ways[k - 1, : n1 * n2 + 1 - shift]
-    return tuple(ways[n1] / ways[n1].sum())
+    return ways[n1] / ways[n1].sum()
 
 
 def mann_whitney_p(u, n1, n2, ties) -> np.ndarray:
@@ -105,9 +103,12 @@ def mann_whitney_p(u, n1, n2, ties) -> np.ndarray:
         z = (big - n1 * n2 / 2 - 0.5) / sd
     p = np.minimum(1.0, normal_two_sided(np.maximum(z, 0)))
     small = (np.minimum(n1, n2) <= 8) & (ties == 0) & (n1 * n2 <= 20000) & (n1 > 0) & (n2 > 0)
+    known: dict[tuple[int, int], np.ndarray] = {}
     for i in np.flatnonzero(small):
-        a, b = sorted((int(n1[i]), int(n2[i])))
-        p[i] = min(1.0, 2 * sum(_rank_sum_counts(a, b)[int(math.ceil(big[i])) :]))
+        sizes = (min(int(n1[i]), int(n2[i])), max(int(n1[i]), int(n2[i])))
+        if sizes not in known:
+            known[sizes] = _rank_sum_counts(*sizes)
+        p[i] = min(1.0, 2 * known[sizes][int(math.ceil(big[i])) :].sum())
     return np.where(np.isfinite(sd) & (sd > 0), p, np.nan)
 
 

@@ -170,7 +170,7 @@ def ordered_prefix_sum(df: DataFrame, keys: Sequence[str], value: str, out: str)
     Rows are blocked by the first key's text prefix, so only one row per prefix is ordered globally.
     """
     first = keys[0]
-    b = df.withColumn("__blk", F.substring(F.col(first).cast("string"), 1, 3))
+    b = df.withColumn("__blk", F.substring(F.col(first).cast("string"), 1, 6))
     per = b.groupBy("__blk").agg(F.sum(value).alias("__s"))
     w = Window.orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
     offs = per.select("__blk", F.coalesce(F.sum("__s").over(w), F.lit(0)).alias("__o"))
