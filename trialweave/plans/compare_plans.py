@@ -368,7 +368,7 @@ def d29(spark, sf):
 
 @query(
     "D30_neg_log_likelihood",
-    f"""WITH p AS (SELECT Name, bin, round(avg(abs(DV)), 9) AS x, count(*) AS n, round(avg(ChoiceCorrect), 9) AS p FROM (SELECT *, {_bucket_sql('abs(DV)', [0.0, 0.33, 0.66, 1.01])} AS bin FROM trials
+    f"""WITH p AS (SELECT Name, bin, {qr('avg(abs(DV))')} AS x, count(*) AS n, {qr('avg(ChoiceCorrect)')} AS p FROM (SELECT *, {_bucket_sql('abs(DV)', [0.0, 0.33, 0.66, 1.01])} AS bin FROM trials
         WHERE ChoiceCorrect IS NOT NULL) t WHERE bin IS NOT NULL GROUP BY ALL),
       g AS (SELECT *, (1 - 0.05::DOUBLE) - (0.5 - 0.05::DOUBLE) * exp(-pow(x / a, 2.0::DOUBLE)) AS q FROM p, (VALUES (0.1::DOUBLE), (0.3::DOUBLE), (0.6::DOUBLE)) v(a))
       SELECT Name, a, {qr('-sum(n * (p * ln(q) + (1 - p) * ln(1 - q)))')} AS nll FROM g GROUP BY Name, a""",
