@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import quality, sharding
+from trialweave.llm import packing, quality, sharding, tokens
 from trialweave.llm.common import table
 
+#: The vocabulary used by the queries; operators take a path.
+VOCABULARY = "byte_bpe_50k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -78,3 +87,15 @@ def op2(spark, d):
     return rows.select(
         "doc_id", *quality.MEASURES, "failed", (~quality.kept(quality.BASE)).alias("base_failed"), quality.kept(quality.STANDARD).alias("kept")
     )
+
+
+@query("op3_offset_attribution")
+def op3(spark, d):
+    rows = tokens.attribute_tokens(table(spark, d, "documents"), vocabulary(), rule="majority")
+    return rows.select("doc_id", "section", "start", "end", F.col("tokens").cast("long").alias("n_tokens"), F.col("crossing").alias("n_crossing"))
+
+
+@query("op5_vector_best_fit")
+def op5(spark, d):
+    made = packing.pack(table(spark, d, "documents"), vocabulary())
+    return made.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
