@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import packing, quality, sharding, tokens
+from trialweave.llm import langid, packing, quality, sharding, tokens, toxicity
 from trialweave.llm.common import table
 
 #: The vocabulary used by the queries; operators take a path.
 VOCABULARY = "byte_bpe_50k.json"
 
+#: Documents of this remainder are never learned from.
+HELD_OUT = "crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 2"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -99,3 +102,26 @@ def op3(spark, d):
 def op5(spark, d):
     made = packing.pack(table(spark, d, "documents"), vocabulary())
     return made.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def learned(df: DataFrame) -> DataFrame:
+    return df.where(f"NOT coalesce({HELD_OUT}, false)")
+
+
+def toxicity_model(spark, d, docs: DataFrame) -> toxicity.Model:
+    return toxicity.fit(learned(docs), learned(table(spark, d, "labels")))
+
+
+@query("op4_counterfactual_toxicity")
+def op4(spark, d):
+    docs = table(spark, d, "documents")
+    rows = toxicity.score(docs.select("doc_id", "text"), toxicity_model(spark, d, docs))
+    held_out, predicted = F.expr(f"coalesce({HELD_OUT}, false)"), (F.col("score") >= 0.3).cast("int")
+    return rows.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query("op7_compression_language")
+def op7(spark, d):
+    docs = table(spark, d, "documents")
+    rows = langid.identify(docs.select("doc_id", "text"), langid.fit(learned(docs)))
+    return rows.select("doc_id", F.expr(f"coalesce({HELD_OUT}, false)").alias("held_out"), "lang_pred", "score", "rejected")
