@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import langid, packing, quality, sharding, tokens, toxicity
+from trialweave.llm import chat, langid, packing, quality, sharding, tokens, toxicity
 from trialweave.llm.common import table
 
 #: The vocabulary used by the queries; operators take a path.
@@ -125,3 +125,51 @@ def op7(spark, d):
     docs = table(spark, d, "documents")
     rows = langid.identify(docs.select("doc_id", "text"), langid.fit(learned(docs)))
     return rows.select("doc_id", F.expr(f"coalesce({HELD_OUT}, false)").alias("held_out"), "lang_pred", "score", "rejected")
+
+
+OP6_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, length(role) + length(text) + (length(role || text) - length(replace(role || text, chr(92), '')))
+    + len(string_split(role, '[INST]')) + len(string_split(role, '[/INST]')) + len(string_split(role, '</s>'))
+    + len(string_split(role, '<s>')) + len(string_split(role, '<<SYS>>')) + len(string_split(role, '<</SYS>>')) - 6
+    + len(string_split(text, '[INST]')) + len(string_split(text, '[/INST]')) + len(string_split(text, '</s>'))
+    + len(string_split(text, '<s>')) + len(string_split(text, '<<SYS>>')) + len(string_split(text, '<</SYS>>')) - 6 + 17 AS n
+  FROM rows
+)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+@query("op6_reply_trees", OP6_SQL)
+def op6(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"),
+    )
+    template = chat.Template()
+    made = chat.format_trees(chat.chain(rows.unionByName(extra), "conv_id", "turn", "role", "text"), template)
+    made = made.withColumns(
+        {
+            "turns": template.read_turns(F.col("formatted")),
+            "learned": F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: template.unescape(s["part"])), ""),
+        }
+    )
+    spelled = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return made.select(
+        F.col("conv").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(spelled.cast("binary"), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )

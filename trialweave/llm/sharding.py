@@ -101,7 +101,7 @@ def permuted(seed: int):
     return place
 
 
-def shard_rows(df: DataFrame, n_shards: int, seed: int = 1, bucket_rows: int = 4096) -> DataFrame:
+def shard_rows(df: DataFrame, n_shards: int, seed: int = 1, bucket_rows: int = 2048) -> DataFrame:
     """All rows of ``df`` with ``shard`` (0 to ``n_shards`` - 1) and ``slot`` (0, 1, ... in each shard, in random order).
 
     Shard sizes differ by one at most. No column is looked at, so nulls, equal rows, hot keys and long texts play no part; an
