@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import chat, langid, packing, quality, sharding, tokens, toxicity
+from trialweave.llm import chat, langid, packing, quality, sharding, simhash, tokens, toxicity
 from trialweave.llm.common import table
 
 #: The vocabulary used by the queries; operators take a path.
@@ -173,3 +173,8 @@ def op6(spark, d):
         F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op8_simhash_pigeonhole")
+def op8(spark, d):
+    return simhash.near_duplicates(table(spark, d, "documents"))
