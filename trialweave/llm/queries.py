@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import chat, langid, packing, quality, sharding, simhash, tokens, toxicity
+from trialweave.llm import chat, decontaminate, langid, packing, pii, quality, sharding, simhash, tokens, toxicity
 from trialweave.llm.common import table
 
 #: The vocabulary used by the queries; operators take a path.
@@ -178,3 +178,39 @@ def op6(spark, d):
 @query("op8_simhash_pigeonhole")
 def op8(spark, d):
     return simhash.near_duplicates(table(spark, d, "documents"))
+
+
+OP9_SQL = r"""
+WITH doc_words AS (
+  SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents
+), item_words AS (
+  SELECT w, min(item_id) AS item_id, count(*) AS n_items FROM (
+    SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark)
+  WHERE len(w) > 0 GROUP BY w
+), item_shingles AS (
+  SELECT DISTINCT item_id, n_items, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS s
+  FROM (SELECT *, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM item_words)
+), widths AS (
+  SELECT DISTINCT least(5, len(w)) AS width FROM item_words
+), doc_shingles AS (
+  SELECT DISTINCT k, doc_id, array_to_string(w[i:i + width - 1], ' ') AS s
+  FROM (SELECT k, doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM doc_words, widths)
+), sized AS (SELECT item_id, n_items, count(*) AS n FROM item_shingles GROUP BY ALL)
+SELECT doc_id, item_id, CAST(any_value(z.n_items) AS BIGINT) AS n_items, CAST(any_value(z.n) AS INTEGER) AS n_shingles,
+  CAST(count(*) AS INTEGER) AS n_shared, count(*) / any_value(z.n) AS containment
+FROM doc_shingles d JOIN item_shingles i USING (s) JOIN sized z USING (item_id)
+GROUP BY k, doc_id, item_id HAVING count(*) >= ceil(0.8 * any_value(z.n) - 1e-9)
+"""
+
+
+@query("op9_size_partitioned_containment", OP9_SQL)
+def op9(spark, d):
+    return decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("key")
+
+
+@query("op10_weak_supervision_pii")
+def op10(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    rows = pii.find(docs, pii.fit(docs))
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE]  # noqa: B023
+    return rows.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))

@@ -196,10 +196,10 @@ def fit(
     return train([of(x) for x in got["data"]], label_of, np.where(label_of == 1, 1 / rates[1], 1 / rates[0]), pairs, penalty)
 
 
-def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``df`` with ``score``, the probability of a toxic label; null and empty texts get the score of no words.
+def score(df: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
+    """``df`` with the column ``into``, the probability of a toxic label; null and empty texts get the score of no words.
 
-    Whole texts are read; rows are independent, equal texts get equal scores, there is no shuffle. A column ``score`` is replaced.
+    Whole texts are read; rows are independent, equal texts get equal scores, there is no shuffle. A column of the name ``into`` is replaced.
     """
 
     @F.pandas_udf("double")
@@ -208,4 +208,4 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in texts:
             yield batch.map(of, na_action=None).astype(float)
 
-    return df.withColumn("score", scored(F.col(text)))
+    return df.withColumn(into, scored(F.col(text)))
