@@ -153,7 +153,7 @@ def signatures(prints: DataFrame, partitions: list[list[int]], known: np.ndarray
 
 def forest(probers: np.ndarray, members: np.ndarray, limit: int) -> list[tuple[int, int]]:
     """A link from each linked fingerprint to the first one of its component, over the pairs prober-member within ``limit``."""
-    near = np.bitwise_count(probers[:, None] ^ members[None, :]) <= limit
+    near = np.bitwise_count((probers[:, None] ^ members[None, :]).view(np.uint64)) <= limit  # of signed numbers the absolute value counts
     near &= probers[:, None] != members[None, :]
     open_p, open_m, out = near.any(axis=1), near.any(axis=0), []
     for start in np.flatnonzero(open_p):
