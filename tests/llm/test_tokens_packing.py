@@ -29,7 +29,7 @@ def brute(text, sections, rule, enc):
             for o, n in count.items():
                 out[o] += n / len(mine)
         else:
-            out[{"first": order[0], "last": order[-1], "majority": max(order, key=lambda o: count[o])}[rule]] += 1
+            out[{"first": mine[0], "last": mine[-1], "majority": max(order, key=lambda o: count[o])}[rule]] += 1
     assert place == len(data)
     return out
 

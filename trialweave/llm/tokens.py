@@ -108,8 +108,11 @@ def attribute(text: str, sections: list[tuple[str, int, int]], rule: str, enc: E
                 for j, n in zip(span, share, strict=True):
                     tokens[own[j] + 1] += n / (ends[i] - starts[i])
             else:
-                pick = {"first": 0, "last": len(share) - 1, "majority": int(np.argmax(share))}[rule]
-                tokens[own[span[pick]] + 1] += 1
+                held: dict[int, int] = {}
+                for j, n in zip(span, share, strict=True):
+                    held[own[j]] = held.get(own[j], 0) + n
+                pick = {"first": own[f[i]], "last": own[g[i]], "majority": max(held, key=held.get)}[rule]
+                tokens[pick + 1] += 1
     rows = [(k, name, a, b, float(tokens[k + 1]), int(crossing[k + 1])) for k, (name, a, b) in enumerate(sections)]
     return rows + ([(-1, "outside", 0, len(text), float(tokens[0]), int(crossing[0]))] if tokens[0] or crossing[0] else [])
 

@@ -125,6 +125,8 @@ def train(
     gain[seen < 3] = 0
     chosen = np.sort(np.argsort(-gain, kind="stable")[:max_features])
     chosen = chosen[gain[chosen] > 0]
+    if not len(chosen):
+        return Model(float(np.log(rate / (1 - rate))))
     place = np.full(DIMENSIONS, -1, dtype=np.int64)
     place[chosen] = np.arange(len(chosen))
     only = lambda r: place[r][place[r] >= 0]
