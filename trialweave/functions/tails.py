@@ -35,7 +35,10 @@ def beta_inc(a, b, x) -> np.ndarray:
     d = 1 - (a2 + b2) * x2 / (a2 + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
     h = d.copy()
-    for m in range(1, 300):
+    m, moved = 0, True
+    while moved:  # about the root of the larger parameter in steps
+        m += 1
+        moved = False
         for num in (
             m * (b2 - m) * x2 / ((a2 + 2 * m - 1) * (a2 + 2 * m)),
             -(a2 + m) * (a2 + b2 + m) * x2 / ((a2 + 2 * m) * (a2 + 2 * m + 1)),
@@ -45,6 +48,7 @@ def beta_inc(a, b, x) -> np.ndarray:
             c = 1 + num / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             h = h * c * d
+            moved = bool(np.any(np.abs(c * d - 1) > 1e-15))
     with np.errstate(divide="ignore", invalid="ignore"):
         logs = a2 * np.log(x2) + b2 * np.log1p(-x2)
     norm = _each(math.lgamma, a2 + b2) - _each(math.lgamma, a2) - _each(math.lgamma, b2)
@@ -53,24 +57,48 @@ def beta_inc(a, b, x) -> np.ndarray:
     return np.where(swap, 1 - val, val)
 
 
+#: From here on the uniform expansion of the gamma tail is good to about 1e-11.
+LARGE_SHAPE = 1e5
+
+
+def _gamma_tail_large(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Leading terms of the uniform asymptotic expansion in the shape."""
+    ratio = x / a
+    gap = ratio - 1
+    near = np.abs(gap) < 1e-3
+    with np.errstate(divide="ignore", invalid="ignore"):
+        half = np.where(near, gap**2 / 2 - gap**3 / 3 + gap**4 / 4, gap - np.log(ratio))
+        eta = np.sign(gap) * np.sqrt(2 * np.maximum(half, 0))
+        first = np.where(near, -1 / 3 + eta / 12, 1 / gap - 1 / eta)
+        body = _each(math.erfc, eta * np.sqrt(a / 2)) / 2
+        return np.clip(body + np.exp(-a * eta**2 / 2) / np.sqrt(2 * math.pi * a) * first, 0.0, 1.0)
+
+
 def gamma_tail(a, x) -> np.ndarray:
-    """Upper regularised incomplete gamma function: series below a + 1, continued fraction above."""
+    """Upper regularised incomplete gamma function: series below a + 1, continued fraction above, expansion for large shapes."""
     a, x = (np.array(v, dtype=float, copy=True) for v in np.broadcast_arrays(a, x))
-    lg = _each(math.lgamma, a)
-    safe = np.where(x > 0, x, 1.0)
-    front = np.exp(-safe + a * np.log(safe) - lg)
+    large = (a > LARGE_SHAPE) & (x > 0)
+    tail = _gamma_tail_large(np.where(large, a, 1.0), np.where(large, x, 1.0))
+    a = np.where(large, 1.0, a)
+    safe = np.where((x > 0) & ~large, x, 1.0)
+    front = np.exp(-safe + a * np.log(safe) - _each(math.lgamma, a))
     term = 1 / a
     total = term.copy()
-    for n in range(1, 500):
+    n = 0
+    below = safe < a + 1
+    while np.any(below & (term > 1e-17 * total)):
+        n += 1
         term = term * safe / (a + n)
         total = total + term
     low = 1 - front * total
     tiny = 1e-300
-    b = safe + 1 - a
+    b = np.where(below, a + 2, safe) + 1 - a  # rows of the series take no part
     c = np.full_like(b, 1 / tiny)
     d = 1 / np.where(np.abs(b) < tiny, tiny, b)
     h = d.copy()
-    for i in range(1, 500):
+    i, moved = 0, True
+    while moved:
+        i += 1
         an = -i * (i - a)
         b = b + 2
         d = an * d + b
@@ -78,23 +106,25 @@ def gamma_tail(a, x) -> np.ndarray:
         c = b + an / c
         c = np.where(np.abs(c) < tiny, tiny, c)
         h = h * d * c
-    return np.where(x <= 0, 1.0, np.where(x < a + 1, low, front * h))
+        moved = bool(np.any(np.abs(c * d - 1) > 1e-15))
+    return np.where(large, tail, np.where(x <= 0, 1.0, np.where(below, low, front * h)))
 
 
-def _rank_sum_counts(n1: int, n2: int) -> np.ndarray:
-    """Share of arrangements that give each U, by counting subsets of ranks."""
-    ways = np.zeros((n1 + 1, n1 * n2 + 1))
-    ways[0, 0] = 1
-    for j in range(1, n1 + n2 + 1):
-        for k in range(min(j, n1), 0, -1):
-            shift = j - k  # ranks above the smallest possible for the k-th pick
-            if shift <= n1 * n2:
-                ways[k, shift:] += ways[k - 1, : n1 * n2 + 1 - shift]
-    return ways[n1] / ways[n1].sum()
+def _rank_sum_tail(n1: int, n2: int, u: int) -> float:
+    """Share of arrangements whose U is at most ``u``: coefficients of the Gaussian binomial up to that power."""
+    ways = np.zeros(u + 1)
+    ways[0] = 1
+    for i in range(1, n1 + 1):
+        if n2 + i <= u:
+            ways[n2 + i :] = ways[n2 + i :] - ways[: -(n2 + i)]
+        for r in range(min(i, u + 1)):
+            ways[r::i] = np.cumsum(ways[r::i])
+    return float(ways.sum() / math.comb(n1 + n2, n1))
 
 
-def mann_whitney_p(u, n1, n2, ties) -> np.ndarray:
-    """Two-sided p: exact for a small sample without ties, else normal with tie and continuity corrections."""
+def mann_whitney_p(u, n1, n2, ties, method: str = "auto") -> np.ndarray:
+    """Two-sided p: ``exact`` counts arrangements, ``normal`` corrects for ties and continuity; ``auto`` is exact when the smaller
+    sample has eight values at most and there are no ties."""
     u, n1, n2, ties = (np.asarray(v, dtype=float) for v in (u, n1, n2, ties))
     big = np.maximum(u, n1 * n2 - u)
     n = n1 + n2
@@ -102,13 +132,12 @@ def mann_whitney_p(u, n1, n2, ties) -> np.ndarray:
         sd = np.sqrt(n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1))))
         z = (big - n1 * n2 / 2 - 0.5) / sd
     p = np.minimum(1.0, normal_two_sided(np.maximum(z, 0)))
-    small = (np.minimum(n1, n2) <= 8) & (ties == 0) & (n1 * n2 <= 20000) & (n1 > 0) & (n2 > 0)
-    known: dict[tuple[int, int], np.ndarray] = {}
-    for i in np.flatnonzero(small):
-        sizes = (min(int(n1[i]), int(n2[i])), max(int(n1[i]), int(n2[i])))
-        if sizes not in known:
-            known[sizes] = _rank_sum_counts(*sizes)
-        p[i] = min(1.0, 2 * known[sizes][int(math.ceil(big[i])) :].sum())
+    exact = (n1 > 0) & (n2 > 0)
+    if method == "auto":
+        exact &= (np.minimum(n1, n2) <= 8) & (ties == 0)
+    for i in np.flatnonzero(exact) if method != "normal" else []:
+        below = int(n1[i] * n2[i] - math.ceil(big[i]))
+        p[i] = min(1.0, 2 * _rank_sum_tail(min(int(n1[i]), int(n2[i])), max(int(n1[i]), int(n2[i])), below))
     return np.where(np.isfinite(sd) & (sd > 0), p, np.nan)
 
 

@@ -74,7 +74,10 @@ def heatmap(cut: DataFrame) -> DataFrame:
 
 
 def activity_by_history(cut: DataFrame, epochs: DataFrame) -> DataFrame:
-    """Pooled mean, SEM and mean of maxima per trace, current outcome and outcome streak (−1, 0, 1, 2 or more)."""
+    """Pooled mean, SEM, mean of maxima and trials per trace, current outcome and length of the outcome streak before it.
+
+    Every streak length of either sign is kept; trials without a streak before them are left out.
+    """
     t = epochs.select(*TRIAL, "ChoiceCorrect").distinct().withColumns(
         {
             "ChoiceLeft": F.lit(None).cast("int"),
@@ -84,12 +87,12 @@ def activity_by_history(cut: DataFrame, epochs: DataFrame) -> DataFrame:
         }
     )
     s = wn.outcome_streaks(t, ["ShortName"], lags=2)
-    streak = F.greatest(F.least(F.col("PrevOutcomeCount"), F.lit(2)), F.lit(-1))
-    h = s.select(*TRIAL, streak.alias("streak"))
+    h = s.filter("PrevOutcomeCount <> 0").select(*TRIAL, F.col("PrevOutcomeCount").alias("streak"))
     top = cut.groupBy(*TRIAL, "trace_id").agg(F.max("v").alias("mx"))
     j = cut.join(h, TRIAL).join(top, [*TRIAL, "trace_id"])
     return j.groupBy(*TRACE, "ChoiceCorrect", "streak").agg(
-        F.avg("v").alias("mean"), (F.stddev_samp("v") / F.sqrt(F.count("v"))).alias("sem"), F.avg("mx").alias("mean_max")
+        F.avg("v").alias("mean"), (F.stddev_samp("v") / F.sqrt(F.count("v"))).alias("sem"), F.avg("mx").alias("mean_max"),
+        F.count_distinct("TrialNumber").alias("n_trials"),
     )
 
 

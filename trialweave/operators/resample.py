@@ -22,9 +22,12 @@ def iterations(spark: SparkSession, n: int) -> DataFrame:
 
 
 def indexed(df: DataFrame, keys: Sequence[str], order: str, name: str) -> DataFrame:
-    """0-based index of each row in its group and the group size, blocked by a hash of the order key's text."""
-    block = F.substring(F.col(order).cast("string"), 1, 4)
-    out = skew.number_rows(df, keys, [F.col(order)], block, "__i", f"n_{name}")
+    """0-based index of each row in its group and the group size: in the order of a number, or of a text's hash and the text."""
+    if df.schema[order].dataType.typeName() == "string":
+        u = draws.u32(F.col(order))
+        out = skew.number_rows(df.withColumn("__u", u), keys, [F.col("__u"), F.col(order)], F.shiftright("__u", 20), "__i", f"n_{name}").drop("__u")
+    else:
+        out = skew.number_rows(df, keys, [F.col(order)], skew.position_block(F.col(order)), "__i", f"n_{name}")
     return out.withColumn(name, F.col("__i") - 1).drop("__i")
 
 

@@ -20,38 +20,47 @@ def rank_test(df: DataFrame, keys: Sequence[str], value: str, left: Column) -> D
         F.count_if("__l").alias("cl"), F.count(F.lit(1)).alias("c")
     )
     r = skew.mid_ranks(counts, keys)
-    n1, n = F.sum("cl"), F.sum("c")
+    n1, n = F.sum("cl").cast("double"), F.sum("c").cast("double")  # products of counts pass the range of longs
     u = F.sum(F.col("cl") * F.col("mid_rank")) - n1 * (n1 + 1) / 2
     out = r.groupBy(*keys).agg(
-        n1.alias("n_left"),
-        (n - n1).alias("n_right"),
+        n1.cast("long").alias("n_left"),
+        (n - n1).cast("long").alias("n_right"),
         u.alias("u"),
-        F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).cast("double").alias("ties"),
+        F.sum(F.pow("c", F.lit(3.0)) - F.col("c")).alias("ties"),
     )
     out = out.filter("n_left > 0 and n_right > 0")
-    return out.withColumn("auc", F.col("u") / (F.col("n_left") * F.col("n_right")))
+    return out.withColumn("auc", F.col("u") / (F.col("n_left").cast("double") * F.col("n_right")))
+
+
+def _ordered_p(df: DataFrame, family: Sequence[str], p: str, tie: Sequence[str]) -> DataFrame:
+    """Rows with a p-value, with their rank ``__r`` by it and the family's size ``__m``; a family may hold any share of all rows."""
+    known = df.filter(F.col(p).isNotNull())
+    return skew.number_rows(known, family, [F.col(p), *map(F.col, tie)], skew.value_block(F.col(p)), "__r", "__m")
+
+
+def _running(df: DataFrame, family: Sequence[str], value: str, fold, reverse: bool) -> DataFrame:
+    """``__run``: ``fold`` of ``value`` over the rows up to (or from) each one, along ``__r`` in blocks."""
+    b = skew.carry_in(df.withColumn("__blk", skew.position_block(F.col("__r"))), family, {"__in": (fold, fold(value))}, reverse)
+    order = F.col("__r").desc() if reverse else F.col("__r")
+    w = Window.partitionBy(*family, "__blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    both = F.greatest if fold is F.max else F.least  # skip missing values
+    return b.withColumn("__run", both(fold(value).over(w), F.col("__in"))).drop("__blk", "__in")
 
 
 def holm(df: DataFrame, family: Sequence[str], p: str, tie: Sequence[str], out: str = "p_holm") -> DataFrame:
-    """Holm step-down per family; missing p-values stay missing.  Families are small result tables."""
-    known = F.col(p).isNotNull()
-    part = Window.partitionBy(*family, known)
-    w = part.orderBy(p, *tie)
-    m = F.count(p).over(part)
-    raw = (m - F.row_number().over(w) + 1) * F.col(p)
-    stepped = df.withColumn("__raw", raw)
-    running = F.max("__raw").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return stepped.withColumn(out, F.when(known, F.least(running, F.lit(1.0)))).drop("__raw")
+    """Holm step-down per family; missing p-values stay missing and do not count."""
+    raw = _ordered_p(df, family, p, tie).withColumn("__raw", (F.col("__m") - F.col("__r") + 1) * F.col(p))
+    stepped = _running(raw, family, "__raw", F.max, False).withColumn(out, F.least("__run", F.lit(1.0)))
+    rest = df.filter(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double"))
+    return stepped.drop("__raw", "__run", "__r", "__m").unionByName(rest)
 
 
 def benjamini_hochberg(df: DataFrame, family: Sequence[str], p: str, tie: Sequence[str], out: str = "p_bh") -> DataFrame:
-    """False-discovery adjustment: running minimum of p·m/i from the largest p down."""
-    part = Window.partitionBy(*family)
-    up = part.orderBy(p, *tie)
-    down = part.orderBy(F.col(p).desc(), *[F.col(t).desc() for t in tie])
-    stepped = df.withColumn("__raw", F.col(p) * F.count(p).over(part) / F.row_number().over(up))
-    running = F.min("__raw").over(down.rowsBetween(Window.unboundedPreceding, 0))
-    return stepped.withColumn(out, F.least(running, F.lit(1.0))).drop("__raw")
+    """False-discovery adjustment: running minimum of p·m/i from the largest p down; missing p-values stay missing."""
+    raw = _ordered_p(df, family, p, tie).withColumn("__raw", F.col(p) * F.col("__m") / F.col("__r"))
+    stepped = _running(raw, family, "__raw", F.min, True).withColumn(out, F.least("__run", F.lit(1.0)))
+    rest = df.filter(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double"))
+    return stepped.drop("__raw", "__run", "__r", "__m").unionByName(rest)
 
 
 def repeated_anova(df: DataFrame, family: Sequence[str], subject: str, condition: str, value: str) -> DataFrame:
@@ -91,7 +100,7 @@ def rank_sums(df: DataFrame, family: Sequence[str], group: str, value: str) -> D
     counts = df.filter(F.col(value).isNotNull()).groupBy(*family, group, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("cg"))
     tot = counts.groupBy(*family, "v").agg(F.sum("cg").alias("c"))
     r = skew.mid_ranks(tot, family)
-    t = r.groupBy(*family).agg(F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).cast("double").alias("ties"), F.sum("c").alias("n"))
+    t = r.groupBy(*family).agg(F.sum(F.pow("c", F.lit(3.0)) - F.col("c")).alias("ties"), F.sum("c").alias("n"))
     j = counts.join(r.select(*family, "v", "mid_rank"), [*family, "v"])
     s = j.groupBy(*family, group).agg(F.sum("cg").alias("ng"), F.sum(F.col("cg") * F.col("mid_rank")).alias("rs"))
     return skew.attach(s, t, family)
@@ -99,8 +108,8 @@ def rank_sums(df: DataFrame, family: Sequence[str], group: str, value: str) -> D
 
 def kruskal(ranks: DataFrame, family: Sequence[str]) -> DataFrame:
     """H with tie correction from :func:`rank_sums`."""
-    n = F.max("n")
-    h = 12 / (n * (n + 1)) * F.sum(F.col("rs") * F.col("rs") / F.col("ng")) - 3 * (n + 1)
+    n = F.max("n").cast("double")
+    h = 12 / (n * (n + 1)) * F.sum(F.col("rs").cast("double") * F.col("rs") / F.col("ng")) - 3 * (n + 1)
     return ranks.groupBy(*family).agg((h / (1 - F.max("ties") / (n * n * n - n))).alias("h_stat"), (F.count(F.lit(1)) - 1).alias("df"))
 
 
@@ -109,7 +118,7 @@ def dunn(ranks: DataFrame, family: Sequence[str], group: str) -> DataFrame:
     a = ranks.select(*family, F.col(group).alias("a"), F.col("rs").alias("ra"), F.col("ng").alias("na"), "n", "ties")
     b = ranks.select(*family, F.col(group).alias("b"), F.col("rs").alias("rb"), F.col("ng").alias("nb"))
     j = a.withColumn("__one", F.lit(1)).join(b.withColumn("__one", F.lit(1)), [*family, "__one"]).filter("a < b")
-    n = F.col("n")
+    n = F.col("n").cast("double")
     var = (n * (n + 1) / 12 - F.col("ties") / (12 * (n - 1))) * (1 / F.col("na") + 1 / F.col("nb"))
     return j.select(*family, "a", "b", ((F.col("ra") / F.col("na") - F.col("rb") / F.col("nb")) / F.sqrt(var)).alias("z"))
 

@@ -290,7 +290,10 @@ def extend_positions(cut: DataFrame, key: Sequence[str], length: Column, at_star
 
 
 def resize(cut: DataFrame, key: Sequence[str], width: Column) -> DataFrame:
-    """Resize each row's positions to ``width`` samples by linear interpolation between pixel centres."""
+    """Resize each row's positions to ``width`` samples by linear interpolation between pixel centres.
+
+    A sample that needs a missing neighbour is missing.
+    """
     n = cut.groupBy(*key).agg((F.max("pos") + 1).alias("__n")).withColumn("__w", width.cast("int"))
     t = n.withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("__w") - 1)))
     x = (F.col("pos") + 0.5) * F.col("__n") / F.col("__w") - 0.5
@@ -301,7 +304,8 @@ def resize(cut: DataFrame, key: Sequence[str], width: Column) -> DataFrame:
     two = rows_of(("p", "w"), (lo.cast("long"), 1 - share), (hi.cast("long"), share))
     need = t.withColumn("__t", F.explode(two)).select(*key, F.col("pos").cast("long").alias("to"), F.col("__t.p").alias("pos"), F.col("__t.w").alias("w"))
     got = need.join(cut.select(*key, "pos", "v"), [*key, "pos"])
-    return got.groupBy(*key, "to").agg(F.sum(F.col("w") * F.col("v")).alias("v")).withColumnRenamed("to", "pos")
+    lacks = F.count_if((F.col("w") > 0) & F.col("v").isNull()) > 0
+    return got.groupBy(*key, "to").agg(F.when(~lacks, F.sum(F.col("w") * F.col("v"))).alias("v")).withColumnRenamed("to", "pos")
 
 
 # ---- averaging and ordering -----------------------------------------------------------------------------------------

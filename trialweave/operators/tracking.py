@@ -35,10 +35,10 @@ def nearest_time(
     u = u.withColumn("__blk", F.floor(F.col("__t") / F.lit(block)))
     u = skew.carry_in(u, keys, {"__before": (F.max, F.max("__r"))})
     u = skew.carry_in(u, keys, {"__after": (F.min, F.min("__r"))}, reverse=True)
-    w = Window.partitionBy(*keys, "__blk").orderBy("__t")
-    # Range frames see rows of the same instant on both sides.
-    past = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    future = w.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    # Range frames see rows of the same instant on both sides; both frames grow row by row, so a block costs its length.
+    block_of = Window.partitionBy(*keys, "__blk")
+    past = block_of.orderBy("__t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    future = block_of.orderBy(F.col("__t").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     u = u.withColumns(
         {
             "__p": F.coalesce(F.max("__r").over(past), F.col("__before")),
@@ -91,8 +91,9 @@ def interpolate(df: DataFrame, keys: Sequence[str], pos: str, values: Sequence[s
     b = b.withColumns({f"__k_{v}": c for v, c in known.items()})
     b = skew.carry_in(b, keys, {f"__b_{v}": (F.max, F.max(f"__k_{v}")) for v in values})
     b = skew.carry_in(b, keys, {f"__a_{v}": (F.min, F.min(f"__k_{v}")) for v in values}, reverse=True)
-    w = skew.block_window(keys, pos)
-    past, future = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    block_of = Window.partitionBy(*keys, "__blk")
+    past = block_of.orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    future = block_of.orderBy(F.col(pos).desc()).rowsBetween(Window.unboundedPreceding, 0)
     b = b.withColumns(
         {
             **{f"__p_{v}": F.coalesce(F.max(f"__k_{v}").over(past), F.col(f"__b_{v}")) for v in values},

@@ -86,7 +86,7 @@ def tuning_labels(tests: DataFrame, significant: Column) -> DataFrame:
 
 def label_tests(tests: DataFrame) -> DataFrame:
     """Preference by mean, median, rank statistic and ROC area, and readable names."""
-    u2 = F.col("n_left") * F.col("n_right") - F.col("u")
+    u2 = F.col("n_left").cast("double") * F.col("n_right") - F.col("u")
     name = F.regexp_replace(F.regexp_replace("data_col", "^Prev", "Previous "), "Choice", "Choice ")
     return tests.withColumns(
         {
@@ -162,15 +162,18 @@ def trajectories(activity: DataFrame, labels: DataFrame, positions: DataFrame, b
 def first_component(cut: DataFrame, row: str = "TrialNumber") -> DataFrame:
     """First principal component score of each trial per trace, and the share of variance it explains.
 
-    Spark adds up the position × position products, so one task only sees a small square matrix per trace, never its trials.
-    The heaviest position has a positive weight.
+    A trial's slice is one array, whose position × position products are added up where they are made: only a square matrix of
+    sums per trace leaves a task. Positions that a trial lacks count as average. The heaviest position has a positive weight.
     """
     s = cut.groupBy(*TRACE, "pos").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("d"))
     z = cut.select(*TRACE, row, "pos", "v").join(s, [*TRACE, "pos"])
     scale = F.when(F.col("d") > 0, F.col("d")).otherwise(1.0)
     z = z.select(*TRACE, row, "pos", ((F.col("v") - F.col("m")) / scale).alias("z"))
-    other = z.select(*TRACE, row, F.col("pos").alias("pos2"), F.col("z").alias("z2"))
-    prod = z.join(other, [*TRACE, row]).groupBy(*TRACE, "pos", "pos2").agg(F.sum(F.col("z") * F.col("z2")).alias("s"))
+    whole = z.groupBy(*TRACE, row).agg(F.sort_array(F.collect_list(F.struct("pos", "z"))).alias("zs"))
+    pairs = F.flatten(
+        F.transform("zs", lambda a: F.transform("zs", lambda b: F.struct(a["pos"].alias("pos"), b["pos"].alias("pos2"), (a["z"] * b["z"]).alias("s"))))
+    )
+    prod = whole.select(*TRACE, F.explode(pairs).alias("x")).groupBy(*TRACE, "x.pos", "x.pos2").agg(F.sum("x.s").alias("s"))
 
     def leading(pdf: pd.DataFrame) -> pd.DataFrame:
         m = pdf.pivot(index="pos", columns="pos2", values="s").fillna(0.0)

@@ -193,6 +193,33 @@ def time_groups(df: DataFrame, keys: Sequence[str], time: str, parts: int) -> Da
     return skew.attach(b, med, [*keys, "time_group"])
 
 
+def affine_starts(maps: DataFrame, keys: Sequence[str], start: float, fan: int = 1024, levels: int = 2) -> DataFrame:
+    """``__c``, the value before each block, when the maps ``x → __fa·x + __fb`` are applied to ``start`` in the order of ``__blk``.
+
+    ``fan`` neighbouring maps are composed into one, ``levels`` times over; the few maps left of a key are followed from the
+    start, and the values are handed down again. No task sees more than ``fan`` maps of a lower level.
+    """
+    group = lambda d: d.groupBy(*keys, "__g").agg(F.sort_array(F.collect_list(F.struct("__blk", "__fa", "__fb"))).alias("__l"))
+    one = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    whole = F.aggregate("__l", one, lambda m, f: F.struct((m["a"] * f["__fa"]).alias("a"), (m["b"] * f["__fa"] + f["__fb"]).alias("b")))
+
+    def followed(first: Column) -> Column:
+        """The maps of a list with the value before each of them."""
+        steps = F.aggregate("__l", F.array(first), lambda xs, f: F.array_append(xs, F.element_at(xs, -1) * f["__fa"] + f["__fb"]))
+        return F.explode(F.zip_with("__l", F.slice(steps, F.lit(1), F.size("__l")), lambda f, x: F.struct(f["__blk"].alias("b"), x.alias("x"))))
+
+    lists, level = [], maps
+    for _ in range(levels):
+        lists.append(group(level.withColumn("__g", F.floor(F.col("__blk") / fan).cast("long"))))
+        level = lists[-1].select(*keys, F.col("__g").alias("__blk"), whole.alias("__m")).select(*keys, "__blk", F.col("__m.a").alias("__fa"), F.col("__m.b").alias("__fb"))
+    top = group(level.withColumn("__g", F.lit(0)))
+    known = top.select(*keys, followed(F.lit(float(start))).alias("s")).select(*keys, F.col("s.b").alias("__blk"), F.col("s.x").alias("__c"))
+    for own in reversed(lists):
+        j = skew.key_join(own, known.withColumnRenamed("__blk", "__g"), [*keys, "__g"])
+        known = j.select(*keys, followed(F.col("__c")).alias("s")).select(*keys, F.col("s.b").alias("__blk"), F.col("s.x").alias("__c"))
+    return known
+
+
 def replay_average(
     df: DataFrame,
     keys: Sequence[str],
@@ -206,13 +233,11 @@ def replay_average(
 ) -> DataFrame:
     """Replay ``x ← x + rate·(outcome − x)`` over past trials where ``applies``; gives the value before each trial.
 
-    The update is affine, so a stretch of trials folds to (m applied, weighted sum).  Inside a block the fold is a running
-    sum of ``outcome·rate·(1−rate)^(−m)`` re-based per block; across blocks only (m, sum) travels, folded over enough
-    earlier blocks for the weight of anything older to fall below 1e-13.
+    The update is affine, so a stretch of trials folds to a map ``x → a·x + b``. Inside a block the fold is a running sum of
+    ``outcome·rate·(1−rate)^(−m)`` over the m updates so far, re-based per block; the blocks' maps are composed in order.
     """
     keep = 1.0 - rate
-    depth = max(1, math.ceil(math.log(1e-13) / math.log(keep)))
-    # Powers stay finite because a sub-block never applies more than ``width`` updates.
+    # Powers stay finite because a block never applies more than ``width`` updates.
     width = max(8, min(size, int(200 / -math.log(keep))))
     b = df.withColumn("__blk", skew.position_block(F.col(pos), width))
     w = Window.partitionBy(*keys, "__blk").orderBy(pos)
@@ -221,18 +246,9 @@ def replay_average(
     b = b.withColumn("__m", F.sum("__a").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     b = b.withColumn("__t", F.col("__o") * F.lit(rate) * F.pow(F.lit(keep), -F.col("__m")))
     per = b.groupBy(*keys, "__blk").agg(F.sum("__a").alias("__bm"), F.sum("__t").alias("__bt"))
-    per = per.withColumn("__bv", F.col("__bt") * F.pow(F.lit(keep), F.col("__bm")))
-    # Value at the end of each block that applied anything, folded over ``depth`` such blocks; quiet blocks inherit it.
-    order = Window.partitionBy(*keys).orderBy("__blk")
-    recent = F.collect_list(F.struct("__bm", "__bv")).over(order.rowsBetween(-depth, 0))
-    busy = per.filter(F.col("__bm") > 0).withColumn("__hs", recent)
-    after = F.aggregate("__hs", F.lit(float(start)), lambda acc, h: acc * F.pow(F.lit(keep), h["__bm"]) + h["__bv"])
-    ends = skew.key_join(
-        per.select(*keys, "__blk"), busy.select(*keys, "__blk", after.alias("__after")), [*keys, "__blk"], "left"
-    )
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    carried = F.coalesce(F.last("__after", ignorenulls=True).over(earlier), F.lit(float(start)))
-    b = skew.key_join(b, ends.select(*keys, "__blk", carried.alias("__c")), [*keys, "__blk"])
+    factor = F.pow(F.lit(keep), F.col("__bm"))
+    maps = per.select(*keys, "__blk", factor.alias("__fa"), (F.col("__bt") * factor).alias("__fb"))
+    b = skew.key_join(b, affine_starts(maps, keys, start), [*keys, "__blk"])
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     mb = F.coalesce(F.sum("__a").over(before), F.lit(0.0))
     tb = F.coalesce(F.sum("__t").over(before), F.lit(0.0))

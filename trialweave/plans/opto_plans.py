@@ -400,8 +400,8 @@ def _u(*parts):
 
 
 def _draw_sql(tag):
-    return f"""ss AS (SELECT Name, SessId, row_number() OVER (PARTITION BY Name ORDER BY SessId) - 1 AS sess, count(*) OVER (PARTITION BY Name) AS n_sess FROM (SELECT DISTINCT Name, SessId FROM tt) x),
-    sb AS (SELECT Name, n_sess, row_number() OVER (ORDER BY Name) - 1 AS subj, count(*) OVER () AS n_subj FROM (SELECT DISTINCT Name, n_sess FROM ss) x),
+    return f"""ss AS (SELECT Name, SessId, row_number() OVER (PARTITION BY Name ORDER BY {_u('SessId')}, SessId) - 1 AS sess, count(*) OVER (PARTITION BY Name) AS n_sess FROM (SELECT DISTINCT Name, SessId FROM tt) x),
+    sb AS (SELECT Name, n_sess, row_number() OVER (ORDER BY {_u('Name')}, Name) - 1 AS subj, count(*) OVER () AS n_subj FROM (SELECT DISTINCT Name, n_sess FROM ss) x),
     it AS (SELECT iter, slot, {_u(f"'{tag}1'", 'iter', 'slot')} % n_subj AS subj FROM (SELECT iter, n_subj, unnest(range(0, n_subj)) AS slot FROM range(0, {ITER}) r(iter), (SELECT max(n_subj) AS n_subj FROM sb) m) y),
     i2 AS (SELECT iter, slot, Name, n_sess, unnest(range(0, n_sess)) AS sess_slot FROM it JOIN sb USING (subj)),
     dr AS (SELECT iter, slot, sess_slot, i2.Name, SessId FROM i2 JOIN ss ON ss.Name = i2.Name AND ss.sess = {_u(f"'{tag}2'", 'iter', 'slot', 'sess_slot')} % i2.n_sess)"""
@@ -441,7 +441,7 @@ _G22 = f"""WITH tt AS (SELECT * FROM {_T} t), {_draw_sql('r')},
     ar AS (SELECT dr.*, Region, Phase, unnest([{{'arm': 'o', 'n': o, 'r': o1}}, {{'arm': 'c', 'n': c, 'r': c1}}]) AS a FROM dr JOIN ce USING (Name, SessId)),
     bt AS (SELECT iter, slot, Region, Phase, a.arm AS arm, CASE WHEN {_u("'r3'", 'iter', 'slot', 'sess_slot', 'Region', 'Phase', 'a.arm', 'k')} % a.n < a.r THEN 1 ELSE 0 END AS hit FROM (SELECT *, unnest(range(0, a.n)) AS k FROM ar) x),
     be AS (SELECT iter, Phase, Region, {_E9} AS e FROM (SELECT iter, slot, Region, Phase, avg(hit) FILTER (WHERE arm = 'c') AS cm, avg(hit) FILTER (WHERE arm = 'o') AS om FROM bt GROUP BY ALL) x),
-    sx AS (SELECT *, row_number() OVER (PARTITION BY Phase, Region ORDER BY SessId) - 1 AS i, count(*) OVER (PARTITION BY Phase, Region) AS n FROM se),
+    sx AS (SELECT *, row_number() OVER (PARTITION BY Phase, Region ORDER BY {_u('SessId')}, SessId) - 1 AS i, count(*) OVER (PARTITION BY Phase, Region) AS n FROM se),
     sl AS (SELECT *, unnest(range(0, n)) AS slot FROM (SELECT DISTINCT Phase, Region, n FROM sx) x, range(0, {ITER}) r(iter)),
     pk AS (SELECT iter, slot, sl.Phase, sl.Region, effect FROM sl JOIN sx ON sx.Phase = sl.Phase AND sx.Region = sl.Region AND sx.i = {_u("'r4'", 'iter', 'sl.Phase', 'sl.Region', 'slot')} % sl.n),
     tb AS (SELECT iter, Phase, Region, avg(effect) AS t FROM (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY iter, Phase, Region) AS n FROM pk WHERE effect IS NOT NULL WINDOW w AS (PARTITION BY iter, Phase, Region ORDER BY effect, slot)) x WHERE r > n // 5 AND r <= n - n // 5 GROUP BY ALL),
@@ -501,7 +501,7 @@ def g6(spark, sf):
 
 @query(
     "D32_bootstrap_with_replacement",
-    f"""WITH x AS (SELECT *, row_number() OVER (PARTITION BY Region ORDER BY CAST(event_id AS VARCHAR)[1:4], event_id) - 1 AS i, count(*) OVER (PARTITION BY Region) AS n FROM trials),
+    f"""WITH x AS (SELECT *, row_number() OVER (PARTITION BY Region ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY Region) AS n FROM trials),
       s AS (SELECT Region, n, sample, unnest(range(0, n)) AS slot FROM (SELECT DISTINCT Region, n FROM x) y, range(0, 3) r(sample))
       SELECT s.Region, sample, {qr('avg(calcStimulusTime)')} AS mean, count(*) AS n FROM s JOIN x ON x.Region = s.Region AND x.i = {_u("'boot'", 'sample', 's.Region', 'slot')} % s.n GROUP BY ALL""",
 )
@@ -522,8 +522,8 @@ def d32n(spark, sf):
 
 @query(
     "D50_session_resampling",
-    f"""WITH v AS (SELECT *, row_number() OVER (PARTITION BY SessId ORDER BY CAST(event_id AS VARCHAR)[1:4], event_id) - 1 AS i, count(*) OVER (PARTITION BY SessId) AS n FROM trials WHERE valid),
-      s AS (SELECT Name, SessId, n, row_number() OVER (PARTITION BY Name ORDER BY SessId) - 1 AS sess, count(*) OVER (PARTITION BY Name) AS ns FROM (SELECT DISTINCT Name, SessId, n FROM v) x),
+    f"""WITH v AS (SELECT *, row_number() OVER (PARTITION BY SessId ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY SessId) AS n FROM trials WHERE valid),
+      s AS (SELECT Name, SessId, n, row_number() OVER (PARTITION BY Name ORDER BY {_u('SessId')}, SessId) - 1 AS sess, count(*) OVER (PARTITION BY Name) AS ns FROM (SELECT DISTINCT Name, SessId, n FROM v) x),
       w AS (SELECT Name, ns, unnest(range(0, ns * 2)) AS new_sess FROM (SELECT DISTINCT Name, ns FROM s) x),
       p AS (SELECT w.Name, new_sess, SessId, n, unnest(range(0, n)) AS k FROM w JOIN s ON s.Name = w.Name AND s.sess = {_u("'rs1'", 'w.Name', 'new_sess')} % w.ns)
       SELECT p.Name, new_sess, o.TrialNumber, {qr(f"2 * ({_u(chr(39) + 'rs3' + chr(39), 'p.Name', 'new_sess', 'k')} / 4294967296.0::DOUBLE) - 1")} AS DV, d.calcStimulusTime, d.ChoiceCorrect

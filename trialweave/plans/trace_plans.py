@@ -554,17 +554,20 @@ def f32(spark, sf):
 
 @query(
     "F33_activity_by_history",
-    f"""WITH h AS (SELECT ShortName, TrialNumber, ChoiceCorrect, CASE WHEN pc IS NULL THEN 0 WHEN pc = 1 THEN CASE WHEN ppc = 1 THEN 2 ELSE 1 END
-        ELSE -1 END AS streak FROM (SELECT *, lag(ChoiceCorrect) OVER w AS pc, lag(ChoiceCorrect, 2) OVER w AS ppc FROM
-          (SELECT DISTINCT ShortName, TrialNumber, ChoiceCorrect FROM epochs) d WINDOW w AS (PARTITION BY ShortName ORDER BY TrialNumber)) q),
+    f"""WITH d AS (SELECT DISTINCT ShortName, TrialNumber, ChoiceCorrect FROM epochs),
+      c AS (SELECT *, CASE WHEN ChoiceCorrect = lag(ChoiceCorrect) OVER w AND TrialNumber = lag(TrialNumber) OVER w + 1 THEN 0 ELSE 1 END AS new FROM d WINDOW w AS (PARTITION BY ShortName ORDER BY TrialNumber)),
+      g AS (SELECT *, sum(new) OVER (PARTITION BY ShortName ORDER BY TrialNumber) AS run FROM c),
+      k AS (SELECT *, row_number() OVER (PARTITION BY ShortName, run ORDER BY TrialNumber) * CASE WHEN ChoiceCorrect = 1 THEN 1 ELSE -1 END AS len FROM g),
+      h AS (SELECT ShortName, TrialNumber, ChoiceCorrect, lag(len) OVER (PARTITION BY ShortName ORDER BY TrialNumber) AS streak FROM k),
       x AS (SELECT ShortName, TrialNumber, trace_id, max(v) AS mx FROM {_POS} p GROUP BY ALL)
-      SELECT * FROM (SELECT p.ShortName, p.trace_id, h.ChoiceCorrect, least(streak, 2) AS streak, {qr('avg(v)')} AS mean, {qr('stddev_samp(v) / sqrt(count(v))')} AS sem, {qr('avg(mx)')} AS mean_max
-      FROM {_POS} p JOIN h USING (ShortName, TrialNumber) JOIN x USING (ShortName, TrialNumber, trace_id) GROUP BY p.ShortName, p.trace_id, h.ChoiceCorrect, least(streak, 2)) z""".replace("avg(mx)", "avg(mx)"),
+      SELECT p.ShortName, p.trace_id, h.ChoiceCorrect, CAST(streak AS BIGINT) AS streak, {qr('avg(v)')} AS mean, {qr('stddev_samp(v) / sqrt(count(v))')} AS sem, {qr('avg(mx)')} AS mean_max,
+        count(DISTINCT TrialNumber) AS n_trials
+      FROM {_POS} p JOIN h USING (ShortName, TrialNumber) JOIN x USING (ShortName, TrialNumber, trace_id) WHERE streak IS NOT NULL GROUP BY p.ShortName, p.trace_id, h.ChoiceCorrect, streak""",
 )
 def f33(spark, sf):
     from trialweave.operators import composites as cp
 
-    return _r(cp.activity_by_history(_pos(spark, sf), fx.epochs(spark, sf)), [*T, "ChoiceCorrect", "streak"], "mean", "sem", "mean_max")
+    return _r(cp.activity_by_history(_pos(spark, sf), fx.epochs(spark, sf)), [*T, "ChoiceCorrect", "streak", "n_trials"], "mean", "sem", "mean_max")
 
 
 @query(
