@@ -40,14 +40,13 @@ def test_curve_values(spark, model):
     pars, want = CURVES[model]
     x = DATA[model][0]
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double")
-    for fn in (cm.erf, tails.erf):
-        got = df.select("i", cm.psychometric(model, F.col("x"), [F.lit(p) for p in pars], fn).alias("y")).orderBy("i").toPandas().y
-        np.testing.assert_allclose(got, want, rtol=1e-5, atol=1e-6)
+    got = df.select("i", cm.psychometric(model, F.col("x"), [F.lit(p) for p in pars]).alias("y")).orderBy("i").toPandas().y
+    np.testing.assert_allclose(got, want, rtol=1e-5, atol=1e-6)
 
 
 def test_curve_arguments(spark):
     with pytest.raises(ValueError):
-        cm.psychometric("foo", F.lit(1.0), [F.lit(1.0)] * 3)
+        cm.psychometric("straight line", F.lit(0.25), [F.lit(0.5)] * 3)
     with pytest.raises(ValueError):
         cm.psychometric("weibull", F.lit(1.0), [F.lit(1.0)] * 2)
 
@@ -55,8 +54,8 @@ def test_curve_arguments(spark):
 def test_likelihood_outside_bounds(spark):
     x, n, p = DATA["erf_psycho"]
     df = spark.createDataFrame([(float(a), float(n), float(b)) for a, b in zip(x, p)], "x double, n double, p double")
-    pars = [F.lit(-20.0), F.lit(30.0), F.lit(2.0)]
-    nll = cm.neg_log_likelihood("erf_psycho", F.col("x"), F.col("n"), F.col("p"), pars, ((-10, 20, 0), (10, 10, 0.05)))
+    pars = [F.lit(0.4), F.lit(12.5), F.lit(0.1)]
+    nll = cm.neg_log_likelihood("erf_psycho", F.col("x"), F.col("n"), F.col("p"), pars, ((-0.3, 1, 0), (0.3, 8, 0.2)))
     assert df.agg(nll.alias("l")).collect()[0].l > 10000
 
 

@@ -167,8 +167,3 @@ def p_chi2(x: pd.Series, df: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def p_normal(z: pd.Series) -> pd.Series:
     return pd.Series(normal_two_sided(z.astype(float).to_numpy()))
-
-
-@F.pandas_udf(T.DoubleType())
-def erf(x: pd.Series) -> pd.Series:
-    return pd.Series(_each(math.erf, x.to_numpy()))

@@ -78,7 +78,8 @@ def a4(spark, sf):
 @query("A5_cached_or_compute", mso_sql("trials", "DVstr", "Name", "calcStimulusTime"))
 def a5(spark, sf):
     return tb.cached_or_compute(
-        spark, f"time by difficulty|{sf}", lambda: mso(fx.trials(spark, sf), ["DVstr"], ["Name"], "calcStimulusTime")
+        spark, f"time by difficulty|{sf}", lambda: mso(fx.trials(spark, sf), ["DVstr"], ["Name"], "calcStimulusTime"),
+        tb.output_dir(spark),
     )
 
 
@@ -94,7 +95,7 @@ def a6(spark, sf):
 
 @query("A7_result_sink", "SELECT Name, DVstr, count(*) AS n FROM trials GROUP BY ALL")
 def a7(spark, sf):
-    path = f"{tb.shared_dir(spark)}/trialweave/{spark.sparkContext.applicationId}/results_{abs(hash(sf))}"
+    path = f"{tb.output_dir(spark)}/results_{sf.strip('/').replace('/', '_').replace(':', '_')}"
     tb.write_results(fx.ev(spark, sf).selectExpr(
         "concat('S', user_id) Name",
         "case when abs((k - 50) / 50.0D) >= 0.66 then 'Easy' when abs((k - 50) / 50.0D) <= 0.33 then 'Hard' else 'Med' end DVstr",

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from trialweave.functions import skew, tails
+from trialweave.functions import skew
 from trialweave.operators import behavior as bh
 from trialweave.operators import compare as cm
 from trialweave.operators import tracking as tk
@@ -11,6 +11,7 @@ from trialweave.operators.behavior import r6, rnd
 from trialweave.plans.behavior_plans import _PSY, _bucket_sql, mso, mso_sql
 from trialweave.plans.registry import query
 from trialweave.sources import fixtures as fx
+from trialweave.sources.sql_views import erf_sql
 from trialweave.sources.sql_views import q6
 from trialweave.sources.sql_views import rnd as qr
 from trialweave.sources.sql_views import streak_sql
@@ -351,18 +352,27 @@ def _points(spark, sf, keys):
     return p.select(*keys, F.col("dv").alias("x"), "n", F.col("outcome").alias("p"))
 
 
-@query("D29_psychometric_functions")
+_D29 = ((0.3, 2.0, 0.1), (-0.1, 0.4, 0.1), (-0.1, 0.4, 0.2, 0.05))
+
+
+@query(
+    "D29_psychometric_functions",
+    f"""SELECT event_id, {qr('(1 - 0.1::DOUBLE) - (1 - 0.1::DOUBLE - 0.1::DOUBLE) * exp(-pow(abs(DV) / 0.3::DOUBLE, 2.0::DOUBLE))')} AS weibull,
+      {qr('(1 - 0.1::DOUBLE) - (1 - 0.1::DOUBLE - 0.5::DOUBLE) * exp(-pow(abs(DV) / 0.3::DOUBLE, 2.0::DOUBLE))')} AS weibull50,
+      {qr(f"0.1::DOUBLE + (1 - 0.1::DOUBLE - 0.1::DOUBLE) * ({erf_sql('(DV + 0.1::DOUBLE) / 0.4::DOUBLE')} + 1) / 2")} AS erf_psycho,
+      {qr(f"0.2::DOUBLE + (1 - 0.2::DOUBLE - 0.05::DOUBLE) * ({erf_sql('(DV + 0.1::DOUBLE) / 0.4::DOUBLE')} + 1) / 2")} AS erf_psycho_2gammas FROM trials""",
+)
 def d29(spark, sf):
     """Model probabilities at every trial's evidence."""
     t = fx.trials(spark, sf).select("event_id", "DV")
     x = F.col("DV")
-    lit = [[F.lit(float(v)) for v in p] for p in ((0.3, 2.0, 0.1), (-0.1, 0.4, 0.1), (-0.1, 0.4, 0.2, 0.05))]
+    lit = [[F.lit(v) for v in p] for p in _D29]
     return t.select(
         "event_id",
-        cm.psychometric("weibull", F.abs(x), lit[0]).alias("weibull"),
-        cm.psychometric("weibull50", F.abs(x), lit[0]).alias("weibull50"),
-        cm.psychometric("erf_psycho", x, lit[1], tails.erf).alias("erf_psycho"),
-        cm.psychometric("erf_psycho_2gammas", x, lit[2], tails.erf).alias("erf_psycho_2gammas"),
+        rnd(cm.psychometric("weibull", F.abs(x), lit[0])).alias("weibull"),
+        rnd(cm.psychometric("weibull50", F.abs(x), lit[0])).alias("weibull50"),
+        rnd(cm.psychometric("erf_psycho", x, lit[1])).alias("erf_psycho"),
+        rnd(cm.psychometric("erf_psycho_2gammas", x, lit[2])).alias("erf_psycho_2gammas"),
     )
 
 
@@ -385,11 +395,11 @@ def d30(spark, sf):
 @query("D31_psychometric_fit")
 def d31(spark, sf):
     """Curves of every subject in one job."""
-    return cm.grid_fit(_points(spark, sf, ["Name"]), ["Name"], "erf_psycho", (-1.0, 0.05, 0.0), (1.0, 3.0, 0.4), steps=7, passes=4, shrink=0.4)
+    return cm.grid_fit(_points(spark, sf, ["Name"]), ["Name"], "erf_psycho", (-1.0, 0.05, 0.0), (1.0, 3.0, 0.4))
 
 
 @query("D9_performance_bins")
 def d9(spark, sf):
     """Evidence edges of equal performance steps per region."""
-    fits = cm.grid_fit(_points(spark, sf, ["Region"]), ["Region"], "erf_psycho", (-1.0, 0.05, 0.0), (1.0, 3.0, 0.4), steps=7, passes=4, shrink=0.4)
+    fits = cm.grid_fit(_points(spark, sf, ["Region"]), ["Region"], "erf_psycho", (-1.0, 0.05, 0.0), (1.0, 3.0, 0.4))
     return cm.performance_edges(fits, ["Region"], "erf_psycho", 3)

@@ -11,7 +11,7 @@ from trialweave.operators.behavior import r6, rnd
 from trialweave.plans.behavior_plans import _BIAS, _PSY, _bucket_sql, mso, mso_sql
 from trialweave.plans.registry import query
 from trialweave.sources import fixtures as fx
-from trialweave.sources.sql_views import q6
+from trialweave.sources.sql_views import erf_sql, q6
 from trialweave.sources.sql_views import rnd as qr
 from trialweave.sources.sql_views import rnd as rnd_sql
 
@@ -331,10 +331,17 @@ def g17k(spark, sf):
     return st.kruskal(r, ["Region"]).withColumn("h_stat", rnd("h_stat"))
 
 
-@query("G17_kruskal_p")
+_KRUSKAL = "(12.0::DOUBLE / (max(n) * (max(n) + 1)) * sum(rs * rs / ng) - 3 * (max(n) + 1)) / (1 - max(ties) / (max(n)::DOUBLE * max(n) * max(n) - max(n)))"
+
+
+@query(
+    "G17_kruskal_p",  # three groups: the tail of two degrees of freedom is an exponential
+    f"""{_RANKS} SELECT Region, {qr('h')} AS h_stat, df, {qr('exp(-h / 2)')} AS p FROM (SELECT Region, {_KRUSKAL} AS h, count(*) - 1 AS df FROM g JOIN t USING (Region) GROUP BY Region) x WHERE df = 2""",
+)
 def g17p(spark, sf):
     r = st.rank_sums(fx.trials(spark, sf), ["Region"], "DVstr", "calcStimulusTime")
-    return st.kruskal(r, ["Region"]).withColumn("p", tails.p_chi2("h_stat", "df"))
+    k = st.kruskal(r, ["Region"]).withColumn("p", tails.p_chi2("h_stat", "df"))
+    return k.withColumns({"h_stat": rnd("h_stat"), "p": rnd("p")})
 
 
 @query(
@@ -347,10 +354,20 @@ def g18(spark, sf):
     return st.dunn(r, ["Region"], "DVstr").withColumn("z", rnd("z"))
 
 
-@query("G18_dunn_holm_p")
+_DUNN = "(a.rs / a.ng - b.rs / b.ng) / sqrt((n::DOUBLE * (n + 1) / 12 - ties / (12 * (n - 1))) * (1.0::DOUBLE / a.ng + 1.0::DOUBLE / b.ng))"
+
+
+@query(
+    "G18_dunn_holm_p",
+    f"""{_RANKS}, z AS (SELECT a.Region, a.DVstr AS a, b.DVstr AS b, {_DUNN} AS z FROM g a JOIN g b ON a.Region = b.Region AND a.DVstr < b.DVstr JOIN t ON t.Region = a.Region),
+      p AS (SELECT *, 1 - {erf_sql('abs(z) / sqrt(2.0::DOUBLE)')} AS p FROM z),
+      r AS (SELECT *, (count(*) OVER (PARTITION BY Region) - row_number() OVER (PARTITION BY Region ORDER BY p, a, b) + 1) * p AS raw FROM p)
+      SELECT Region, a, b, {qr('z')} AS z, {qr('p')} AS p, {qr('least(1.0::DOUBLE, max(raw) OVER (PARTITION BY Region ORDER BY p, a, b))')} AS p_holm FROM r""",
+)
 def g18p(spark, sf):
     r = st.rank_sums(fx.trials(spark, sf), ["Region"], "DVstr", "calcStimulusTime")
-    return st.holm(st.dunn(r, ["Region"], "DVstr").withColumn("p", tails.p_normal("z")), ["Region"], "p", ["a", "b"])
+    h = st.holm(st.dunn(r, ["Region"], "DVstr").withColumn("p", tails.p_normal("z")), ["Region"], "p", ["a", "b"])
+    return h.select("Region", "a", "b", *[rnd(c).alias(c) for c in ("z", "p", "p_holm")])
 
 
 # A p-like value per subject and difficulty, with some missing, for the corrections.
@@ -407,27 +424,32 @@ def _draw_sql(tag):
     dr AS (SELECT iter, slot, sess_slot, i2.Name, SessId FROM i2 JOIN ss ON ss.Name = i2.Name AND ss.sess = {_u(f"'{tag}2'", 'iter', 'slot', 'sess_slot')} % i2.n_sess)"""
 
 
-@query(
-    "G21_hierarchical_bootstrap",
-    f"""WITH tt AS (SELECT * FROM {_T} t), {_draw_sql('b')},
+_G21 = f"""WITH tt AS (SELECT * FROM {_T} t), {_draw_sql('b')},
       ce AS (SELECT Name, SessId, count(*) FILTER (WHERE OptoEnabled = 1 AND ChoiceCorrect = 1) AS o1, count(*) FILTER (WHERE OptoEnabled = 1) AS o,
         count(*) FILTER (WHERE OptoEnabled = 0 AND ChoiceCorrect = 1) AS c1, count(*) AS n FROM tt GROUP BY ALL),
       tr AS (SELECT iter, o, o1, c1, {_u("'b3'", 'iter', 'slot', 'sess_slot', 'k')} % n AS u FROM (SELECT dr.*, o, o1, c1, n, unnest(range(0, n)) AS k FROM dr JOIN ce USING (Name, SessId)) x),
-      s AS (SELECT iter, avg(CASE WHEN u < o1 THEN 1 ELSE 0 END) FILTER (WHERE u < o) AS om, avg(CASE WHEN u - o < c1 THEN 1 ELSE 0 END) FILTER (WHERE u >= o) AS cm FROM tr GROUP BY iter)
-      SELECT iter, {qr(_gain('cm', 'om'))} AS effect FROM s""",
-)
+      s AS (SELECT iter, avg(CASE WHEN u < o1 THEN 1 ELSE 0 END) FILTER (WHERE u < o) AS om, avg(CASE WHEN u - o < c1 THEN 1 ELSE 0 END) FILTER (WHERE u >= o) AS cm FROM tr GROUP BY iter)"""
+
+
+@query("G21_hierarchical_bootstrap", f"""{_G21} SELECT iter, {qr(_gain('cm', 'om'))} AS effect FROM s""")
 def g21(spark, sf):
     b = rs.hierarchical_bootstrap(spark, _opto(spark, sf), ITER)
     return b.withColumn("effect", rnd("effect"))
 
 
-@query("G21_bootstrap_sign_p")
+@query(
+    "G21_bootstrap_sign_p",
+    f"""{_G21}, b AS (SELECT {_gain('cm', 'om')} AS e FROM s), m AS (SELECT {_C} AS cm, {_O} AS om FROM tt), o AS (SELECT {_gain('cm', 'om')} AS observed FROM m)
+      SELECT {qr('observed')} AS observed, {qr('CASE WHEN observed = 0 THEN 1.0 ELSE least(1.0::DOUBLE, 2 * count(*) FILTER (WHERE (observed > 0 AND e < 0) OR (observed < 0 AND e > 0)) / count(e)::DOUBLE) END')} AS p
+      FROM b, o GROUP BY observed""",
+)
 def g21p(spark, sf):
     t = _opto(spark, sf)
     c, o = op.arm_mean("ChoiceCorrect", 0), op.arm_mean("ChoiceCorrect", 1)
     obs = t.agg(op.effect_size(c, o).alias("observed")).withColumn("j", F.lit(1))
     b = rs.hierarchical_bootstrap(spark, t, ITER).withColumn("j", F.lit(1)).join(obs, "j")
-    return b.groupBy("observed").agg(rs.sign_p(F.col("observed"), F.col("effect")).alias("p"))
+    p = b.groupBy("observed").agg(rs.sign_p(F.col("observed"), F.col("effect")).alias("p"))
+    return p.select(rnd("observed").alias("observed"), rnd("p").alias("p"))
 
 
 _E9 = "round(-100 * (om / nullif(cm, 0) - 1), 9)"

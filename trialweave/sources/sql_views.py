@@ -10,6 +10,24 @@ def rnd(expr: str, digits: int = 9) -> str:
     return f"(round(CAST({expr} AS DOUBLE) + {1.37 * 10.0 ** -(digits + 1)!r}::DOUBLE, {digits}) + 0.0::DOUBLE)"
 
 
+def erf_sql(x: str) -> str:
+    """The error function by the same rational approximations as ``operators.compare.erf``."""
+    from trialweave.operators.compare import CODY
+
+    def horner(c, v):
+        out = f"{c[0]!r}::DOUBLE"
+        for k in c[1:]:
+            out = f"({out} * {v} + {k!r}::DOUBLE)"
+        return out
+
+    x, z = f"({x})", f"abs({x})"
+    low, mid, far = (lambda v, r=r: f"({horner(r[0], v)} / {horner(r[1], v)})" for r in CODY)
+    near = f"{x} * {low(f'({x} * {x})')}"
+    square = f"(1 / ({z} * {z}))"
+    tail = f"(CASE WHEN {z} <= 4 THEN exp(-({z} * {z})) * {mid(z)} ELSE exp(-({z} * {z})) / {z} * (1 / sqrt(pi()) - {square} * {far(square)}) END)"
+    return f"(CASE WHEN {z} <= 0.46875 THEN {near} WHEN {x} > 0 THEN 1 - {tail} ELSE {tail} - 1 END)"
+
+
 def q6(expr: str) -> str:
     return rnd(expr, 6)
 

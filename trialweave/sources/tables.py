@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,46 +49,42 @@ def region_names(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "code INT, region STRING, shown STRING")
 
 
-_LOCAL_DIRS: dict[str, str] = {}
 _STORED: dict[tuple[str, str], T.StructType] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor sees; a temporary one only when Spark itself runs on one machine."""
+def shared_dir(spark: SparkSession) -> str | None:
+    """Folder named by ``spark.checkpoint.dir``, which every executor sees; None where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return _LOCAL_DIRS[app]
+    return folder.rstrip("/") if folder else None
 
 
 def stored(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table written once per application to the shared folder and read from there.
+    """A derived table written once per application to the shared folder and read from there; a plain view without that folder.
 
     Readers get column pruning, filter push-down and real sizes for join planning, and a lost executor costs a re-read rather
-    than the derivation.
+    than the derivation. The key names the source, which must not change within an application.
     """
+    folder = shared_dir(spark)
+    if folder is None:
+        return build()
     app = spark.sparkContext.applicationId
-    path = f"{shared_dir(spark)}/trialweave/{app}/{hashlib.md5(key.encode()).hexdigest()}"
-    if (app, key) in _STORED:
-        try:
-            return spark.read.schema(_STORED[app, key]).parquet(path)
-        except AnalysisException:  # the folder was cleared
-            del _STORED[app, key]
-    df = build()
-    df.write.mode("overwrite").parquet(path)
-    _STORED[app, key] = df.schema
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def cached_or_compute(spark: SparkSession, key: str, build: Callable[[], DataFrame], folder: str | None = None):
-    """Read the table stored under ``key``; compute and store it first when absent."""
-    name = hashlib.md5(key.encode()).hexdigest()
-    path = f"{folder or shared_dir(spark)}/trialweave/{spark.sparkContext.applicationId}/cache_{name}"
+    path = f"{folder}/trialweave/{app}/{hashlib.md5(key.encode()).hexdigest()}"
+    if (app, key) not in _STORED:
+        df = build()
+        df.write.mode("overwrite").parquet(path)
+        _STORED[app, key] = df.schema
+    return spark.read.schema(_STORED[app, key]).parquet(path)
+
+
+def output_dir(spark: SparkSession) -> str:
+    """Where results of the application go by default: the shared folder, else the warehouse."""
+    folder = shared_dir(spark) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return f"{folder}/trialweave/{spark.sparkContext.applicationId}"
+
+
+def cached_or_compute(spark: SparkSession, key: str, build: Callable[[], DataFrame], folder: str) -> DataFrame:
+    """Read the table stored under ``key`` in ``folder``; compute and store it first when absent."""
+    path = f"{folder}/cache_{hashlib.md5(key.encode()).hexdigest()}"
     build().write.mode("ignore").parquet(path)
     return spark.read.parquet(path)
 
