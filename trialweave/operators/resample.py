@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialweave.functions import draws, skew
@@ -140,43 +140,69 @@ def two_region_bootstrap(spark: SparkSession, trials: DataFrame, n_iter: int) ->
     return st.holm(s.join(ci, key), ["Phase"], "p", ["stat"])
 
 
-def max_statistic_permutation(spark: SparkSession, trials: DataFrame, n_iter: int) -> DataFrame:
-    """Family-wise p from permutation maxima per phase: arms shuffled within session, region labels swapped or reassigned."""
+def hypergeometric_table(cells: DataFrame) -> DataFrame:
+    """For each distinct (n, r, o) and k the upper end ``hi`` of the range of a uniform draw for which k of the r right answers are
+    among o of n; the ranges of k follow one another."""
+    k = F.sequence(F.greatest(F.lit(0).cast("long"), F.col("o") - (F.col("n") - F.col("r"))), F.least("o", "r"))
+    t = cells.select("n", "r", "o").distinct().withColumn("k", F.explode(k))
+    ratio = (F.col("r") - F.col("k") + 1).cast("double") * (F.col("o") - F.col("k") + 1) / (F.col("k").cast("double") * (F.col("n") - F.col("r") - F.col("o") + F.col("k")))
+    w = Window.partitionBy("n", "r", "o").orderBy("k")  # as many rows as a session's stimulated trials
+    upto, whole = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("n", "r", "o")
+    first = F.row_number().over(w) == 1
+    t = t.withColumn("__l", F.when(first, F.lit(0.0)).otherwise(F.ln(ratio))).withColumn("__l", F.sum("__l").over(upto))
+    t = t.withColumn("__p", F.exp(F.col("__l") - F.max("__l").over(whole)))
+    t = t.withColumns({"hi": F.sum("__p").over(upto) / F.sum("__p").over(whole), "__last": F.lead("k").over(w).isNull()})
+    return t.select("n", "r", "o", "k", F.when(F.col("__last"), F.lit(2.0)).otherwise(F.col("hi")).alias("hi"))
+
+
+def max_statistic_permutation(spark: SparkSession, trials: DataFrame, n_iter: int = 10_000) -> DataFrame:
+    """Adjusted p from permutation maxima, within each phase and over both: mean effect of each region and their difference.
+
+    An iteration deals the arms again within every session, and of that the number of right answers among the stimulated trials
+    is all that matters: a hypergeometric draw per session. The resulting subject effects then get permuted region labels
+    (subjects with both regions swap them or not, the others are dealt theirs), and all three statistics come from these. The
+    difference needs two subjects in each region; sessions with one arm only take part in the observed effects alone.
+    """
     blk = ["Name", "Region", "Phase"]
-    gap = F.round(F.avg(F.when(F.col("OptoEnabled") == 0, F.col("ChoiceCorrect"))) - F.avg(F.when(F.col("OptoEnabled") == 1, F.col("ChoiceCorrect"))), 9)
-    ent = trials.groupBy(*blk).agg(gap.alias("effect")).filter("effect is not null")
+    o, c = F.col("OptoEnabled"), F.col("ChoiceCorrect")
+    cells = trials.groupBy("Name", "SessId", "Region", "Phase").agg(F.count(F.lit(1)).alias("n"), F.count_if(c == 1).alias("r"), F.count_if(o == 1).alias("o"), F.count_if((o == 1) & (c == 1)).alias("k"))
+
+    def effects(d: DataFrame, keys: Sequence[str]) -> DataFrame:
+        on, right, seen, hit = F.sum("o"), F.sum("k"), F.sum(F.col("n") - F.col("o")), F.sum(F.col("r") - F.col("k"))
+        gap = F.round(hit / F.nullif(seen, F.lit(0)) - right / F.nullif(on, F.lit(0)), 9)
+        return d.groupBy(*keys, *blk).agg(gap.alias("effect")).filter("effect is not null")
 
-    def stat_rows(e: DataFrame, keys: Sequence[str], cross: bool) -> DataFrame:
+    def statistics(e: DataFrame, keys: Sequence[str]) -> DataFrame:
         m = {r: F.avg(F.when(F.col("Region") == r, F.col("effect"))) for r in ("MFC", "LFC")}
-        g = e.groupBy(*keys, "Phase").agg(m["MFC"].alias("MFC"), m["LFC"].alias("LFC"))
-        g = g.withColumn("crossregion", F.col("MFC") - F.col("LFC"))
-        names = ["crossregion"] if cross else ["MFC", "LFC"]
-        return g.select(*keys, "Phase", F.expr(f"stack({len(names)}, {', '.join(f'{n!r}, {n}' for n in names)}) as (stat, value)"))
-
-    obs = stat_rows(ent, [], False).unionByName(stat_rows(ent, [], True)).filter("value is not null")
-    # within regions: the arms of a session are dealt again
-    size = ["Name", "SessId", "Region", "Phase"]
-    t = trials.select(*size, "event_id", "OptoEnabled", "ChoiceCorrect").withColumn("iter", slots(F.lit(n_iter)))
-    t = t.withColumn("u", draws.u32(F.lit("p1"), F.col("iter"), F.col("event_id")))
-    n_opto = trials.groupBy(*size).agg(F.sum("OptoEnabled").alias("n_opto"))
-    t = skew.number_rows(t, ["iter", *size], [F.col("u"), F.col("event_id")], F.shiftright("u", 20), "rn").join(n_opto, size)
-    t = t.withColumn("OptoEnabled", (F.col("rn") <= F.col("n_opto")).cast("int"))
-    null = stat_rows(t.groupBy("iter", *blk).agg(gap.alias("effect")).filter("effect is not null"), ["iter"], False)
-    # across regions: pairs swap, single subjects are dealt the remaining labels
-    both = ent.groupBy("Name", "Phase").agg((F.count(F.lit(1)) == 2).alias("paired"))
-    e = ent.join(both, ["Name", "Phase"]).withColumn("iter", slots(F.lit(n_iter)))
-    e = e.withColumn("u", draws.u32(F.lit("p2"), F.col("iter"), F.col("Phase"), F.col("Name")))
+        n = {r: F.count_if(F.col("Region") == r) for r in ("MFC", "LFC")}
+        cross = F.when((n["MFC"] >= 2) & (n["LFC"] >= 2), m["MFC"] - m["LFC"])
+        g = e.groupBy(*keys, "Phase").agg(m["MFC"].alias("MFC"), m["LFC"].alias("LFC"), cross.alias("crossregion"))
+        return g.select(*keys, "Phase", F.expr("stack(3, 'MFC', MFC, 'LFC', LFC, 'crossregion', crossregion) as (stat, value)")).filter("value is not null")
+
+    obs = statistics(effects(cells, []), [])
+    dealt = cells.filter("o > 0 and o < n").drop("k")
+    table = hypergeometric_table(dealt).groupBy("n", "r", "o").agg(F.sort_array(F.collect_list(F.struct("k", "hi"))).alias("ks"))
+    it = dealt.join(table, ["n", "r", "o"]).withColumn("iter", slots(F.lit(n_iter)))  # ranges come to a session once, draws are made there
+    it = it.withColumn("u", draws.u32(F.lit("p1"), F.col("iter"), F.col("SessId"), F.col("Region"), F.col("Phase")) / F.lit(float(1 << 32)))
+    ent = effects(it.withColumn("k", F.element_at(F.filter("ks", lambda x: x["hi"] > F.col("u")), 1)["k"]), ["iter"])
+    # Which subjects have an effect in which region does not depend on the draw.
+    who = dealt.select(*blk).distinct()
+    both = who.groupBy("Name", "Phase").agg((F.count(F.lit(1)) == 2).alias("paired"))
+    e = ent.join(both, ["Name", "Phase"]).withColumn("u", draws.u32(F.lit("p2"), F.col("iter"), F.col("Phase"), F.col("Name")))
     singles = skew.number_rows(e.filter("not paired"), ["iter", "Phase"], [F.col("u"), F.col("Name")], F.shiftright("u", 20), "rn")
-    mfc = ent.join(both, ["Name", "Phase"]).groupBy("Phase").agg(F.count_if((F.col("Region") == "MFC") & ~F.col("paired")).alias("need"))
-    dealt = singles.join(mfc, "Phase").withColumn("Region", F.when(F.col("rn") <= F.col("need"), "MFC").otherwise("LFC"))
+    need = who.join(both, ["Name", "Phase"]).groupBy("Phase").agg(F.count_if((F.col("Region") == "MFC") & ~F.col("paired")).alias("need"))
+    given = singles.join(need, "Phase").withColumn("Region", F.when(F.col("rn") <= F.col("need"), "MFC").otherwise("LFC"))
     other = F.when(F.col("Region") == "MFC", "LFC").otherwise("MFC")
     swapped = e.filter("paired").withColumn("Region", F.when(F.col("u") < (1 << 31), other).otherwise(F.col("Region")))
     cols = ["iter", "Phase", "Region", "effect"]
-    null = null.unionByName(stat_rows(swapped.select(*cols).unionByName(dealt.select(*cols)), ["iter"], True))
-    top = null.filter("value is not null").groupBy("iter", "Phase").agg(F.round(F.max(F.abs("value")), 9).alias("top"))
-    j = top.join(obs, "Phase")
+    null = statistics(swapped.select(*cols).unionByName(given.select(*cols)), ["iter"])
+    scope = F.explode(F.array(F.col("Phase"), F.lit("both")))
+    top = null.select("iter", scope.alias("scope"), "value").groupBy("iter", "scope").agg(F.round(F.max(F.abs("value")), 9).alias("top"))
+    wanted = obs.withColumn("scope", scope)
     beats = F.count_if(F.col("top") >= F.round(F.abs(F.col("value")), 9))
-    return j.groupBy("Phase", "stat", F.col("value").alias("observed")).agg(((1 + beats) / (1 + F.count(F.lit(1)))).alias("p_adjusted"))
+    p = wanted.join(top, "scope").groupBy("Phase", "stat", F.col("value").alias("observed"), "scope").agg(((1 + beats) / (1 + F.count(F.lit(1)))).alias("p"))
+    own = F.col("scope") != "both"
+    return p.groupBy("Phase", "stat", "observed").agg(F.max(F.when(own, F.col("p"))).alias("p_adjusted"), F.max(F.when(~own, F.col("p"))).alias("p_global"))
 
 
 def auc_permutation(df: DataFrame, keys: Sequence[str], value: str, left: Column, row: str, n_iter: int) -> DataFrame:

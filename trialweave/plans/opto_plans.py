@@ -481,30 +481,44 @@ def g22(spark, sf):
     return r.select("Phase", "stat", *[rnd(c).alias(c) for c in ("observed", "sd", "ci_low", "ci_high", "p", "p_holm")])
 
 
-_GAP = "round(avg(ChoiceCorrect) FILTER (WHERE arm = 0) - avg(ChoiceCorrect) FILTER (WHERE arm = 1), 9)"
+ITER_MAX = 1000
+_EFF = "round(sum(r - k) / nullif(sum(n - o), 0)::DOUBLE - sum(k) / nullif(sum(o), 0)::DOUBLE, 9)"
+_STATS = """avg(effect) FILTER (WHERE Region = 'MFC') AS m, avg(effect) FILTER (WHERE Region = 'LFC') AS l,
+        CASE WHEN count(*) FILTER (WHERE Region = 'MFC') >= 2 AND count(*) FILTER (WHERE Region = 'LFC') >= 2
+          THEN avg(effect) FILTER (WHERE Region = 'MFC') - avg(effect) FILTER (WHERE Region = 'LFC') END AS x"""
 
 
 @query(
     "G23_max_statistic_permutation",
-    f"""WITH tt AS (SELECT *, OptoEnabled AS arm FROM {_T} t),
-      en AS (SELECT Name, Region, Phase, {_GAP} AS effect FROM tt GROUP BY ALL HAVING effect IS NOT NULL),
-      om AS (SELECT Phase, avg(effect) FILTER (WHERE Region = 'MFC') AS m, avg(effect) FILTER (WHERE Region = 'LFC') AS l FROM en GROUP BY Phase),
-      ob AS (SELECT Phase, 'MFC' AS stat, m AS value FROM om UNION ALL SELECT Phase, 'LFC', l FROM om UNION ALL SELECT Phase, 'crossregion', m - l FROM om),
-      sh AS (SELECT iter, Name, SessId, Region, Phase, ChoiceCorrect, CASE WHEN row_number() OVER (PARTITION BY iter, SessId, Region, Phase ORDER BY {_u("'p1'", 'iter', 'event_id')}, event_id)
-        <= sum(OptoEnabled) OVER (PARTITION BY iter, SessId, Region, Phase) THEN 1 ELSE 0 END AS arm FROM tt, range(0, {ITER}) r(iter)),
-      ne AS (SELECT iter, Name, Region, Phase, {_GAP} AS effect FROM sh GROUP BY ALL HAVING effect IS NOT NULL),
-      n1 AS (SELECT iter, Phase, Region, avg(effect) AS value FROM ne GROUP BY ALL),
-      pr AS (SELECT *, count(*) OVER (PARTITION BY Name, Phase) = 2 AS paired FROM en),
-      pi AS (SELECT *, {_u("'p2'", 'iter', 'Phase', 'Name')} AS u FROM pr, range(0, {ITER}) r(iter)),
-      lb AS (SELECT iter, Phase, effect, CASE WHEN u < 2147483648 THEN CASE WHEN Region = 'MFC' THEN 'LFC' ELSE 'MFC' END ELSE Region END AS Region FROM pi WHERE paired
-        UNION ALL SELECT iter, Phase, effect, CASE WHEN row_number() OVER (PARTITION BY iter, Phase ORDER BY u, Name) <= count(*) FILTER (WHERE Region = 'MFC') OVER (PARTITION BY iter, Phase) THEN 'MFC' ELSE 'LFC' END FROM pi WHERE NOT paired),
-      n2 AS (SELECT iter, Phase, avg(effect) FILTER (WHERE Region = 'MFC') - avg(effect) FILTER (WHERE Region = 'LFC') AS value FROM lb GROUP BY ALL),
-      tp AS (SELECT iter, Phase, round(max(abs(value)), 9) AS top FROM (SELECT iter, Phase, value FROM n1 UNION ALL SELECT iter, Phase, value FROM n2) x WHERE value IS NOT NULL GROUP BY ALL)
-      SELECT Phase, stat, {qr('value')} AS observed, {qr('(1 + count(*) FILTER (WHERE top >= round(abs(value), 9))) / (1 + count(*))::DOUBLE')} AS p_adjusted FROM tp JOIN ob USING (Phase) GROUP BY Phase, stat, value""",
+    f"""WITH tt AS (SELECT * FROM {_T} t),
+      ce AS (SELECT Name, SessId, Region, Phase, count(*) AS n, count(*) FILTER (WHERE ChoiceCorrect = 1) AS r, count(*) FILTER (WHERE OptoEnabled = 1) AS o,
+        count(*) FILTER (WHERE OptoEnabled = 1 AND ChoiceCorrect = 1) AS k FROM tt GROUP BY ALL),
+      en AS (SELECT Name, Region, Phase, {_EFF} AS effect FROM ce GROUP BY ALL HAVING effect IS NOT NULL),
+      om AS (SELECT Phase, {_STATS} FROM en GROUP BY Phase),
+      ob AS (SELECT * FROM (SELECT Phase, 'MFC' AS stat, m AS value FROM om UNION ALL SELECT Phase, 'LFC', l FROM om UNION ALL SELECT Phase, 'crossregion', x FROM om) y WHERE value IS NOT NULL),
+      de AS (SELECT Name, SessId, Region, Phase, n, r, o FROM ce WHERE o > 0 AND o < n),
+      ks AS (SELECT n, r, o, unnest(range(greatest(0, o - (n - r)), least(o, r) + 1)) AS k FROM (SELECT DISTINCT n, r, o FROM de) d),
+      ra AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY n, r, o ORDER BY k) = 1 THEN 0.0::DOUBLE ELSE ln((r - k + 1)::DOUBLE * (o - k + 1) / (k::DOUBLE * (n - r - o + k))) END AS l FROM ks),
+      cu AS (SELECT *, sum(l) OVER (PARTITION BY n, r, o ORDER BY k) AS s FROM ra),
+      pm AS (SELECT *, exp(s - max(s) OVER (PARTITION BY n, r, o)) AS p FROM cu),
+      hi AS (SELECT *, sum(p) OVER (PARTITION BY n, r, o ORDER BY k) / sum(p) OVER (PARTITION BY n, r, o) AS h FROM pm),
+      tb AS (SELECT n, r, o, k, coalesce(lag(h) OVER w, 0.0::DOUBLE) AS lo, CASE WHEN lead(k) OVER w IS NULL THEN 2.0::DOUBLE ELSE h END AS hi FROM hi WINDOW w AS (PARTITION BY n, r, o ORDER BY k)),
+      it AS (SELECT *, {_u("'p1'", 'iter', 'SessId', 'Region', 'Phase')} / 4294967296.0::DOUBLE AS u FROM de, range(0, {ITER_MAX}) q(iter)),
+      ne AS (SELECT iter, Name, Region, Phase, {_EFF} AS effect FROM (SELECT it.*, tb.k FROM it JOIN tb ON it.n = tb.n AND it.r = tb.r AND it.o = tb.o AND u >= lo AND u < hi) z GROUP BY iter, Name, Region, Phase HAVING effect IS NOT NULL),
+      pr AS (SELECT *, count(*) OVER (PARTITION BY iter, Name, Phase) = 2 AS paired, {_u("'p2'", 'iter', 'Phase', 'Name')} AS u FROM ne),
+      lb AS (SELECT iter, Phase, effect, CASE WHEN u < 2147483648 THEN CASE WHEN Region = 'MFC' THEN 'LFC' ELSE 'MFC' END ELSE Region END AS Region FROM pr WHERE paired
+        UNION ALL SELECT iter, Phase, effect, CASE WHEN row_number() OVER (PARTITION BY iter, Phase ORDER BY u, Name) <= count(*) FILTER (WHERE Region = 'MFC') OVER (PARTITION BY iter, Phase) THEN 'MFC' ELSE 'LFC' END FROM pr WHERE NOT paired),
+      nm AS (SELECT iter, Phase, {_STATS} FROM lb GROUP BY ALL),
+      nv AS (SELECT iter, Phase, greatest(abs(m), abs(l), abs(x)) AS t FROM nm),
+      tp AS (SELECT iter, Phase AS scope, round(t, 9) AS top FROM nv WHERE t IS NOT NULL UNION ALL SELECT iter, 'both', round(max(t), 9) FROM nv WHERE t IS NOT NULL GROUP BY iter),
+      pv AS (SELECT o.Phase, stat, value, (1 + count(*) FILTER (WHERE top >= round(abs(value), 9) AND scope <> 'both')) / (1 + count(*) FILTER (WHERE scope <> 'both'))::DOUBLE AS pp,
+        (1 + count(*) FILTER (WHERE top >= round(abs(value), 9) AND scope = 'both')) / (1 + count(*) FILTER (WHERE scope = 'both'))::DOUBLE AS pg
+        FROM ob o JOIN tp ON scope = o.Phase OR scope = 'both' GROUP BY o.Phase, stat, value)
+      SELECT Phase, stat, {qr('value')} AS observed, {qr('pp')} AS p_adjusted, {qr('pg')} AS p_global FROM pv""",
 )
 def g23(spark, sf):
-    r = rs.max_statistic_permutation(spark, _opto(spark, sf), ITER)
-    return r.select("Phase", "stat", rnd("observed").alias("observed"), rnd("p_adjusted").alias("p_adjusted"))
+    r = rs.max_statistic_permutation(spark, _opto(spark, sf), ITER_MAX)
+    return r.select("Phase", "stat", *[rnd(c).alias(c) for c in ("observed", "p_adjusted", "p_global")])
 
 
 @query(
