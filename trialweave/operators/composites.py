@@ -55,6 +55,23 @@ def limit_by_group(cut: DataFrame, group: Sequence[str], row: Sequence[str]) ->
     return skew.attach(cut, m, group).filter(F.col("pos") < F.floor("__m")).drop("__m")
 
 
+def align_by_group(cut: DataFrame, session: Sequence[str], group: Sequence[str], row: Sequence[str], at_start: bool = False) -> DataFrame:
+    """Cut every row of a group to the group's median length, then pad all rows of a session with empty values to its longest."""
+    keys = [*session, *group, *row]
+    short = limit_by_group(cut, [*session, *group], row)
+    lengths = short.groupBy(*keys).agg((F.max("pos") + 1).alias("__n"))
+    longest = lengths.groupBy(*session).agg(F.max("__n").alias("__max"))
+    pads = lengths.join(longest, list(session)).filter("__n < __max")
+    place = F.sequence(F.lit(0).cast("long"), F.col("__max") - F.col("__n") - 1)
+    pads = pads.withColumn("__i", F.explode(place))
+    empty = pads.select(*keys, (F.col("__i") if at_start else F.col("__n") + F.col("__i")).alias("pos"))
+    traces = short.select(*keys, *[c for c in TRACE if c not in keys]).distinct()
+    moved = short.join(lengths, keys).join(longest, list(session))
+    shift = F.col("__max") - F.col("__n") if at_start else F.lit(0)
+    moved = moved.withColumn("pos", F.col("pos") + shift).select(*keys, *[c for c in TRACE if c not in keys], "pos", "v")
+    return moved.unionByName(empty.join(traces, keys).withColumn("v", F.lit(None).cast("double")))
+
+
 def _ordered(df: DataFrame) -> DataFrame:
     order = tr.order_by_peak(df, ["ShortName"], "pos").select(*TRACE, "sort_pos")
     return skew.attach(df, order, TRACE, how="inner")

@@ -489,6 +489,16 @@ def d11(spark, sf):
     return bh.reward_rate_curve(fx.trials_rr(spark, sf), 5, "RewardRate5", "calcStimulusTime", 2, ["Name"])
 
 
+_Z = "(SELECT * REPLACE ((calcStimulusTime - avg(calcStimulusTime) OVER (PARTITION BY Name)) / stddev_pop(calcStimulusTime) OVER (PARTITION BY Name) AS calcStimulusTime) FROM trials_rr WHERE valid)"
+
+
+@query("D11_reward_rate_z_time", _CURVE.replace("FROM trials_rr", f"FROM {_Z} z").format(keys="Name,"))
+def d11z(spark, sf):
+    """The curve over each subject's z-scored times."""
+    z = bh.z_by(fx.trials_rr(spark, sf).filter("valid"), ["Name"], {"z": "calcStimulusTime"})
+    return bh.reward_rate_curve(z, 5, "RewardRate5", "z", 2, ["Name"])
+
+
 @query(
     "D12_reward_rate_group_curve",
     f"""WITH c AS ({_CURVE.format(keys="Name,")}) SELECT bin, {qr('avg(rt_mean)')} AS rt_mean,

@@ -344,6 +344,31 @@ def d51(spark, sf):
     return a.select("Name", "n", rnd("r2").alias("r2"), rnd("pearson").alias("pearson"))
 
 
+# Sides of modelled choices follow from their outcome; a few observed and modelled times are missing.
+_SIDED = """(SELECT Name, ChoiceCorrect AS cc, ChoiceLeft AS cl, 'real' AS source, CASE WHEN event_id % 7 <> 0 THEN calcStimulusTime END AS t FROM trials WHERE valid AND ChoiceCorrect IS NOT NULL
+    UNION ALL SELECT Name, SimChoiceCorrect, CASE WHEN SimChoiceCorrect = ChoiceCorrect THEN ChoiceLeft ELSE 1 - ChoiceLeft END, 'sim', CASE WHEN event_id % 11 <> 0 THEN SimRT END
+      FROM trials WHERE valid AND SimChoiceCorrect IS NOT NULL)"""
+
+
+@query(
+    "D44_loss_by_subject",
+    f"""WITH x AS (SELECT * FROM {_SIDED} s), q AS (SELECT Name, cc, cl, min(t) + 1e-6 AS e1, quantile_cont(t, 0.1) AS e2, quantile_cont(t, 0.3) AS e3, quantile_cont(t, 0.5) AS e4, quantile_cont(t, 0.7) AS e5,
+        quantile_cont(t, 0.9) AS e6 FROM x WHERE source = 'real' GROUP BY ALL HAVING count(t) > 0),
+      h AS (SELECT Name, cc, cl, CASE WHEN t IS NULL THEN -1 WHEN t < e1 THEN 0 WHEN t < e2 THEN 1 WHEN t < e3 THEN 2 WHEN t < e4 THEN 3 WHEN t < e5 THEN 4 WHEN t < e6 THEN 5 ELSE 6 END AS bin,
+        count(*) FILTER (WHERE source = 'real') AS r, count(*) FILTER (WHERE source = 'sim') AS s FROM x JOIN q USING (Name, cc, cl) WHERE t IS NULL OR t BETWEEN 0 AND 12 GROUP BY ALL)
+      SELECT Name, {qr('sum((s - r) * (s - r) / r::DOUBLE)')} AS loss FROM h WHERE r > 0 GROUP BY Name""",
+)
+def d44s(spark, sf):
+    """Loss of every subject over outcome and side, with the term of missing times."""
+    t = fx.trials(spark, sf).filter("valid")
+    side = "if(SimChoiceCorrect = ChoiceCorrect, ChoiceLeft, 1 - ChoiceLeft)"
+    both = t.selectExpr(
+        "Name", f"stack(2, ChoiceCorrect, ChoiceLeft, 'real', if(event_id % 7 <> 0, calcStimulusTime, null), SimChoiceCorrect, {side}, 'sim', if(event_id % 11 <> 0, SimRT, null)) as (cc, cl, source, t)"
+    ).filter("cc is not null")
+    cells = cm.quantile_loss(both, ["Name", "cc", "cl"], 12.0)
+    return cells.groupBy("Name").agg(rnd(F.sum("loss")).alias("loss"))
+
+
 # ---- psychometric curves --------------------------------------------------------------------------------------------
 
 

@@ -136,6 +136,27 @@ def d35(spark, sf):
     )
 
 
+_LEVELS = {"all": ["Region"], "animal": ["Region", "Name"], "session": ["Region", "Name", "SessId"]}
+
+
+def _level_sql(level, keys):
+    return f"""SELECT '{level}' AS split_level, Region, {qr('avg(e)')} AS effect, {qr('stddev_samp(e) / sqrt(count(e))')} AS sem, count(e) AS n_groups, CAST(sum(n) AS BIGINT) AS n_trials
+      FROM (SELECT {', '.join(keys)}, {_gain(_C, _O)} AS e, count(*) AS n FROM {_T} t GROUP BY ALL
+        HAVING count(*) FILTER (WHERE OptoEnabled = 0) >= 2 AND count(*) FILTER (WHERE OptoEnabled = 1) >= 2) g WHERE e IS NOT NULL GROUP BY Region"""
+
+
+@query("D35_effect_by_level", " UNION ALL ".join(_level_sql(k, v) for k, v in _LEVELS.items()))
+def d35l(spark, sf):
+    """Mean effect of each region over everything, over animals and over sessions with two trials in either arm."""
+    t, out = _opto(spark, sf), None
+    for level, keys in _LEVELS.items():
+        g = op.arm_summary(t, keys, 2).filter("accepted and effect is not null")
+        g = g.groupBy("Region").agg(rnd(F.avg("effect")).alias("effect"), rnd(bh.sem("effect")).alias("sem"), F.count("effect").alias("n_groups"), F.sum(E("n_control + n_opto")).alias("n_trials"))
+        g = g.withColumn("split_level", F.lit(level))
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
 @query(
     "D36_region_phase_table",
     mso_sql(f"(SELECT Region, Phase, Name, {_gain(_C, _O)} AS e FROM {_T} t GROUP BY ALL) x WHERE e IS NOT NULL", "Region, Phase", "Name", "e"),
@@ -315,6 +336,33 @@ def g17(spark, sf):
     return st.one_way_anova(d, ["fam"], "q", "m").select(rnd("f_stat").alias("f_stat"), "df1", "df2")
 
 
+# Three speed classes give two degrees of freedom above, for which the tail of F is a power.
+_F_TAIL = "pow(df2 / (df2 + 2 * f), df2 / 2.0::DOUBLE)"
+
+
+@query(
+    "G16_repeated_anova_p",
+    f"""{_ANOVA}, f AS (SELECT ((b - cf) / (nc - 1)) / ((q - a - b + cf) / ((nc - 1) * (ns - 1))) AS f, nc - 1 AS df1, (nc - 1) * (ns - 1) AS df2 FROM a, b, c)
+      SELECT df1, df2, {rnd_sql(_F_TAIL, 6)} AS p FROM f WHERE df1 = 2""",
+)
+def g16p(spark, sf):
+    d = _speed(spark, sf).withColumn("fam", F.lit(1))
+    a = st.repeated_anova(d, ["fam"], "Name", "q", "m")
+    return a.select("df1", "df2", rnd(tails.p_f("f_stat", "df1", "df2"), 6).alias("p"))
+
+
+@query(
+    "G17_one_way_anova_p",
+    f"""WITH d AS (SELECT * FROM {_SPEED} s), g AS (SELECT q, sum(m) AS s, count(*) AS n, sum(m * m) AS qq FROM d GROUP BY q),
+      f AS (SELECT ((sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (count(*) - 1)) / ((sum(qq) - sum(s * s / n)) / (sum(n) - count(*))) AS f, count(*) - 1 AS df1, CAST(sum(n) - count(*) AS BIGINT) AS df2 FROM g)
+      SELECT df1, df2, {qr(_F_TAIL)} AS p FROM f WHERE df1 = 2""",
+)
+def g17f(spark, sf):
+    d = _speed(spark, sf).withColumn("fam", F.lit(1))
+    a = st.one_way_anova(d, ["fam"], "q", "m")
+    return a.select("df1", "df2", rnd(tails.p_f("f_stat", "df1", "df2")).alias("p"))
+
+
 _RANKS = """WITH d AS (SELECT Region, DVstr, calcStimulusTime AS v, rank() OVER (PARTITION BY Region ORDER BY calcStimulusTime)
       + (count(*) OVER (PARTITION BY Region, calcStimulusTime) - 1) / 2.0::DOUBLE AS r FROM trials),
     g AS (SELECT Region, DVstr, count(*) AS ng, sum(r) AS rs FROM d GROUP BY ALL),

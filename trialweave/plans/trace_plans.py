@@ -451,6 +451,34 @@ def f29(spark, sf):
     return cut.groupBy("ShortName", "quantile_idx", "trace_id", "pos").agg(rnd(F.avg("v")).alias("mean"), F.count("*").alias("n"))
 
 
+_ALIGNED = f"""WITH c AS (SELECT ShortName, TrialNumber, quantile_idx, trace_id, pos, v FROM {_POS} p),
+    n AS (SELECT ShortName, TrialNumber, quantile_idx, max(pos) + 1 AS n FROM c GROUP BY ALL),
+    m AS (SELECT ShortName, quantile_idx, CAST(floor(median(n)) AS BIGINT) AS m FROM n GROUP BY ALL),
+    l AS (SELECT ShortName, TrialNumber, quantile_idx, least(n, m) AS n FROM n JOIN m USING (ShortName, quantile_idx)),
+    x AS (SELECT ShortName, max(n) AS x FROM l GROUP BY ShortName),
+    k AS (SELECT DISTINCT ShortName, TrialNumber, quantile_idx, trace_id FROM c)
+    SELECT k.ShortName, k.TrialNumber, k.quantile_idx, k.trace_id, p AS pos, c.v FROM
+      (SELECT k.*, n, x, unnest(range(0, x)) AS p FROM k JOIN l USING (ShortName, TrialNumber, quantile_idx) JOIN x USING (ShortName)) k
+      LEFT JOIN c ON c.ShortName = k.ShortName AND c.TrialNumber = k.TrialNumber AND c.trace_id = k.trace_id AND c.pos = {{0}} AND {{1}}"""
+
+
+def _aligned(spark, sf, at_start):
+    from trialweave.operators import composites as cp
+
+    out = cp.align_by_group(_pos(spark, sf), ["ShortName"], ["quantile_idx"], ["TrialNumber"], at_start)
+    return out.select("ShortName", "TrialNumber", "quantile_idx", "trace_id", "pos", "v")
+
+
+@query("F29_extend_at_end", _ALIGNED.format("p", "p < n"))
+def f29e(spark, sf):
+    return _aligned(spark, sf, False)
+
+
+@query("F29_extend_at_start", _ALIGNED.format("p - (x - n)", "p >= x - n"))
+def f29s(spark, sf):
+    return _aligned(spark, sf, True)
+
+
 _PAIRS = f"""WITH n AS (SELECT ShortName, TrialNumber, ChoiceLeft, row_number() OVER (PARTITION BY ShortName, ChoiceLeft ORDER BY TrialNumber) AS n
       FROM (SELECT DISTINCT ShortName, TrialNumber, ChoiceLeft FROM epochs) e),
     p AS (SELECT * FROM {_POS} p JOIN n USING (ShortName, TrialNumber, ChoiceLeft))
