@@ -444,6 +444,15 @@ def combinations(df: DataFrame, columns: Sequence[str], combos: dict[str, Sequen
     return g.withColumn("combination", tag).drop("__g")
 
 
+def filtered_combinations(df: DataFrame, columns: Sequence[str], combos: dict[str, tuple[Sequence[str], Column]], aggs) -> DataFrame:
+    """Named groupings that each have a filter, in one pass: a row is added up under every combination whose filter it passes."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    key = lambda n, cols: F.struct(F.lit(n).alias("combination"), *[(F.col(c) if c in cols else F.lit(None).cast(kinds[c])).alias(c) for c in columns])
+    tags = F.array_compact(F.array(*[F.when(cond, key(n, cols)) for n, (cols, cond) in combos.items()]))
+    rest = [c for c in df.columns if c not in columns]
+    return df.withColumn("__t", F.explode(tags)).select(*rest, "__t.*").groupBy("combination", *columns).agg(*aggs)
+
+
 def evidence_quantile_bin(df: DataFrame, parts: int) -> DataFrame:
     """Bins of absolute evidence with equal counts; equal edges fall together."""
     d = df.withColumn("__a", F.abs("DV"))

@@ -421,6 +421,55 @@ def d5(spark, sf):
     return bh.combinations(t, ["DVstr", "ChoiceCorrect", "ChoiceLeft", "quantile_idx"], combos, aggs)
 
 
+_RIGHT, _EASY, _ANY = "ChoiceCorrect = 1", "DVstr <> 'Hard'", "true"
+# The named groupings with their filters.
+_PUBLISHED = {
+    "All": ("", _ANY),
+    "Evidence": ("DVstr", _RIGHT),
+    "EvidenceDirection": ("DVstr, ChoiceLeft", _RIGHT),
+    "Direction": ("ChoiceLeft", _RIGHT),
+    "PrevDirCurDir": ("PrevChoiceLeft, ChoiceLeft", _RIGHT),
+    "PrevDirCurDirAll": ("PrevChoiceLeft, ChoiceLeft", _ANY),
+    "PrevDirection": ("PrevChoiceLeft", _RIGHT),
+    "ChoiceCorrect": ("ChoiceCorrect", _EASY),
+    "ChoiceCorrectCurDir": ("ChoiceCorrect, ChoiceLeft", _EASY),
+    "PrevChoiceCorrect": ("PrevChoiceCorrect", _RIGHT),
+    "PrevChoiceCurDir": ("PrevChoiceCorrect, ChoiceLeft", _RIGHT),
+    "PrevChoicePrevDir": ("PrevChoiceLeft, PrevChoiceCorrect", _RIGHT),
+    "PrevChoicePrevDirCurDirLeft": ("PrevChoiceLeft, PrevChoiceCorrect", _RIGHT + " AND ChoiceLeft = 0"),
+    "SamplingTime": ("dur_bin", _ANY),
+    "Quantile": ("quantile_idx", _ANY),
+    "QuantileOutcome": ("quantile_idx, ChoiceCorrect", _ANY),
+    "QuantileDirection": ("quantile_idx, ChoiceLeft", _ANY),
+    "QuantilePrevDir": ("quantile_idx, PrevChoiceLeft", _ANY),
+    "QuantileDirectionOutcome": ("quantile_idx, ChoiceLeft, ChoiceCorrect", _ANY),
+}
+_PARTS = ["DVstr", "ChoiceCorrect", "ChoiceLeft", "PrevChoiceCorrect", "PrevChoiceLeft", "dur_bin", "quantile_idx"]
+
+
+def _named_sql(name, cols, cond):
+    keep = cols.split(", ")
+    picked = ", ".join(c if c in keep else f"NULL AS {c}" for c in _PARTS)
+    known = " AND ".join(f"{c} IS NOT NULL" for c in keep if c) or "true"
+    return f"SELECT '{name}' AS combination, {picked}, count(*) AS n, {qr('avg(calcStimulusTime)')} AS mean_time FROM d WHERE {cond} AND {known} GROUP BY {cols or 'true'}"
+
+
+@query(
+    "D5_published_combinations",
+    "WITH d AS (SELECT *, CAST(floor(calcStimulusTime) AS BIGINT) AS dur_bin FROM trials_q) " + " UNION ALL ".join(_named_sql(n, c, f) for n, (c, f) in _PUBLISHED.items()),
+)
+def d5p(spark, sf):
+    """The named groupings with their filters; rows without a value in a grouping's columns are left out, as in a plain group-by."""
+    t = fx.trials_prev_q(spark, sf).withColumn("dur_bin", F.floor("calcStimulusTime").cast("long")).select("event_id", "calcStimulusTime", *_PARTS)
+    combos = {}
+    for name, (cols, cond) in _PUBLISHED.items():
+        keep = [c for c in cols.split(", ") if c]
+        known = E(" AND ".join([cond, *[f"{c} IS NOT NULL" for c in keep]]))
+        combos[name] = (keep, known)
+    aggs = [F.count("*").alias("n"), rnd(F.avg("calcStimulusTime")).alias("mean_time")]
+    return bh.filtered_combinations(t, _PARTS, combos, aggs)
+
+
 @query(
     "D6_subdata_apply",
     """SELECT event_id, CASE WHEN bool_and(coalesce(ChoiceCorrect, 0) = 1) OVER (PARTITION BY Name, SessionNum, MinSample)
