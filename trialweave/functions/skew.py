@@ -90,19 +90,23 @@ def attach(
     salt_on: Sequence[str] | None = None,
     how: str = "left",
     null_safe: bool = False,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Give each row the one-row-per-group columns of ``stats``.
 
-    Rows of a hot group are spread over ``SALTS`` join partitions; the small side is repeated once per salt.  A side that
-    proves small at run time is broadcast by adaptive execution instead.
+    Rows of a hot group are spread over ``salts`` join partitions; the small side is repeated once per salt.  Where groups are
+    small by nature (a trial's epochs), ``salts=1`` joins plainly.  A side that proves small at run time is broadcast by adaptive
+    execution instead.
     """
     keys = list(keys)
+    join = null_safe_join if null_safe else key_join
     if salt_on is None:
         cols = df.columns
         salt_on = [c for c in ROW_IDS if c in cols and c not in keys][:2] or [c for c in cols if c not in keys]
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*salt_on), F.lit(SALTS)).cast("int"))
-    copies = stats.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    join = null_safe_join if null_safe else key_join
+    if salts <= 1 or not salt_on:
+        return join(df, stats, keys, how)
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int"))
+    copies = stats.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return join(salted, copies, [*keys, "__salt"], how).drop("__salt")
 
 

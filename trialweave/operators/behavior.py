@@ -67,7 +67,7 @@ def mean_sem_over(
 def keep_groups(df: DataFrame, keys: Sequence[str], condition: Column) -> DataFrame:
     """Keep the rows of groups whose aggregate ``condition`` holds."""
     good = df.groupBy(*keys).agg(condition.alias("__ok")).filter("__ok").drop("__ok")
-    return df.join(good, list(keys), "left_semi")
+    return skew.attach(df, good, keys, how="left_semi")
 
 
 def cohort(df: DataFrame, min_valid: int, max_time: float = 3.0, subjects: Sequence[str] | None = None) -> DataFrame:
@@ -357,7 +357,7 @@ def merge_feedback(df: DataFrame, trial: Sequence[str], fps: float) -> DataFrame
         F.bool_or(F.col("epoch") == "Feedback Start").alias("__fs"),
         F.max(F.when(late, F.col("trace_end_idx"))).alias("__z"),
     )
-    out = skew.attach(df, per, trial)
+    out = skew.attach(df, per, trial, salts=1)
     merges = F.col("HasFeedbackWait") & F.col("__fs") & F.col("__z").isNotNull()
     start = merges & (F.col("epoch") == "Feedback Start")
     out = out.filter(~(merges & late))

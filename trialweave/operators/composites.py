@@ -74,7 +74,7 @@ def align_by_group(cut: DataFrame, session: Sequence[str], group: Sequence[str],
 
 def _ordered(df: DataFrame) -> DataFrame:
     order = tr.order_by_peak(df, ["ShortName"], "pos").select(*TRACE, "sort_pos")
-    return skew.attach(df, order, TRACE, how="inner")
+    return skew.attach(df, order, TRACE, how="inner", salts=1)
 
 
 def difference_map(cut: DataFrame) -> DataFrame:

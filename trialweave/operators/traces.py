@@ -50,7 +50,7 @@ def combine_traces(df: DataFrame, by: str, prefix: str = "") -> DataFrame:
 
 def keep_only(df: DataFrame, src: DataFrame, keys: Sequence[str], remove: bool = False) -> DataFrame:
     """Rows whose session and trace appear (or, with ``remove``, do not appear) in ``src``."""
-    return df.join(src.select(*keys).distinct(), list(keys), "left_anti" if remove else "left_semi")
+    return skew.attach(df, src.select(*keys).distinct(), keys, how="left_anti" if remove else "left_semi")
 
 
 def nth_pairs(df: DataFrame, left: Column, right: Column, group: Sequence[str], row: Sequence[str], frame: str) -> DataFrame:

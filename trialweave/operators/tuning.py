@@ -126,7 +126,7 @@ def trace_flags(tests: DataFrame, flags: dict[str, Column], keys: Sequence[str]
 
 def preference_activity(activity: DataFrame, labels: DataFrame) -> DataFrame:
     """Trial activity of preferring, anti-preferring and untuned neurons per speed class."""
-    d = skew.attach(activity, labels.select(*TRACE, "tuned_left"), TRACE)
+    d = skew.attach(activity, labels.select(*TRACE, "tuned_left"), TRACE, salts=1)
     group = F.when(F.col("tuned_left").isNull(), "untuned").when(F.col("tuned_left") == F.col("ChoiceLeft"), "preferred").otherwise("anti")
     d = d.withColumn("group", group)
     per = d.groupBy("quantile_idx", "group", *TRACE).agg(F.avg("x").alias("m"), F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
@@ -137,7 +137,7 @@ def preference_activity(activity: DataFrame, labels: DataFrame) -> DataFrame:
 
 def preference_t(activity: DataFrame, labels: DataFrame) -> DataFrame:
     """Paired t of preferred against anti-preferred activity per speed class, neurons as pairs."""
-    d = skew.attach(activity, labels.select(*TRACE, "tuned_left"), TRACE, how="inner")
+    d = skew.attach(activity, labels.select(*TRACE, "tuned_left"), TRACE, how="inner", salts=1)
     cell = {n: F.avg(F.when(F.col("tuned_left") == k, F.col("x"))) for n, k in (("p", F.col("ChoiceLeft")), ("a", 1 - F.col("ChoiceLeft")))}
     w = d.groupBy("quantile_idx", *TRACE).agg(*[c.alias(n) for n, c in cell.items()])
     p, a = F.col("p"), F.col("a")
@@ -146,7 +146,7 @@ def preference_t(activity: DataFrame, labels: DataFrame) -> DataFrame:
 
 def trajectories(activity: DataFrame, labels: DataFrame, positions: DataFrame, bins: int) -> DataFrame:
     """Neurons binned by position: preferred and anti-preferred means per bin and the weight 100·(p − a)/p."""
-    d = skew.attach(activity, labels.select(*TRACE, "tuned_left"), TRACE, how="inner").join(positions, TRACE)
+    d = skew.attach(activity, labels.select(*TRACE, "tuned_left"), TRACE, how="inner", salts=1).join(positions, TRACE)
     pref = F.col("tuned_left") == F.col("ChoiceLeft")
     d = d.withColumn("bin", F.least(F.floor(F.col("position") * bins / 100), F.lit(bins - 1)))
     per = d.groupBy("bin", *TRACE).agg(F.avg(F.when(pref, F.col("x"))).alias("p"), F.avg(F.when(~pref, F.col("x"))).alias("a"))
