@@ -201,6 +201,25 @@ def b14(spark, sf):
     return timed.unionByName(t.filter("calcStimulusTime > 3")).select(*SESS, "DV", "event_id")
 
 
+_TIMED = "CASE WHEN event_id % 13 <> 0 THEN calcStimulusTime END"
+
+
+@query(
+    "B14_dedup_and_class",
+    f"""WITH u AS (SELECT arg_min(event_id, TrialNumber) AS event_id FROM trials GROUP BY Name, SessionNum, DV),
+      d AS (SELECT event_id, Name, SessionNum, DVstr, TrialNumber, {_TIMED} AS t FROM trials JOIN u USING (event_id))
+      SELECT event_id, CASE WHEN count(*) OVER (PARTITION BY Name, SessionNum, DVstr) >= 3 THEN ntile(3) OVER (PARTITION BY Name, SessionNum, DVstr ORDER BY t, TrialNumber) END AS quantile_idx
+        FROM d WHERE t IS NOT NULL UNION ALL SELECT event_id, NULL FROM d WHERE t IS NULL""",
+)
+def b14c(spark, sf):
+    """Duplicates go, rows without a time are set aside while the others get their speed class, and both are put together again."""
+    t = fx.trials(spark, sf).withColumn("calcStimulusTime", E(_TIMED))
+    one = bh.first_of_duplicates(t, [*SESS, "DV"], ["TrialNumber"])
+    classed = windows.speed_class(one.filter("calcStimulusTime is not null"), [*SESS, "DVstr"], "calcStimulusTime", "TrialNumber")
+    rest = one.filter("calcStimulusTime is null").select("event_id", F.lit(None).cast("long").alias("quantile_idx"))
+    return classed.select("event_id", "quantile_idx").unionByName(rest)
+
+
 _AUDIT = ["ChoiceCorrect", "ChoiceLeft", "calcStimulusTime", "MinSample", "Region"]
 
 

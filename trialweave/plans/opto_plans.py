@@ -244,6 +244,18 @@ def d41(spark, sf):
     return op.density_mode_width(d.withColumn("density", rnd("density")), ["Region", "OptoEnabled"])
 
 
+@query(
+    "D41_mode_shift",
+    f"""{_KDE} SELECT Region, {qr('max(mode) FILTER (WHERE OptoEnabled = 1) - max(mode) FILTER (WHERE OptoEnabled = 0)')} AS shift FROM p GROUP BY Region""",
+)
+def d41s(spark, sf):
+    """How far stimulation moves the density's mode from that of the control arm."""
+    d = bh.density_on_grid(_opto(spark, sf), ["Region", "OptoEnabled"], "calcStimulusTime", 0.0, 5.0, 0.05, 0.2)
+    m = op.density_mode_width(d.withColumn("density", rnd("density")), ["Region", "OptoEnabled"])
+    mode = {a: F.max(F.when(F.col("OptoEnabled") == a, F.col("mode"))) for a in (0, 1)}
+    return m.groupBy("Region").agg(rnd(mode[1] - mode[0]).alias("shift"))
+
+
 @query(
     "D42_time_accuracy_bars",
     f"""SELECT Name, CASE WHEN OptoEnabled = 0 THEN 'Control' ELSE Region END AS arm, {q6('median(z)')} AS median_z, {q6('100 * avg(ChoiceCorrect)')} AS accuracy FROM {_Z} z GROUP BY ALL""",
