@@ -462,7 +462,7 @@ _ALIGNED = f"""WITH c AS (SELECT ShortName, TrialNumber, quantile_idx, trace_id,
       LEFT JOIN c ON c.ShortName = k.ShortName AND c.TrialNumber = k.TrialNumber AND c.trace_id = k.trace_id AND c.pos = {{0}} AND {{1}}"""
 
 
-def _aligned(spark, sf, at_start):
+def _cut_extended(spark, sf, at_start):
     from trialweave.operators import composites as cp
 
     out = cp.align_by_group(_pos(spark, sf), ["ShortName"], ["quantile_idx"], ["TrialNumber"], at_start)
@@ -471,12 +471,12 @@ def _aligned(spark, sf, at_start):
 
 @query("F29_extend_at_end", _ALIGNED.format("p", "p < n"))
 def f29e(spark, sf):
-    return _aligned(spark, sf, False)
+    return _cut_extended(spark, sf, False)
 
 
 @query("F29_extend_at_start", _ALIGNED.format("p - (x - n)", "p >= x - n"))
 def f29s(spark, sf):
-    return _aligned(spark, sf, True)
+    return _cut_extended(spark, sf, True)
 
 
 _PAIRS = f"""WITH n AS (SELECT ShortName, TrialNumber, ChoiceLeft, row_number() OVER (PARTITION BY ShortName, ChoiceLeft ORDER BY TrialNumber) AS n
