@@ -99,8 +99,8 @@ def leaks(
     found = stored(candidates(base.select("key", plain_words(F.col("text")).alias("w")), index), "candidates")
     asked = found.join(classes.select("item_id", "n_items", "width", "shingles"), "item_id")
     asked = asked.groupBy("key").agg(F.collect_list(F.struct("item_id", "n_items", "width", "shingles")).alias("items"))
-    # Stored, so that the join reads nothing but exchanges and a text with very many copies can be split.
-    docs_asked = base.join(stored(asked, "asked"), "key")
+    # Stored, so that the join reads nothing but exchanges and a text with very many copies can be split; merged at every size.
+    docs_asked = base.join(stored(asked, "asked").hint("merge"), "key")
     widths = [r[0] for r in classes.select("width").distinct().collect()] or [shingle]
 
     def shared(w: Column) -> Column:
