@@ -63,6 +63,67 @@ def test_one_row_of_each_component_stays(spark):
     assert simhash.deduplicate(no_rows(spark)).count() == 0
 
 
+def shingle_sets(texts, k=5):
+    out = []
+    for t in texts:
+        w = "".join(c.lower() if c.isascii() else c for c in t or "").split()
+        out.append(frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset())
+    return out
+
+
+def jaccard_components(texts, threshold=0.8):
+    """Smallest place reachable over pairs of the wanted similarity, by brute force."""
+    sets, at = shingle_sets(texts), {}
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    def link(i, j):
+        a, b = find(i), find(j)
+        parent[max(a, b)] = min(a, b)
+
+    for j, s in enumerate(sets):
+        near = Counter(i for x in s for i in at.get(x, ()))
+        for i, n in near.items():
+            if n >= threshold * (len(s) + len(sets[i]) - n) - 1e-9:
+                link(i, j)
+        if not s:
+            link(next(i for i, o in enumerate(sets) if not o), j)
+        for x in s:
+            at.setdefault(x, []).append(j)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_stage_joins_all_pairs_of_similar_texts(spark):
+    """Edited copies around the threshold, chains of them, a crowd, a common line, and texts under five words."""
+    rng, docs = random.Random(11), []
+    word = lambda: f"w{rng.randrange(3000)}"
+    line = "a line that stands in very many of the texts here"
+    for _ in range(60):
+        t = [word() for _ in range(rng.choice([6, 25, 60, 200]))] + (line.split() if rng.random() < 0.5 else [])
+        for _ in range(4):
+            docs.append(" ".join(t))
+            t = list(t)
+            for _ in range(max(1, round(len(t) * rng.choice([0.005, 0.015, 0.022, 0.03, 0.05])))):
+                t[rng.randrange(len(t))] = word()
+    crowd = [word() for _ in range(80)]
+    for _ in range(120):
+        t = list(crowd)
+        for _ in range(rng.randrange(4)):
+            t[rng.randrange(80)] = word()
+        docs.append(" ".join(t).upper())
+    docs += ["x y", "X  y", "x", "", None, line, line + " again"]
+    rng.shuffle(docs)
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    want = sorted(set(jaccard_components(docs)))
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(d.repartition(5)).collect()) == want and 60 < len(want) < 300
+    bits = [plain_fingerprint(t) for t in docs]
+    assert len(set(components(bits))) > len(want)  # four bits do not find them
+
+
 def flipped(rng, value, n):
     for b in rng.sample(range(64), n):
         value ^= 1 << b

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialweave.llm import jaccard
 from trialweave.llm.common import stored, without
 
 BITS = 64
@@ -246,13 +247,20 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     return out.select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = 4) -> DataFrame:
-    """``df`` with one row of each component: that of the smallest id, null ids last, then the first as read.
+def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``df`` with one row of each near-duplicate group: that of the smallest id, null ids last, then the first as read.
 
-    Columns named ``__fp`` or ``__row`` are lost.
+    Groups are the components of all pairs whose sets of ``shingle``-word shingles have a Jaccard similarity of ``threshold`` or more;
+    texts of the same words are one, and so are all texts without words. Columns named ``__fp`` or ``__row`` are lost.
     """
     base = without(df, "__fp", "__row")
-    rows = stored(base.withColumns({"__fp": fingerprint(F.col(text)), "__row": F.monotonically_increasing_id()}), "documents")
-    groups = cluster(rows.select(F.col(doc_id).alias("doc"), F.col("__fp").alias("fp"), F.col("__row").alias("row")), limit)
-    keep = stored(groups.select(F.col("keeper").alias("__row")).distinct(), "keepers")
-    return rows.join(keep, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in base.columns])
+    rows = stored(base.withColumns({"__fp": F.md5(jaccard.plain(F.col(text)).cast("binary")), "__row": F.monotonically_increasing_id()}), "documents")
+    ids = rows.select(F.col(doc_id).alias("doc"), "__fp", "__row")
+    first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", F.col("__row").alias("node")))
+    texts = stored(ids.groupBy("__fp").agg(first.alias("keep")).select("keep.*"), "texts")
+    copies = stored(ids.select("__row").join(texts.select(F.col("node").alias("__row")), "__row", "left_anti"), "copies")
+    nodes = rows.join(copies, "__row", "left_anti").select(F.col("__row").alias("node"), F.col(text).alias("text"))
+    placed = texts.join(roots(jaccard.links(nodes, roots, shingle, threshold)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keep = placed.groupBy("root").agg(F.min(F.struct("none", "doc", "node")).alias("keep")).select(F.col("keep.node").alias("__row"))
+    gone = stored(ids.select("__row").join(keep, "__row", "left_anti"), "gone")
+    return rows.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in base.columns])
