@@ -147,3 +147,25 @@ def test_first_component_equals_svd(spark):
     w = vt[0] * np.sign(vt[0][np.argmax(np.abs(vt[0]))])
     np.testing.assert_allclose(got.score, z @ w, atol=1e-8)
     assert got.explained[0] == pytest.approx(s[0] ** 2 / (s**2).sum())
+
+
+def test_hypergeometric_ranges_of_large_sessions(spark):
+    """The table grows with the root of the size, and draws are those of the whole law."""
+    from trialweave.operators import resample
+
+    def below(k, n, r, o):
+        """Probability of at most ``k``."""
+        ln = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+        return math.fsum(math.exp(ln(r, j) + ln(n - r, o - j) - ln(n, o)) for j in range(max(0, o - (n - r), k - 20_000), min(r, o, k) + 1))
+
+    sizes = [(4_000_000, 2_000_000, 1_200_000), (4_000_000, 3_999_990, 1_300_000), (60, 20, 30), (10, 10, 4), (7, 0, 3)]
+    u = [0.0, 2.0**-32, 1e-4, 0.25, 0.5, 0.7654321, 0.999, 1 - 2.0**-32]
+    u = [int(x * 2**32) / 2**32 for x in u]
+    d = spark.createDataFrame([(*s, x) for s in sizes for x in u], "n long, r long, o long, u double")
+    assert resample.hypergeometric_table(d).count() < 30_000
+    got = {(r["n"], r["r"], r["u"]): r["k"] for r in resample.hypergeometric_draws(d).collect()}
+    assert len(got) == len(sizes) * len(u)
+    for n, r, o in sizes:
+        for x in u[2:7]:
+            k = got[n, r, x]
+            assert below(k - 1, n, r, o) <= x + 1e-6 and x - 1e-6 < below(k, n, r, o), (n, r, o, x)

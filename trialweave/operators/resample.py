@@ -141,18 +141,38 @@ def two_region_bootstrap(spark: SparkSession, trials: DataFrame, n_iter: int) ->
 
 
 def hypergeometric_table(cells: DataFrame) -> DataFrame:
-    """For each distinct (n, r, o) and k the upper end ``hi`` of the range of a uniform draw for which k of the r right answers are
-    among o of n; the ranges of k follow one another."""
-    k = F.sequence(F.greatest(F.lit(0).cast("long"), F.col("o") - (F.col("n") - F.col("r"))), F.least("o", "r"))
+    """For each distinct (n, r, o) and k the range ``lo`` to ``hi`` of a uniform draw for which k of the r right answers are among o
+    of n; the ranges of k follow one another.
+
+    Only k within 12 standard deviations of the mode are tabled: the others have far less than the 2^-32 grain of a draw.
+    """
+    n, r, o = (F.col(c).cast("double") for c in ("n", "r", "o"))
+    reach = 12 * F.sqrt(o * (r / n) * ((n - r) / n) * ((n - o) / F.greatest(n - 1, F.lit(1.0)))) + 20
+    mode = (o + 1) * (r + 1) / (n + 2)
+    low = F.greatest(F.lit(0).cast("long"), F.col("o") - (F.col("n") - F.col("r")), F.floor(mode - reach))
+    k = F.sequence(low, F.least(F.col("r"), F.col("o"), F.ceil(mode + reach)))
     t = cells.select("n", "r", "o").distinct().withColumn("k", F.explode(k))
     ratio = (F.col("r") - F.col("k") + 1).cast("double") * (F.col("o") - F.col("k") + 1) / (F.col("k").cast("double") * (F.col("n") - F.col("r") - F.col("o") + F.col("k")))
-    w = Window.partitionBy("n", "r", "o").orderBy("k")  # as many rows as a session's stimulated trials
+    w = Window.partitionBy("n", "r", "o").orderBy("k")  # grows with the root of a session's trials
     upto, whole = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("n", "r", "o")
     first = F.row_number().over(w) == 1
     t = t.withColumn("__l", F.when(first, F.lit(0.0)).otherwise(F.ln(ratio))).withColumn("__l", F.sum("__l").over(upto))
     t = t.withColumn("__p", F.exp(F.col("__l") - F.max("__l").over(whole)))
     t = t.withColumns({"hi": F.sum("__p").over(upto) / F.sum("__p").over(whole), "__last": F.lead("k").over(w).isNull()})
-    return t.select("n", "r", "o", "k", F.when(F.col("__last"), F.lit(2.0)).otherwise(F.col("hi")).alias("hi"))
+    t = t.withColumn("lo", F.coalesce(F.lag("hi").over(w), F.lit(0.0)))
+    return t.select("n", "r", "o", "k", "lo", F.when(F.col("__last"), F.lit(2.0)).otherwise(F.col("hi")).alias("hi"))
+
+
+def hypergeometric_draws(d: DataFrame) -> DataFrame:
+    """``d`` (n, r, o and a draw ``u`` of 32 bits, below 1) with ``k``: draws and ranges meet in as many parts of 0 to 1 as a table has rows."""
+    grain, size = F.lit(float(1 << 32)), ["n", "r", "o"]
+    part = lambda x: F.least(F.floor(x * F.col("__m")), F.col("__m") - 1)
+    t = hypergeometric_table(d).where(F.ceil(F.col("lo") * grain) < F.ceil(F.col("hi") * grain))  # others meet no draw
+    t = t.withColumn("__m", F.count(F.lit(1)).over(Window.partitionBy(*size)))
+    m = t.select(*size, "__m").distinct()
+    t = t.withColumn("__part", F.explode(F.sequence(part(F.col("lo")), part(F.col("hi")))))
+    met = d.join(m, size).withColumn("__part", part(F.col("u"))).drop("__m").join(t.drop("__m"), [*size, "__part"])
+    return met.where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).drop("__part", "lo", "hi")
 
 
 def max_statistic_permutation(spark: SparkSession, trials: DataFrame, n_iter: int = 10_000) -> DataFrame:
@@ -181,10 +201,9 @@ def max_statistic_permutation(spark: SparkSession, trials: DataFrame, n_iter: in
 
     obs = statistics(effects(cells, []), [])
     dealt = cells.filter("o > 0 and o < n").drop("k")
-    table = hypergeometric_table(dealt).groupBy("n", "r", "o").agg(F.sort_array(F.collect_list(F.struct("k", "hi"))).alias("ks"))
-    it = dealt.join(table, ["n", "r", "o"]).withColumn("iter", slots(F.lit(n_iter)))  # ranges come to a session once, draws are made there
+    it = dealt.withColumn("iter", slots(F.lit(n_iter)))
     it = it.withColumn("u", draws.u32(F.lit("p1"), F.col("iter"), F.col("SessId"), F.col("Region"), F.col("Phase")) / F.lit(float(1 << 32)))
-    ent = effects(it.withColumn("k", F.element_at(F.filter("ks", lambda x: x["hi"] > F.col("u")), 1)["k"]), ["iter"])
+    ent = effects(hypergeometric_draws(it), ["iter"])
     # Which subjects have an effect in which region does not depend on the draw.
     who = dealt.select(*blk).distinct()
     both = who.groupBy("Name", "Phase").agg((F.count(F.lit(1)) == 2).alias("paired"))
