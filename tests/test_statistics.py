@@ -169,3 +169,14 @@ def test_hypergeometric_ranges_of_large_sessions(spark):
         for x in u[2:7]:
             k = got[n, r, x]
             assert below(k - 1, n, r, o) <= x + 1e-6 and x - 1e-6 < below(k, n, r, o), (n, r, o, x)
+
+
+def test_resampling_runs_a_thousand_iterations(spark):
+    import inspect
+
+    from trialweave.operators import resample
+    from trialweave.plans import QUERIES
+
+    for f in (resample.hierarchical_bootstrap, resample.two_region_bootstrap, resample.auc_permutation):
+        assert inspect.signature(f).parameters["n_iter"].default == 10_000
+    assert QUERIES["G21_hierarchical_bootstrap"](spark, "/root/testdata/sf0.001").count() == 1000

@@ -57,7 +57,7 @@ def _session_draws(spark: SparkSession, sessions: DataFrame, n_iter: int, tag: s
     return it.join(sess.select("Name", "sess", "SessId"), ["Name", "sess"]).select("iter", "slot", "sess_slot", "Name", "SessId")
 
 
-def hierarchical_bootstrap(spark: SparkSession, trials: DataFrame, n_iter: int, metric: str = "Gain") -> DataFrame:
+def hierarchical_bootstrap(spark: SparkSession, trials: DataFrame, n_iter: int = 10_000, metric: str = "Gain") -> DataFrame:
     """Effect per iteration after resampling subjects, their sessions, and the trials of those with their labels."""
     cells = session_cells(trials, [])
     d = _session_draws(spark, cells, n_iter, "b").join(cells, ["Name", "SessId"])
@@ -108,7 +108,7 @@ def region_gap(effects: DataFrame, keys: Sequence[str], tie: Sequence[str]) -> D
     return g.filter("value is not null").select(*keys, "Phase", F.lit("Delta").alias("stat"), "value")
 
 
-def two_region_bootstrap(spark: SparkSession, trials: DataFrame, n_iter: int) -> DataFrame:
+def two_region_bootstrap(spark: SparkSession, trials: DataFrame, n_iter: int = 10_000) -> DataFrame:
     """Observed region means and their difference per phase, with bootstrap deviation, 95 % interval and sign p.
 
     Subject effects resample subjects, sessions and trials (each arm apart); the difference resamples sessions within phase
@@ -224,18 +224,35 @@ def max_statistic_permutation(spark: SparkSession, trials: DataFrame, n_iter: in
     return p.groupBy("Phase", "stat", "observed").agg(F.max(F.when(own, F.col("p"))).alias("p_adjusted"), F.max(F.when(~own, F.col("p"))).alias("p_global"))
 
 
-def auc_permutation(df: DataFrame, keys: Sequence[str], value: str, left: Column, row: str, n_iter: int) -> DataFrame:
-    """Two-sided permutation p of the ROC area: sides dealt again per iteration, same side sizes."""
+def auc_permutation(df: DataFrame, keys: Sequence[str], value: str, left: Column, row: str, n_iter: int = 10_000) -> DataFrame:
+    """Two-sided permutation p of the ROC area: sides dealt again per iteration, same side sizes.
+
+    Mid-ranks do not depend on the sides, so an iteration needs their sum over the rows of the smallest hashes only: sums of hash
+    buckets, about the root of the rows of them, and the ordered rows of the one bucket that the border of the sides cuts.
+    """
+    keys = list(keys)
     used = df.withColumn("__l", left).filter("__l is not null").select(*keys, row, value, "__l")
     obs = st.rank_test(used, keys, value, F.col("__l")).select(*keys, F.col("auc").alias("observed"), "n_left")
-    t = used.withColumn("iter", slots(F.lit(n_iter)))
-    t = t.withColumn("u", draws.u32(F.lit("auc"), F.col("iter"), F.col(row)))
-    t = skew.number_rows(t, ["iter", *keys], [F.col("u"), F.col(row)], F.shiftright("u", 20), "rn")
-    t = skew.attach(t, obs, keys, salt_on=["iter", row], how="inner")
-    null = st.rank_test(t.withColumn("__l", F.col("rn") <= F.col("n_left")), ["iter", *keys], value, F.col("__l"))
-    j = null.join(obs.drop("n_left"), keys)
-    far = F.count_if(F.abs(F.col("auc") - 0.5) >= F.abs(F.col("observed") - 0.5) - 1e-12)
-    return j.groupBy(*keys, "observed").agg(((1 + far) / (1 + F.count(F.lit(1)))).alias("p"))
+    counts = used.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    ranks = skew.mid_ranks(counts, keys).select(*keys, F.col("v").alias(value), "mid_rank")
+    bits = used.groupBy(*keys).agg(F.ceil(F.log2(F.count(F.lit(1)).cast("double")) / 2).cast("int").alias("__bits"), F.count(value).cast("double").alias("__n"))
+    t = skew.attach(used.select(*keys, row, value).join(ranks, [*keys, value], "left"), obs.join(bits, keys), keys, salt_on=[row], how="inner")
+    t = t.withColumn("iter", slots(F.lit(n_iter))).withColumn("u", draws.u32(F.lit("auc"), F.col("iter"), F.col(row)))
+    t = t.withColumn("__b", F.expr("shiftright(u, 32 - __bits)"))
+    group, const = ["iter", *keys], ["observed", "n_left", "__n"]
+    sums = t.groupBy(*group, *const, "__b").agg(F.count(F.lit(1)).alias("__rows"), F.count("mid_rank").alias("__c"), F.sum("mid_rank").alias("__s"))
+    upto = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__rows").over(upto), F.lit(0)))
+    whole = sums.filter(F.col("__before") + F.col("__rows") <= F.col("n_left")).select(*group, *const, "__c", "__s")
+    border = sums.filter((F.col("__before") < F.col("n_left")) & (F.col("__before") + F.col("__rows") > F.col("n_left"))).select(*group, "__b", "__before")
+    cut = t.join(border, [*group, "__b"]).withColumn("__rn", F.row_number().over(Window.partitionBy(*group).orderBy("u", row)))
+    cut = cut.filter(F.col("__before") + F.col("__rn") <= F.col("n_left"))
+    cut = cut.select(*group, *const, F.when(F.col("mid_rank").isNotNull(), 1).otherwise(0).alias("__c"), F.col("mid_rank").alias("__s"))
+    n1 = F.sum("__c").cast("double")
+    null = whole.unionByName(cut).groupBy(*group, *const).agg(n1.alias("__n1"), F.sum("__s").alias("__s")).filter("__n1 > 0 and __n1 < __n")
+    auc = (F.col("__s") - F.col("__n1") * (F.col("__n1") + 1) / 2) / (F.col("__n1") * (F.col("__n") - F.col("__n1")))
+    far = F.count_if(F.abs(auc - 0.5) >= F.abs(F.col("observed") - 0.5) - 1e-12)
+    return null.groupBy(*keys, "observed").agg(((1 + far) / (1 + F.count(F.lit(1)))).alias("p"))
 
 
 def bootstrap_rows(df: DataFrame, keys: Sequence[str], row: str, n_samples: int, with_replacement: bool, share: float = 1.0):

@@ -16,7 +16,7 @@ from trialweave.sources.sql_views import rnd as qr
 from trialweave.sources.sql_views import rnd as rnd_sql
 
 E = F.expr
-ITER = 20
+ITER = 1000
 
 
 def _opto(spark, sf):
