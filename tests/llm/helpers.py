@@ -30,7 +30,7 @@ def same_as_sql(spark, name, sf_dir=SMALL):
     from trialweave.llm import queries
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "labels"):
+    for t in ("documents", "embeddings", "benchmark", "conversations", "labels"):
         con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     got = queries.QUERIES[name](spark, sf_dir)
     want = con.sql(queries.ORACLES[name])

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import chat, decontaminate, langid, packing, pii, quality, sharding, simhash, tokens, toxicity
-from trialweave.llm.common import table
+from trialweave.llm import chat, decontaminate, divergence, langid, packing, periodic, pii, quality, sharding, simhash, tokens, toxicity, voronoi
+from trialweave.llm.common import let, table, words
 
 #: The vocabulary used by the queries; operators take a path.
 VOCABULARY = "byte_bpe_50k.json"
@@ -214,3 +214,97 @@ def op10(spark, d):
     rows = pii.find(docs, pii.fit(docs))
     counts = [F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE]  # noqa: B023
     return rows.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), occurrences AS (
+  SELECT k, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (
+  SELECT lang, term, CAST(count(*) AS HUGEINT) AS total FROM occurrences GROUP BY ALL HAVING count(DISTINCT k) >= 30
+), langs AS (
+  SELECT lang, CAST(count(*) AS HUGEINT) AS v, sum(total) AS lang_total FROM kept GROUP BY ALL
+), counts AS (
+  SELECT o.lang, o.source, o.term, CAST(count(*) AS HUGEINT) AS n FROM occurrences o JOIN kept USING (lang, term) GROUP BY ALL
+), groups AS (
+  SELECT g.lang, g.source, coalesce(l.v, 0) AS v, coalesce(l.lang_total, 0) AS lang_total, coalesce(n.n_group, 0) AS n_group
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN langs l USING (lang)
+  LEFT JOIN (SELECT lang, source, sum(n) AS n_group FROM counts GROUP BY ALL) n USING (lang, source)
+), parts AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (g.n_group + 5 * g.v) AS p,
+    1 + (1000000000 * (k.total + 5)) // (g.lang_total + 5 * g.v) AS q
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM parts a JOIN parts b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM parts WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR r <= 50
+"""
+
+
+@query("op11_cube_divergence", OP11_SQL)
+def op11(spark, d):
+    return divergence.audit(table(spark, d, "documents"))
+
+
+OP12_SQL = r"""
+WITH vectors AS (
+  SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.k, q.vec_id AS query_id, c.vec_id, c.k AS c,
+    CAST(list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM (SELECT * FROM vectors WHERE vec_id % 20 = 0) q JOIN vectors c ON q.k <> c.k
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY coalesce(score, 0) DESC, vec_id NULLS LAST, c) AS r FROM scored
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, coalesce(score, 0) AS score FROM ranked WHERE r <= 20
+"""
+
+
+@query("op12_voronoi_top_k", OP12_SQL)
+def op12(spark, d):
+    return voronoi.top_k(table(spark, d, "embeddings"), asks=F.col("vec_id") % 20 == 0, k=20)
+
+
+def with_planted_run(doc_id, text):
+    """``text`` with the words from one on repeated from there, for a tenth of the ids."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def planted(w):
+        n = F.size(w).cast("long")
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+
+    return F.when((h % 10 == 0) & text.rlike(r"[^\x20\x09-\x0D]"), let(words(text), planted)).otherwise(text)
+
+
+@query("op13_seed_extend_runs")
+def op13(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", with_planted_run(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic.find_runs(docs).withColumn("best", periodic.strongest(F.col("runs")))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        sha(periodic.listed(F.col("runs"))).alias("runs_sha256"),
+        sha(F.col("collapsed")).alias("collapsed_sha256"),
+    )
