@@ -41,7 +41,7 @@ def test_cells_of_any_size_equal_the_dense_result(spark):
     want = dense(rows, 3, 7)
     df = table(spark, SMALL, "documents")
     assert made(df, min_docs=3, top=7) == want
-    assert made(df, min_docs=3, top=7, shape=divergence.Shape(groups=3, terms=50)) == want
+    assert made(df, min_docs=3, top=7, shape=divergence.Shape(groups=8, terms=400)) == want
 
 
 def test_query_equals_sql(spark):
