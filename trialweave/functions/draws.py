@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
+
+ARM_COUNTS = StructType().add("o", LongType()).add("o1", LongType()).add("c1", LongType())
 
 
 def u32(*parts: Column) -> Column:
@@ -15,3 +22,53 @@ def u32(*parts: Column) -> Column:
 def index(n: Column | int, *parts: Column) -> Column:
     """A draw with replacement from 0..n−1."""
     return F.pmod(u32(*parts), n if isinstance(n, Column) else F.lit(n))
+
+
+def units(count: int, *parts: Column) -> list[Column]:
+    """``count`` (at most four) independent numbers in [0, 1), 32 bits each, from one hash of the parts."""
+    digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
+    return [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) for k in range(count)]
+
+
+@lru_cache(maxsize=50_000)
+def binomial_table(n: int, a: int, b: int) -> tuple[int, np.ndarray]:
+    """The first count that is tabled and the cumulative probabilities from there, for ``n`` draws of ``a`` in ``b``.
+
+    Only counts within 12 standard deviations of the mode are tabled: the others have far less than the 2^-32 grain of a draw. The
+    table grows with the root of ``n``.
+    """
+    if n <= 0 or a <= 0 or a >= b:
+        return (n if 0 < b <= a else 0), np.ones(1)
+    p = a / b
+    reach, mode = 12 * (n * p * (1 - p)) ** 0.5 + 20, (n + 1) * p
+    low, high = max(0, int(np.floor(mode - reach))), min(n, int(np.ceil(mode + reach)))
+    k = np.arange(low + 1, high + 1, dtype=float)
+    logs = np.concatenate([[0.0], np.cumsum(np.log((n - k + 1) * a / (k * (b - a))))])
+    mass = np.cumsum(np.exp(logs - logs.max()))
+    return low, mass / mass[-1]
+
+
+def binomial_quantiles(n: np.ndarray, a: np.ndarray, b: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """How many of ``n`` draws with chance ``a`` / ``b`` hit, for each uniform ``u``."""
+    sizes, which = np.unique(np.stack([n, a, b], axis=1), axis=0, return_inverse=True)
+    order = np.argsort(which.ravel(), kind="stable")
+    ends = np.cumsum(np.bincount(which.ravel(), minlength=len(sizes)))
+    out = np.zeros(len(n), dtype=np.int64)
+    for size, rows in zip(sizes.tolist(), np.split(order, ends[:-1]), strict=False):
+        low, upto = binomial_table(*size)
+        out[rows] = low + np.minimum(np.searchsorted(upto, u[rows], side="right"), len(upto) - 1)
+    return out
+
+
+@F.pandas_udf(LongType())
+def binomial(n: pd.Series, a: pd.Series, b: pd.Series, u: pd.Series) -> pd.Series:
+    """A binomial count per row, inverted from the uniform ``u``; rows are independent and nothing is shuffled."""
+    return pd.Series(binomial_quantiles(*(x.to_numpy(dtype=np.int64) for x in (n, a, b)), u.to_numpy(dtype=float)))
+
+
+@F.pandas_udf(ARM_COUNTS)
+def arm_counts(o: pd.Series, o1: pd.Series, c: pd.Series, c1: pd.Series, u: pd.Series, v: pd.Series, w: pd.Series) -> pd.DataFrame:
+    """Counts of a session whose trials are drawn again with their labels: stimulated trials, right ones of these, right ones of the rest."""
+    o, o1, c, c1 = (x.to_numpy(dtype=np.int64) for x in (o, o1, c, c1))
+    on = binomial_quantiles(o + c, o, o + c, u.to_numpy(dtype=float))
+    return pd.DataFrame({"o": on, "o1": binomial_quantiles(on, o1, o, v.to_numpy(dtype=float)), "c1": binomial_quantiles(o + c - on, c1, c, w.to_numpy(dtype=float))})

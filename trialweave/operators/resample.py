@@ -7,7 +7,7 @@ looks up four numbers instead of joining a trial table.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +17,9 @@ from trialweave.operators import opto
 from trialweave.operators import stats as st
 
 
+Keep = Callable[[str, DataFrame], DataFrame]
+
+
 def iterations(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).withColumnRenamed("id", "iter")
 
@@ -58,18 +61,17 @@ def _session_draws(spark: SparkSession, sessions: DataFrame, n_iter: int, tag: s
 
 
 def hierarchical_bootstrap(spark: SparkSession, trials: DataFrame, n_iter: int = 10_000, metric: str = "Gain") -> DataFrame:
-    """Effect per iteration after resampling subjects, their sessions, and the trials of those with their labels."""
+    """Effect per iteration after resampling subjects, their sessions, and the trials of those with their labels.
+
+    Of a session's resampled trials only four counts matter; they are drawn by three conditional binomials, so an iteration costs
+    sessions, not trials.
+    """
     cells = session_cells(trials, [])
     d = _session_draws(spark, cells, n_iter, "b").join(cells, ["Name", "SessId"])
-    d = d.withColumn("k", slots(F.col("o") + F.col("c")))
-    u = draws.index(F.col("o") + F.col("c"), F.lit("b3"), F.col("iter"), F.col("slot"), F.col("sess_slot"), F.col("k"))
-    d = d.withColumn("u", u)
-    is_o = F.col("u") < F.col("o")
-    right = F.when(is_o, F.col("u") < F.col("o1")).otherwise(F.col("u") - F.col("o") < F.col("c1"))
-    s = d.groupBy("iter").agg(
-        F.count_if(is_o).alias("o"), F.count_if(is_o & right).alias("o1"), F.count_if(~is_o).alias("c"), F.count_if(~is_o & right).alias("c1")
-    )
-    return s.select("iter", opto.effect_size(F.col("c1") / F.col("c"), F.col("o1") / F.col("o"), metric).alias("effect"))
+    u = draws.units(3, F.lit("b3"), F.col("iter"), F.col("slot"), F.col("sess_slot"))
+    d = d.select("iter", (F.col("o") + F.col("c")).alias("n"), draws.arm_counts("o", "o1", "c", "c1", *u).alias("k"))
+    s = d.groupBy("iter").agg(F.sum("k.o").alias("o"), F.sum("k.o1").alias("o1"), F.sum(F.col("n") - F.col("k.o")).alias("c"), F.sum("k.c1").alias("c1"))
+    return s.select("iter", opto.effect_size(F.col("c1") / F.nullif(F.col("c"), F.lit(0)), F.col("o1") / F.nullif(F.col("o"), F.lit(0)), metric).alias("effect"))
 
 
 def sign_p(observed: Column, value: Column) -> Column:
@@ -79,20 +81,11 @@ def sign_p(observed: Column, value: Column) -> Column:
 
 
 def stratified_draws(d: DataFrame, tag: str, keys: Sequence[str]) -> DataFrame:
-    """Resample each arm of each drawn session block with replacement; sums per ``keys``."""
-    arms = F.array(
-        F.struct(F.lit("o").alias("arm"), F.col("o").alias("n"), F.col("o1").alias("r")),
-        F.struct(F.lit("c").alias("arm"), F.col("c").alias("n"), F.col("c1").alias("r")),
-    )
-    a = d.withColumn("a", F.explode(arms)).filter("a.n > 0").withColumn("k", slots(F.col("a.n")))
-    u = draws.index(
-        F.col("a.n"), F.lit(tag), F.col("iter"), F.col("slot"), F.col("sess_slot"), F.col("Region"), F.col("Phase"), F.col("a.arm"), F.col("k")
-    )
-    hit = u < F.col("a.r")
-    arm = F.col("a.arm")
-    return a.groupBy(*keys).agg(
-        F.avg(F.when(arm == "c", hit.cast("int"))).alias("cm"), F.avg(F.when(arm == "o", hit.cast("int"))).alias("om")
-    )
+    """Resample each arm of each drawn session block with replacement, a binomial count per arm; accuracy of the arms per ``keys``."""
+    u = draws.units(2, F.lit(tag), F.col("iter"), F.col("slot"), F.col("sess_slot"), F.col("Region"), F.col("Phase"))
+    drawn = [draws.binomial(n, right, n, x).alias(f"k_{n}") for (n, right), x in zip((("o", "o1"), ("c", "c1")), u, strict=True)]
+    mean = lambda n: F.sum(f"k_{n}") / F.nullif(F.sum(n), F.lit(0))
+    return d.select(*keys, "o", "c", *drawn).groupBy(*keys).agg(mean("c").alias("cm"), mean("o").alias("om"))
 
 
 def region_means(entries: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -108,13 +101,13 @@ def region_gap(effects: DataFrame, keys: Sequence[str], tie: Sequence[str]) -> D
     return g.filter("value is not null").select(*keys, "Phase", F.lit("Delta").alias("stat"), "value")
 
 
-def two_region_bootstrap(spark: SparkSession, trials: DataFrame, n_iter: int = 10_000) -> DataFrame:
+def two_region_bootstrap(spark: SparkSession, trials: DataFrame, n_iter: int = 10_000, keep: Keep = lambda name, df: df) -> DataFrame:
     """Observed region means and their difference per phase, with bootstrap deviation, 95 % interval and sign p.
 
-    Subject effects resample subjects, sessions and trials (each arm apart); the difference resamples sessions within phase
-    and region.
+    Subject effects resample subjects, sessions and trials (each arm apart, as binomial counts); the difference resamples sessions
+    within phase and region. ``keep`` may store the tables that several branches read: counts per session, and values per iteration.
     """
-    cells = session_cells(trials, ["Region", "Phase"])
+    cells = keep("cells", session_cells(trials, ["Region", "Phase"]))
     c, o = F.col("cm"), F.col("om")
     eff = F.round(opto.effect_size(c, o), 9)
     # observed
@@ -132,7 +125,7 @@ def two_region_bootstrap(spark: SparkSession, trials: DataFrame, n_iter: int = 1
     slot = n.withColumn("iter", slots(F.lit(n_iter))).withColumn("slot", slots(F.col("n_i")))
     slot = slot.withColumn("i", draws.index(F.col("n_i"), F.lit("r4"), F.col("iter"), *map(F.col, grp), F.col("slot")))
     picked = slot.select("iter", "slot", *grp, "i").join(idx.select(*grp, "i", "effect"), [*grp, "i"])
-    boot = boot.unionByName(region_gap(picked, ["iter"], ["slot"]))
+    boot = keep("boot", boot.unionByName(region_gap(picked, ["iter"], ["slot"])))
     key = ["Phase", "stat"]
     ci = skew.exact_percentiles(boot, key, "value", {"ci_low": 0.025, "ci_high": 0.975})
     j = boot.join(obs.withColumnRenamed("value", "observed"), key)

@@ -14,6 +14,7 @@ from trialweave.sources import fixtures as fx
 from trialweave.sources.sql_views import erf_sql, q6
 from trialweave.sources.sql_views import rnd as qr
 from trialweave.sources.sql_views import rnd as rnd_sql
+from trialweave.sources.tables import stored
 
 E = F.expr
 ITER = 1000
@@ -484,11 +485,35 @@ def _draw_sql(tag):
     dr AS (SELECT iter, slot, sess_slot, i2.Name, SessId FROM i2 JOIN ss ON ss.Name = i2.Name AND ss.sess = {_u(f"'{tag}2'", 'iter', 'slot', 'sess_slot')} % i2.n_sess)"""
 
 
+def _unit(place, *parts):
+    """A number in [0, 1) from the ``place``-th 32 bits of a hash."""
+    key = " || '|' || ".join(parts)
+    return f"(CAST(('0x' || substr(md5({key}), {8 * place + 1}, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
+def _binomial_sql(name, sizes):
+    """CTEs up to ``name`` (n, a, b, k, lo, hi): the ranges of a uniform draw for which k of n draws with chance a / b hit."""
+    return f"""{name}k AS (SELECT n, a, b, unnest(range(CASE WHEN a >= b THEN n ELSE 0 END, CASE WHEN a = 0 THEN 1 ELSE n + 1 END)) AS k FROM (SELECT DISTINCT n, a, b FROM {sizes}) x),
+    {name}l AS (SELECT *, sum(CASE WHEN k = 0 OR a >= b THEN 0.0::DOUBLE ELSE ln((n - k + 1)::DOUBLE * a / (k::DOUBLE * (b - a))) END) OVER (PARTITION BY n, a, b ORDER BY k) AS l FROM {name}k),
+    {name}m AS (SELECT *, exp(l - max(l) OVER (PARTITION BY n, a, b)) AS p FROM {name}l),
+    {name}c AS (SELECT *, sum(p) OVER (PARTITION BY n, a, b ORDER BY k) / sum(p) OVER (PARTITION BY n, a, b) AS h FROM {name}m),
+    {name} AS (SELECT n, a, b, k, coalesce(lag(h) OVER w, 0.0::DOUBLE) AS lo, CASE WHEN lead(k) OVER w IS NULL THEN 2.0::DOUBLE ELSE h END AS hi FROM {name}c WINDOW w AS (PARTITION BY n, a, b ORDER BY k))"""
+
+
+def _hit(b, n, a, c, u):
+    return f"{b}.n = {n} AND {b}.a = {a} AND {b}.b = {c} AND {u} >= {b}.lo AND {u} < {b}.hi"
+
+
 _G21 = f"""WITH tt AS (SELECT * FROM {_T} t), {_draw_sql('b')},
       ce AS (SELECT Name, SessId, count(*) FILTER (WHERE OptoEnabled = 1 AND ChoiceCorrect = 1) AS o1, count(*) FILTER (WHERE OptoEnabled = 1) AS o,
-        count(*) FILTER (WHERE OptoEnabled = 0 AND ChoiceCorrect = 1) AS c1, count(*) AS n FROM tt GROUP BY ALL),
-      tr AS (SELECT iter, o, o1, c1, {_u("'b3'", 'iter', 'slot', 'sess_slot', 'k')} % n AS u FROM (SELECT dr.*, o, o1, c1, n, unnest(range(0, n)) AS k FROM dr JOIN ce USING (Name, SessId)) x),
-      s AS (SELECT iter, avg(CASE WHEN u < o1 THEN 1 ELSE 0 END) FILTER (WHERE u < o) AS om, avg(CASE WHEN u - o < c1 THEN 1 ELSE 0 END) FILTER (WHERE u >= o) AS cm FROM tr GROUP BY iter)"""
+        count(*) FILTER (WHERE OptoEnabled = 0 AND ChoiceCorrect = 1) AS c1, count(*) FILTER (WHERE OptoEnabled = 0) AS c FROM tt GROUP BY ALL),
+      d0 AS (SELECT iter, o, o1, c, c1, o + c AS n, {', '.join(_unit(k, "'b3'", 'iter', 'slot', 'sess_slot') + f' AS u{k}' for k in range(3))} FROM dr JOIN ce USING (Name, SessId)),
+      s1 AS (SELECT n, o AS a, n AS b FROM d0), {_binomial_sql('b1', 's1')},
+      d1 AS (SELECT d0.*, b1.k AS ko FROM d0 JOIN b1 ON {_hit('b1', 'd0.n', 'o', 'd0.n', 'u0')}),
+      s2 AS (SELECT ko AS n, o1 AS a, o AS b FROM d1), {_binomial_sql('b2', 's2')},
+      s3 AS (SELECT n - ko AS n, c1 AS a, c AS b FROM d1), {_binomial_sql('b3', 's3')},
+      s AS (SELECT iter, sum(b2.k) / nullif(sum(ko), 0)::DOUBLE AS om, sum(b3.k) / nullif(sum(d1.n - ko), 0)::DOUBLE AS cm
+        FROM d1 JOIN b2 ON {_hit('b2', 'ko', 'o1', 'o', 'u1')} JOIN b3 ON {_hit('b3', 'd1.n - ko', 'c1', 'c', 'u2')} GROUP BY iter)"""
 
 
 @query("G21_hierarchical_bootstrap", f"""{_G21} SELECT iter, {qr(_gain('cm', 'om'))} AS effect FROM s""")
@@ -520,9 +545,11 @@ _G22 = f"""WITH tt AS (SELECT * FROM {_T} t), {_draw_sql('r')},
     ob AS (SELECT Phase, Region AS stat, avg(e) AS value FROM (SELECT Name, Region, Phase, {_E9} AS e FROM (SELECT Name, Region, Phase, sum(c1) / nullif(sum(c), 0)::DOUBLE AS cm, sum(o1) / nullif(sum(o), 0)::DOUBLE AS om FROM ce GROUP BY ALL) x) y WHERE e IS NOT NULL GROUP BY ALL),
     tm AS (SELECT Phase, Region, avg(effect) AS t FROM (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY Phase, Region) AS n FROM se WHERE effect IS NOT NULL WINDOW w AS (PARTITION BY Phase, Region ORDER BY effect, SessId)) x WHERE r > n // 5 AND r <= n - n // 5 GROUP BY ALL),
     oo AS (SELECT * FROM ob UNION ALL SELECT Phase, 'Delta', max(t) FILTER (WHERE Region = 'MFC') - max(t) FILTER (WHERE Region = 'LFC') FROM tm GROUP BY Phase),
-    ar AS (SELECT dr.*, Region, Phase, unnest([{{'arm': 'o', 'n': o, 'r': o1}}, {{'arm': 'c', 'n': c, 'r': c1}}]) AS a FROM dr JOIN ce USING (Name, SessId)),
-    bt AS (SELECT iter, slot, Region, Phase, a.arm AS arm, CASE WHEN {_u("'r3'", 'iter', 'slot', 'sess_slot', 'Region', 'Phase', 'a.arm', 'k')} % a.n < a.r THEN 1 ELSE 0 END AS hit FROM (SELECT *, unnest(range(0, a.n)) AS k FROM ar) x),
-    be AS (SELECT iter, Phase, Region, {_E9} AS e FROM (SELECT iter, slot, Region, Phase, avg(hit) FILTER (WHERE arm = 'c') AS cm, avg(hit) FILTER (WHERE arm = 'o') AS om FROM bt GROUP BY ALL) x),
+    ar AS (SELECT iter, slot, Region, Phase, o, o1, c, c1, {_unit(0, "'r3'", 'iter', 'slot', 'sess_slot', 'Region', 'Phase')} AS u0, {_unit(1, "'r3'", 'iter', 'slot', 'sess_slot', 'Region', 'Phase')} AS u1
+      FROM dr JOIN ce USING (Name, SessId)),
+    s1 AS (SELECT o AS n, o1 AS a, o AS b FROM ce UNION SELECT c, c1, c FROM ce), {_binomial_sql('b1', 's1')},
+    be AS (SELECT iter, Phase, Region, {_E9} AS e FROM (SELECT iter, slot, Region, Phase, sum(y.k) / nullif(sum(c), 0)::DOUBLE AS cm, sum(x.k) / nullif(sum(o), 0)::DOUBLE AS om
+      FROM ar JOIN b1 x ON {_hit('x', 'o', 'o1', 'o', 'u0')} JOIN b1 y ON {_hit('y', 'c', 'c1', 'c', 'u1')} GROUP BY ALL) x),
     sx AS (SELECT *, row_number() OVER (PARTITION BY Phase, Region ORDER BY {_u('SessId')}, SessId) - 1 AS i, count(*) OVER (PARTITION BY Phase, Region) AS n FROM se),
     sl AS (SELECT *, unnest(range(0, n)) AS slot FROM (SELECT DISTINCT Phase, Region, n FROM sx) x, range(0, {ITER}) r(iter)),
     pk AS (SELECT iter, slot, sl.Phase, sl.Region, effect FROM sl JOIN sx ON sx.Phase = sl.Phase AND sx.Region = sl.Region AND sx.i = {_u("'r4'", 'iter', 'sl.Phase', 'sl.Region', 'slot')} % sl.n),
@@ -537,7 +564,8 @@ _G22 = f"""WITH tt AS (SELECT * FROM {_T} t), {_draw_sql('r')},
 
 @query("G22_two_region_bootstrap", _G22)
 def g22(spark, sf):
-    r = rs.two_region_bootstrap(spark, _opto(spark, sf), ITER)
+    keep = lambda name, df: stored(spark, f"two regions {name}|{sf}", lambda: df)
+    r = rs.two_region_bootstrap(spark, _opto(spark, sf), ITER, keep)
     return r.select("Phase", "stat", *[rnd(c).alias(c) for c in ("observed", "sd", "ci_low", "ci_high", "p", "p_holm")])
 
 
