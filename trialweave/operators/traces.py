@@ -7,10 +7,13 @@ concatenated epochs use ``pos`` (0-based position in the cut) in place of ``fram
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from trialweave.functions import skew
 
@@ -107,31 +110,52 @@ def gaussian_kernel(sigma: float) -> list[float]:
     return [x / total for x in w]
 
 
-def _gaussian_in_block(b: DataFrame, keys: Sequence[str], pos: str, value: str, sigma: float, out: str) -> DataFrame:
-    """Σ w·x + (1 − Σ w)·x over the neighbours that hold a value; missing values stay missing.
+def smoothed(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Σ w·x + (1 − Σ w)·x over the neighbours that hold a value; missing values (NaN) stay missing."""
+    held = ~np.isnan(x)
+    r = len(weights) // 2
+    around = lambda y: np.convolve(np.pad(y, r), weights, "valid")
+    return np.where(held, around(np.where(held, x, 0.0)) + (1 - around(held.astype(float))) * x, np.nan)
 
-    Each frame sends its weighted value to its neighbours inside the block, and a hash aggregate on the partitioning the
-    block already has adds them up, so the fan-out never reaches a shuffle.
+
+def running_extreme(x: np.ndarray, back: int, ahead: int, of: np.ufunc) -> np.ndarray:
+    """Least (``np.minimum``) or greatest (``np.maximum``) of the values from ``back`` before to ``ahead`` after each place.
+
+    Chunks as wide as the window hold growing extremes from both ends; a window is the end of one chunk and the beginning of the next,
+    so a place costs the same for any width. Missing values (NaN) do not count.
     """
-    w = gaussian_kernel(sigma)
-    r = len(w) // 2
-    sent = b.select(*keys, "__blk", "__ghost", pos, value).repartition(*keys, "__blk")
-    sent = sent.selectExpr("*", f"posexplode(array({', '.join(f'{x!r}D' for x in w)})) as (__d, __w)")
-    got = sent.groupBy(*keys, "__blk", F.expr(f"{pos} + __d - {r}").alias(pos)).agg(
-        F.expr(f"sum(__w * {value})").alias("__sum"),
-        F.expr(f"sum(if({value} is null, 0D, __w))").alias("__mass"),
-        F.expr(f"max(if(__d = {r}, {value}, null))").alias(value),
-        F.expr(f"max(if(__d = {r}, cast(__ghost as int), null))").alias("__g"),
-    )
-    smooth = f"if({value} is null, null, __sum + (1D - __mass) * {value}) as {out}"
-    return got.filter("__g is not null").selectExpr(*keys, "__blk", "__g = 1 as __ghost", pos, value, smooth)
+    width, none = back + ahead + 1, np.inf if of is np.minimum else -np.inf
+    filled = np.concatenate([np.full(back, none), np.where(np.isnan(x), none, x), np.full(ahead + width, none)])
+    chunks = filled[: len(filled) // width * width].reshape(-1, width)
+    upto, onward = of.accumulate(chunks, axis=1).ravel(), of.accumulate(chunks[:, ::-1], axis=1)[:, ::-1].ravel()
+    out = of(onward[: len(x)], upto[width - 1 : width - 1 + len(x)])
+    return np.where(np.isinf(out) & (out == none), np.nan, out)
+
+
+def _by_block(df: DataFrame, keys: Sequence[str], pos: str, value: str, before: int, after: int, size: int, of: Callable[[np.ndarray], np.ndarray], out: str) -> DataFrame:
+    """``keys, pos, value`` and ``out``, made by ``of`` from the values of a block and its halo as one array in the order of ``pos``."""
+    held = skew.with_halo(df.select(*keys, pos, value), keys, pos, before=before, after=after, size=size)
+    made = StructType([*(f for f in held.schema if f.name in (*keys, pos, value)), StructField(out, DoubleType())])
+
+    def run(block: pa.Table) -> pa.Table:
+        at = block[pos].to_numpy()
+        order = np.argsort(at, kind="stable")
+        x = np.asarray(block[value].to_pandas(), dtype=float)[order]
+        own = ~block["__ghost"].to_numpy().astype(bool)[order]
+        y = of(x)[own]
+        kept = block.select([*keys, pos, value]).take(pa.array(order[own]))
+        return kept.append_column(out, pa.array(y, pa.float64(), mask=np.isnan(y)))
+
+    return held.groupBy(*keys, "__blk").applyInArrow(run, made)
 
 
 def gaussian(df: DataFrame, keys: Sequence[str], pos: str, sigma: float, value: str = "v", out: str = "smooth", size: int = skew.BLOCK):
-    """Gaussian smoothing that keeps the total where neighbours are missing; ``pos`` has no holes within a key."""
-    r = len(gaussian_kernel(sigma)) // 2
-    b = skew.with_halo(df, keys, pos, before=r, after=r, size=size)
-    return skew.drop_ghosts(_gaussian_in_block(b, keys, pos, value, sigma, out))
+    """Gaussian smoothing that keeps the total where neighbours are missing; ``pos`` has no holes within a key.
+
+    A block of frames and its halo is one array; each frame is shuffled once and nothing is fanned out.
+    """
+    w = np.array(gaussian_kernel(sigma))
+    return _by_block(df, keys, pos, value, len(w) // 2, len(w) // 2, size, lambda x: smoothed(x, w), out)
 
 
 def baseline(
@@ -144,11 +168,13 @@ def baseline(
     win = int(window_sec * fps)
     back, ahead = win // 2, win - win // 2 - 1
     r = len(gaussian_kernel(sigma)) // 2
-    b = skew.with_halo(df, TRACE, "frame", before=r + 2 * back, after=r + 2 * ahead, size=size)
-    b = _gaussian_in_block(b, TRACE, "frame", "v", sigma, "__s")
-    w = skew.block_window(TRACE, "frame").rowsBetween(-back, ahead)
-    b = b.withColumn("__lo", F.min("__s").over(w)).withColumn("__floor", F.max("__lo").over(w))
-    floor = skew.drop_ghosts(b).select(*TRACE, "frame", F.round("__floor", 9).alias("floor"))
+    w = np.array(gaussian_kernel(sigma))
+
+    def floor_of(x: np.ndarray) -> np.ndarray:
+        return running_extreme(running_extreme(smoothed(x, w), back, ahead, np.minimum), back, ahead, np.maximum)
+
+    found = _by_block(df, TRACE, "frame", "v", r + 2 * back, r + 2 * ahead, size, floor_of, "floor")
+    floor = found.select(*TRACE, "frame", F.round("floor", 9).alias("floor"))
     span = floor.groupBy(*TRACE).agg(F.min("floor").alias("__a"), F.max("floor").alias("__z"))
     h = skew.attach(floor, span, TRACE)
     width = (F.col("__z") - F.col("__a")) / bins

@@ -164,19 +164,26 @@ def speed_class(
     return out.drop("__rn", "__n", "__start", "__over")
 
 
-def ordered_prefix_sum(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Sum of ``value`` over all rows with smaller ``keys`` (a global order), split by hash-free key ranges.
+def ordered_prefix_sum(df: DataFrame, keys: Sequence[str], value: str, out: str, ranges: int = 256) -> DataFrame:
+    """Sum of ``value`` over all rows with smaller ``keys`` (a global order; keys do not repeat), nulls first.
 
-    Rows are blocked by the first key's text prefix, so only one row per prefix is ordered globally.
+    Rows are cut into ``ranges`` ranges of the whole keys at borders drawn by a hash, whatever the keys look like. Rows are ordered within
+    their range only; one sum per range goes to the driver and comes back as an offset.
     """
-    first = keys[0]
-    b = df.withColumn("__blk", F.substring(F.col(first).cast("string"), 1, 6))
-    per = b.groupBy("__blk").agg(F.sum(value).alias("__s"))
-    w = Window.orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = per.select("__blk", F.coalesce(F.sum("__s").over(w), F.lit(0)).alias("__o"))
+    drawn = df.select(*keys).orderBy(F.xxhash64(*keys)).limit(8 * ranges).orderBy(*keys).collect()
+    kind = {f.name: f.dataType for f in df.schema}
+    key = lambda values: F.struct(*[v.cast(kind[k]).alias(k) for k, v in zip(keys, values, strict=True)])
+    borders = [key([F.lit(v) for v in row]) for row in drawn[8::8]]
+    own = key([F.col(k) for k in keys])
+    block = F.size(F.filter(F.array(*borders), lambda b: b <= own)) if borders else F.lit(0)
+    b = df.withColumn("__blk", block)
+    sums = {r["__blk"]: r["s"] for r in b.groupBy("__blk").agg(F.sum(value).alias("s")).collect()}
+    offsets = [0]
+    for k in range(len(borders)):
+        offsets.append(offsets[-1] + (sums.get(k) or 0))
     inner = Window.partitionBy("__blk").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    joined = skew.key_join(b, offs, ["__blk"])
-    return joined.withColumn(out, F.coalesce(F.sum(value).over(inner), F.lit(0)) + F.col("__o")).drop("__blk", "__o")
+    offset = F.get(F.array(*[F.lit(o) for o in offsets]), F.col("__blk"))
+    return b.withColumn(out, F.coalesce(F.sum(value).over(inner), F.lit(0)) + offset).drop("__blk")
 
 
 def time_groups(df: DataFrame, keys: Sequence[str], time: str, parts: int) -> DataFrame:
