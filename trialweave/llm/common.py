@@ -46,6 +46,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A side of so many rows of a few numbers may be broadcast: some tens of MB. Larger ones are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (a few numbers a row), to be broadcast if its rows, which are counted, are at most ``BROADCAST_ROWS``."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def let(value: Column, body) -> Column:
     """``body(x)`` with ``x`` evaluated once, also where ``body`` uses it inside lambda functions."""
     return F.transform(F.array(value), body)[0]

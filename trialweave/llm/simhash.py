@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.llm import jaccard
-from trialweave.llm.common import stored, without
+from trialweave.llm.common import small, stored, without
 
 BITS = 64
 SEED = 42
@@ -259,8 +259,8 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", F.col("__row").alias("node")))
     texts = stored(ids.groupBy("__fp").agg(first.alias("keep")).select("keep.*"), "texts")
     copies = stored(ids.select("__row").join(texts.select(F.col("node").alias("__row")), "__row", "left_anti"), "copies")
-    nodes = rows.join(copies, "__row", "left_anti").select(F.col("__row").alias("node"), F.col(text).alias("text"))
+    nodes = rows.join(small(copies), "__row", "left_anti").select(F.col("__row").alias("node"), F.col(text).alias("text"))
     placed = texts.join(roots(jaccard.links(nodes, roots, shingle, threshold)), "node", "left").withColumn("root", F.coalesce("root", "node"))
     keep = placed.groupBy("root").agg(F.min(F.struct("none", "doc", "node")).alias("keep")).select(F.col("keep.node").alias("__row"))
     gone = stored(ids.select("__row").join(keep, "__row", "left_anti"), "gone")
-    return rows.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in base.columns])
+    return rows.join(small(gone), "__row", "left_anti").select(*[F.col(f"`{c}`") for c in base.columns])
