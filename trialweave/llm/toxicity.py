@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialweave.llm.common import stored
+
 # Identity terms by group, in the languages of the corpus.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
@@ -66,10 +68,12 @@ def counterfactuals(text: str | None, swaps: dict[str, str]) -> list[tuple[set[s
 
 @dataclass
 class Model:
-    """``weights`` by feature; without labels of both classes there are none and ``bias`` is the share of toxic labels."""
+    """``weights`` by feature; without labels of both classes there are none and ``bias`` is the share of toxic labels. ``n_pairs`` is
+    the number of swapped sentences that the penalty acted on: none where no labelled text names a group."""
 
     bias: float
     weights: dict[int, float] = field(default_factory=dict)
+    n_pairs: int = 0
 
     def scorer(self):
         known: dict[str, tuple[int, ...]] = {}
@@ -115,21 +119,23 @@ def train(
     rate = float((weight * label).sum()) if len(label) else 0.0
     if not 0 < rate < 1:
         return Model(40.0 if rate >= 1 else -40.0)
-    seen = np.zeros(DIMENSIONS, dtype=np.int64)
-    of = np.zeros((2, DIMENSIONS))
-    for r, y, w in zip(rows, label, weight, strict=True):
-        of[int(y), r] += w
-        seen[r] += 1
+    known, column = np.unique(np.concatenate([*rows, np.zeros(0, dtype=np.int64)]).astype(np.int64), return_inverse=True)
+    sizes = [len(r) for r in rows]
+    of = np.stack([np.bincount(column, weights=np.repeat(weight * (label == y), sizes), minlength=len(known)) for y in (0, 1)])
+    seen = np.bincount(column, minlength=len(known))
     total, share = of.sum(axis=0), np.array([1 - rate, rate])
     gain = sum(np.where(of[k] > 0, of[k] * np.log(np.maximum(of[k], 1e-300) / np.maximum(total * share[k], 1e-300)), 0.0) for k in (0, 1))
     gain[seen < 3] = 0
     chosen = np.sort(np.argsort(-gain, kind="stable")[:max_features])
-    chosen = chosen[gain[chosen] > 0]
+    chosen = known[chosen[gain[chosen] > 0]]
     if not len(chosen):
-        return Model(float(np.log(rate / (1 - rate))))
-    place = np.full(DIMENSIONS, -1, dtype=np.int64)
-    place[chosen] = np.arange(len(chosen))
-    only = lambda r: place[r][place[r] >= 0]
+        return Model(float(np.log(rate / (1 - rate))), {}, len(pairs))
+
+    def place(r: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(chosen, r), len(chosen) - 1)
+        return np.where(chosen[at] == r, at, -1)
+
+    only = lambda r: (at := place(r))[at >= 0]
     x = Rows([only(r) for r in rows], len(chosen))
     a, b = Rows([only(p) for p, _ in pairs], len(chosen)), Rows([only(q) for _, q in pairs], len(chosen))
     n_pairs = max(1, len(pairs))
@@ -154,12 +160,12 @@ def train(
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, ahead_bias = new + (t - 1) / t_new * (new - w), new_bias + (t - 1) / t_new * (new_bias - bias)
         w, bias, t = new, new_bias, t_new
-    return Model(bias, {int(chosen[k]): float(w[k]) for k in np.flatnonzero(w)})
+    return Model(bias, {int(chosen[k]): float(w[k]) for k in np.flatnonzero(w)}, len(pairs))
 
 
 def fit(
     df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-    max_rows: int = 8_000, groups=IDENTITY_TERMS, penalty: float = 1.0, seed: int = 1,
+    max_rows: int = 8_000, groups=IDENTITY_TERMS, penalty: float = 1.0, seed: int = 1, max_features: int = 20_000,
 ) -> Model:
     """Fit on ``max_rows`` labelled rows at most, half of them for each label where there are as many.
 
@@ -181,21 +187,40 @@ def fit(
         for batch in batches:
             data, pairs = [], []
             for t in batch.column("text").to_pylist():
-                data.append(features(text_words(t)).tobytes())
-                own = [(features(p), features(q)) for p, q in counterfactuals(t, swaps)[:50]]
-                pairs.append([x.tobytes() for p in own for x in p])
-            columns = [batch.column("id"), batch.column("y"), pa.array(data, pa.binary()), pa.array(pairs, pa.list_(pa.binary()))]
+                data.append(features(text_words(t)))
+                swapped = {(features(p).tobytes(), features(q).tobytes()) for p, q in counterfactuals(t, swaps)}
+                pairs.append([x for p in sorted(swapped) for x in p])
+            columns = [batch.column("id"), batch.column("y"), pa.array(data, pa.list_(pa.int32())), pa.array(pairs, pa.list_(pa.binary()))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "y", "data", "pairs"])
 
     kind = marked.schema["id"].dataType.simpleString()
     docs = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     sample = docs.join(F.broadcast(drawn), "id").select("id", "y", "text")  # max_rows ids at most
-    made = sample.mapInArrow(featurise, f"id {kind}, y int, data binary, pairs array<binary>")
-    got = made.groupBy("id").agg(F.min(F.struct("y", "data", "pairs")).alias("r")).select("id", "r.*").toPandas().sort_values("id")
+    made = sample.mapInArrow(featurise, f"id {kind}, y int, data array<int>, pairs array<binary>")
+    got = stored(made.groupBy("id").agg(F.min(F.struct("y", "data", "pairs")).alias("r")).select("id", "r.*"), "labelled-features")
+
+    # Features are chosen by counts; only their places in the rows leave the executors.
+    n_of = {int(y): int(n) for y, n in got.groupBy("y").agg(F.count("*")).collect()}
+    whole = sum(n / rates[y] for y, n in n_of.items())
+    held = got.select("y", F.explode("data").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("n1"))
+    mass = {1: F.col("n1") / (rates[1] * whole), 0: (F.col("n") - F.col("n1")) / (rates[0] * whole)}
+    part = lambda y: F.when(mass[y] > 0, mass[y] * F.ln(mass[y] / ((mass[0] + mass[1]) * F.lit(n_of.get(y, 0) / rates[y] / whole)))).otherwise(0.0)
+    best = held.where("n >= 3").select("f", (part(0) + part(1)).alias("gain")).where("gain > 0").orderBy(F.desc("gain"), "f").limit(max_features) if len(n_of) == 2 else held.limit(0)
+    chosen = np.sort(np.array([r["f"] for r in best.select("f").collect()], dtype=np.int32))
+
+    def only_chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lambda x: np.intersect1d(np.asarray(x, dtype=np.int32), chosen).tobytes()
+        for batch in batches:
+            data = [of(x) for x in batch.column("data").to_pylist()]
+            pairs = [[of(np.frombuffer(x, dtype=np.int32)) for x in p] for p in batch.column("pairs").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(data, pa.binary()), pa.array(pairs, pa.list_(pa.binary()))], names=["id", "y", "data", "pairs"])
+
+    rows = got.mapInArrow(only_chosen, f"id {kind}, y int, data binary, pairs array<binary>").orderBy("id").toArrow()
     of = lambda x: np.frombuffer(x, dtype=np.int32)
-    label_of = got["y"].to_numpy(dtype=float)
-    pairs = [(of(p[k]), of(p[k + 1])) for p in got["pairs"] for k in range(0, len(p), 2)]
-    return train([of(x) for x in got["data"]], label_of, np.where(label_of == 1, 1 / rates[1], 1 / rates[0]), pairs, penalty)
+    label_of = rows["y"].to_numpy().astype(float)
+    pairs = [(of(p[k]), of(p[k + 1])) for p in rows["pairs"].to_pylist() for k in range(0, len(p), 2)]
+    data = [of(x) for x in rows["data"].to_pylist()]
+    return train(data, label_of, np.where(label_of == 1, 1 / rates[1], 1 / rates[0]), pairs, penalty, max_features=max_features)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
