@@ -84,7 +84,7 @@ class Model:
             for w in text_words(text):
                 got = known.get(w)
                 if got is None:
-                    if len(known) > 500_000:
+                    if len(known) > 100_000:
                         known.clear()
                     got = known[w] = tuple(f for f in word_features(w) if f in weights)
                 hit.update(got)
