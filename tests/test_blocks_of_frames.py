@@ -95,3 +95,17 @@ def test_prefix_sum_over_names_with_a_long_common_beginning(spark):
     for name, number, n in sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1] is not None, r[1] or 0)):
         assert found[name, number] == total
         total += n
+
+
+def test_classes_of_all_signatures(spark):
+    from pyspark.sql import functions as F
+
+    from trialweave.operators import tuning
+
+    scopes = [("none", "none"), ("PrevChoiceLeft", "0"), ("PrevChoiceLeft", "1")]
+    rows = [("s", k, "r", "c", p, v, bool(k >> i & 1)) for k in range(8) for i, (p, v) in enumerate(scopes)]
+    rows += [("s", 8, "r", "c", "none", "none", True), ("s", 8, "r", "c", "PrevChoiceLeft", "null", True), ("s", 1, "r", "c", "PrevChoiceCorrect", "0", True)]
+    df = spark.createDataFrame(rows, "ShortName string, trace_id long, BrainRegion string, data_col string, prior_col string, prior_val string, sig boolean")
+    got = tuning.prior_signatures(df, F.col("sig"), "PrevChoiceLeft").withColumn("class", tuning.prior_class(F.col("signature"))).collect()
+    want = ["not_significant", "only_no_prior", "one_prior_only", "one_prior_and_no_prior", "one_prior_only", "one_prior_and_no_prior", "both_priors_only", "both_priors_and_no_prior", None]
+    assert {r["trace_id"]: r["class"] for r in got} == dict(enumerate(want))

@@ -124,6 +124,30 @@ def trace_flags(tests: DataFrame, flags: dict[str, Column], keys: Sequence[str]
     return tests.groupBy(*keys).agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in flags.items()])
 
 
+#: Bits of a signature: significant without a prior, with its value 0, with its value 1; and tested, in the same order.
+SIGNIFICANT, TESTED = (1, 2, 4), (8, 16, 32)
+
+
+def prior_signatures(tests: DataFrame, significant: Column, prior: str, keys: Sequence[str] = (*TRACE, "BrainRegion", "data_col")) -> DataFrame:
+    """One ``signature`` per ``keys``: a bit for each scope (no prior, ``prior`` is 0, ``prior`` is 1) that is significant and for each
+    that was tested. Every test is read once; what is asked of a neuron afterwards is a mask. Missing prior values take no part."""
+    scope = F.when(F.col("prior_col") == "none", 0).when((F.col("prior_col") == prior) & (F.col("prior_val") == "0"), 1).when((F.col("prior_col") == prior) & (F.col("prior_val") == "1"), 2)
+    bits = lambda of: F.element_at(F.array(*map(F.lit, of)), scope + 1)
+    sig = F.when(F.coalesce(significant, F.lit(False)), bits(SIGNIFICANT)).otherwise(0)
+    return tests.filter(scope.isNotNull()).groupBy(*keys).agg(F.bit_or(sig.bitwiseOR(bits(TESTED))).alias("signature"))
+
+
+def prior_class(signature: Column) -> Column:
+    """The class of a neuron by what is significant: with both, one or no value of the prior, and without the prior. NULL unless all
+    three scopes were tested."""
+    none, both = signature.bitwiseAND(F.lit(1)) > 0, F.bit_count(signature.bitwiseAND(F.lit(6)))
+    found = (
+        F.when((both == 2) & none, "both_priors_and_no_prior").when(both == 2, "both_priors_only").when((both == 1) & none, "one_prior_and_no_prior")
+        .when(both == 1, "one_prior_only").when(none, "only_no_prior").otherwise("not_significant")
+    )
+    return F.when(signature.bitwiseAND(F.lit(56)) == 56, found)
+
+
 def preference_activity(activity: DataFrame, labels: DataFrame) -> DataFrame:
     """Trial activity of preferring, anti-preferring and untuned neurons per speed class."""
     d = skew.attach(activity, labels.select(*TRACE, "tuned_left"), TRACE, salts=1)

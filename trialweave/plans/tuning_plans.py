@@ -198,6 +198,21 @@ def g13(spark, sf):
     return _flags(spark, sf).groupBy("BrainRegion", cls.alias("class")).agg(F.count("*").alias("n"))
 
 
+_SCOPE = "(CASE WHEN prior_col = 'none' THEN 0 WHEN prior_val = '0' THEN 1 WHEN prior_val = '1' THEN 2 END)"
+_PRIOR_CLASS = f"""(SELECT ShortName, trace_id, BrainRegion, data_col, prior, CASE WHEN b AND z THEN 'both_priors_and_no_prior' WHEN b THEN 'both_priors_only' WHEN o AND z THEN 'one_prior_and_no_prior'
+      WHEN o THEN 'one_prior_only' WHEN z THEN 'only_no_prior' ELSE 'not_significant' END AS class
+    FROM (SELECT *, x AND y AS b, x OR y AS o FROM (SELECT ShortName, trace_id, BrainRegion, data_col, prior, bool_or({_SIG}) FILTER (WHERE scope = 0) AS z, bool_or({_SIG}) FILTER (WHERE scope = 1) AS x,
+        bool_or({_SIG}) FILTER (WHERE scope = 2) AS y FROM (SELECT *, {_SCOPE} AS scope FROM tests, (VALUES ('PrevChoiceLeft'), ('PrevChoiceCorrect')) p(prior)
+          WHERE quantile = 'All' AND prior_col IN ('none', prior)) q WHERE scope IS NOT NULL GROUP BY ALL) w WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL) v)"""
+
+
+@query("G13_prior_classes", f"SELECT prior, BrainRegion, data_col, class, count(*) AS n FROM {_PRIOR_CLASS} c GROUP BY ALL")
+def g13p(spark, sf):
+    t = _tests(spark, sf, speed=False)
+    rows = [tu.prior_signatures(t, _sig(), p).select("*", F.lit(p).alias("prior"), tu.prior_class(F.col("signature")).alias("class")) for p in PRIORS]
+    return rows[0].unionByName(rows[1]).filter("class is not null").groupBy("prior", "BrainRegion", "data_col", "class").agg(F.count("*").alias("n"))
+
+
 @query("G14_selection_matrix", f"SELECT prior_sig, choice_sig, active, current_sig, count(*) AS n FROM {_FLAGS} f GROUP BY CUBE (prior_sig, choice_sig, active, current_sig)")
 def g14(spark, sf):
     return _flags(spark, sf).cube("prior_sig", "choice_sig", "active", "current_sig").agg(F.count("*").alias("n"))
