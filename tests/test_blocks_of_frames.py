@@ -109,3 +109,27 @@ def test_classes_of_all_signatures(spark):
     got = tuning.prior_signatures(df, F.col("sig"), "PrevChoiceLeft").withColumn("class", tuning.prior_class(F.col("signature"))).collect()
     want = ["not_significant", "only_no_prior", "one_prior_only", "one_prior_and_no_prior", "one_prior_only", "one_prior_and_no_prior", "both_priors_only", "both_priors_and_no_prior", None]
     assert {r["trace_id"]: r["class"] for r in got} == dict(enumerate(want))
+
+
+def test_paired_tests_corrected_over_the_bins(spark):
+    from trialweave.operators import stats
+
+    rng = np.random.default_rng(11)
+    rows = [(b, float(rng.normal() + b / 3), float(rng.normal())) for b in range(4) for _ in range(12)] + [(4, 1.0, 0.0), (5, 1.0, None), (6, 2.0, 1.0), (6, 3.0, 2.0)]
+    got = {r["bin"]: r for r in stats.paired_tests(spark.createDataFrame(rows, "bin long, fast double, slow double"), [], "bin", "fast", "slow").collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 6} and got[4]["p"] is None and got[4]["p_holm"] is None and got[6]["p"] is None
+    p = {}
+    for b in range(4):
+        d = np.array([x - y for k, x, y in rows if k == b])
+        t = d.mean() / (d.std(ddof=1) / np.sqrt(len(d)))
+        # two-sided Student tail with 11 degrees of freedom, by the trapezoidal rule
+        x = np.linspace(0, abs(t), 200_001)
+        p[b] = got[b]["p"]
+        assert got[b]["n_pairs"] == 12 and got[b]["t_stat"] == pytest.approx(t) and 0 < p[b] <= 1
+        c = 1 / (2 * np.trapezoid((1 + np.linspace(0, 400, 2_000_001) ** 2 / 11) ** -6, dx=400 / 2_000_000))
+        assert p[b] == pytest.approx(1 - 2 * c * np.trapezoid((1 + x * x / 11) ** -6, x), abs=1e-6)
+    run, want = 0.0, {}
+    for k, b in enumerate(sorted(p, key=p.get)):
+        run = max(run, min(1.0, (4 - k) * p[b]))
+        want[b] = run
+    assert {b: got[b]["p_holm"] for b in want} == pytest.approx(want)

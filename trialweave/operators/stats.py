@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialweave.functions import skew
+from trialweave.functions import skew, tails
 
 
 def rank_test(df: DataFrame, keys: Sequence[str], value: str, left: Column) -> DataFrame:
@@ -55,6 +55,20 @@ def holm(df: DataFrame, family: Sequence[str], p: str, tie: Sequence[str], out:
     return stepped.drop("__raw", "__run", "__r", "__m").unionByName(rest)
 
 
+def paired_tests(df: DataFrame, family: Sequence[str], test: str, a: str, b: str, min_pairs: int = 2) -> DataFrame:
+    """``n_pairs, t_stat, p, p_holm`` of ``a`` against ``b`` for each value of ``test``, corrected over the tests of a family.
+
+    Pairs that lack a side do not count. Tests with fewer than ``min_pairs`` pairs, or whose differences are all equal, have no p and
+    take no part in the correction.
+    """
+    gap = F.col(a) - F.col(b)
+    error = F.stddev_samp(gap) / F.sqrt(F.count(gap))
+    t = df.filter(gap.isNotNull()).groupBy(*family, test).agg(F.count(gap).alias("n_pairs"), (F.avg(gap) / F.nullif(error, F.lit(0.0))).alias("t_stat"))
+    t = t.withColumn("p", F.when((F.col("n_pairs") >= min_pairs) & F.col("t_stat").isNotNull(), tails.p_student("t_stat", F.col("n_pairs") - 1)))
+    t = t.withColumn("p", F.nanvl("p", F.lit(None).cast("double"))).withColumn("__one", F.lit(1))
+    return holm(t, [*family, "__one"], "p", [test]).drop("__one")
+
+
 def benjamini_hochberg(df: DataFrame, family: Sequence[str], p: str, tie: Sequence[str], out: str = "p_bh") -> DataFrame:
     """False-discovery adjustment: running minimum of p·m/i from the largest p down; missing p-values stay missing."""
     raw = _ordered_p(df, family, p, tie).withColumn("__raw", F.col(p) * F.col("__m") / F.col("__r"))

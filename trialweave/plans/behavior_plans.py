@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from trialweave.functions import draws, skew
 from trialweave.operators import behavior as bh
+from trialweave.operators import stats as st
 from trialweave.operators import windows
 from trialweave.operators.behavior import r6, rnd
 from trialweave.plans.registry import query
@@ -826,6 +827,13 @@ def d26(spark, sf):
     )
 
 
+@query("D26_fast_slow_holm")
+def d26h(spark, sf):
+    """Paired tests of fast against slow accuracy per bin, subjects as pairs, corrected over the bins."""
+    t = st.paired_tests(bh.fast_slow_pairs(fx.trials_q(spark, sf), _PSY), [], "bin", "fast", "slow")
+    return t.select("bin", "n_pairs", *[rnd(c).alias(c) for c in ("t_stat", "p", "p_holm")], (F.col("p_holm") <= 0.05).alias("reject"))
+
+
 @query("D27_session_curves", _psy_sql("Name, SessionNum"))
 def d27(spark, sf):
     return bh.psychometric_points(fx.trials(spark, sf), SESS, _PSY, "ChoiceLeft")
