@@ -48,9 +48,12 @@ def test_attribution_equals_brute_force(rule):
 
 def test_ids_equal_the_library():
     enc, lib = tokens.encoder(queries.vocabulary()), Tokenizer.from_file(queries.vocabulary())
-    lib.encode_special_tokens = True
-    for t in TEXTS + [e[1] for e in EDGES if e[1]]:
-        assert enc.encode(t) == lib.encode(t, add_special_tokens=False).ids
+    added = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n", "<|endoftext| >", "  <|endoftext|>  tail"]
+    for t in TEXTS + added + [e[1] for e in EDGES if e[1]]:
+        ids = enc.encode(t)
+        assert ids == lib.encode(t, add_special_tokens=False).ids
+        assert sum(int(enc.lengths[i]) for i in ids) == len(t.encode())
+    assert enc.encode("a <|endoftext|> b") == [64, 220, 50256, 275]
 
 
 def test_attribution_edges(spark):

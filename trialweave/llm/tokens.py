@@ -7,6 +7,7 @@ sections tile it too, and the two interval lists are joined in order.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,9 @@ def byte_of_char() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of ordinary text under a byte-level BPE vocabulary file of the ``tokenizers`` library; special tokens are text."""
+    """Ids of a text under a byte-level BPE vocabulary file of the ``tokenizers`` library, equal to those of its ``encode`` with
+    ``add_special_tokens=False``: the literal of an added token in the text is that token.
+    """
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -34,15 +37,29 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        if any(t.get(flag) for t in added for flag in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that take in or ask for neighbouring characters are not supported")
+        special = {t["content"]: t["id"] for t in added}
         back = byte_of_char()
         ranks = {bytes(back[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        self.encode = tiktoken.Encoding(
-            path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-        ).encode_ordinary
-        self.lengths = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        self.ordinary = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.special = special
+        # the longest first where two begin at one place
+        self.literals = re.compile("(" + "|".join(re.escape(t) for t in sorted(special, key=lambda t: (-len(t), t))) + ")") if special else None
+        self.lengths = np.zeros(max([*ranks.values(), *special.values()]) + 1, dtype=np.int64)
         for t, i in ranks.items():
             self.lengths[i] = len(t)
+        for t, i in special.items():
+            self.lengths[i] = len(t.encode())
+
+    def encode(self, text: str) -> list[int]:
+        if not any(t in text for t in self.special):
+            return self.ordinary(text)
+        ids: list[int] = []
+        for k, part in enumerate(self.literals.split(text)):
+            ids += [self.special[part]] if k % 2 else self.ordinary(part)
+        return ids
 
 
 _ENCODERS: dict[str, Encoder] = {}
