@@ -240,6 +240,17 @@ def test_equal_items_and_empty_tables(spark):
     assert decontaminate.decontaminate(edges(spark, "key", "item_id"), b).count() == len(EDGES)
 
 
+def test_items_without_or_under_one_id(spark):
+    known, other, far = "some five words and then some more words to fill", "quite different words of another item that is long", "w1 w2 w3 w4 w5 w6"
+    docs = [(1, f"intro {known} end"), (2, f"intro {other} end"), (3, f"{other} and {far}"), (4, "clean text without any of these")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(None, known), (3, other), (3, far)], "item_id long, text string")
+    r = decontaminate.leaks(d, b).collect()
+    got = sorted((x["doc_id"], str(x["item_id"]), x["n_items"], x["n_shingles"], x["containment"]) for x in r)
+    assert got == [(1, "None", 1, 6, 1.0), (2, "3", 1, 5, 1.0), (3, "3", 1, 2, 1.0), (3, "3", 1, 5, 1.0)]
+    assert [x["doc_id"] for x in decontaminate.decontaminate(d, b).collect()] == [4]
+
+
 def test_shuffled_index_gives_the_same(spark, monkeypatch):
     want = sorted(map(str, queries.op9(spark, SMALL).collect()))
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)

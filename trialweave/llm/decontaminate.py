@@ -43,16 +43,19 @@ def needed(n: Column, threshold: float) -> Column:
 
 
 def item_classes(items: DataFrame, item_id: str, text: str, shingle: int) -> DataFrame:
-    """Distinct items: smallest id, number of equal items, width of their shingles (all words if fewer), shingle texts and hashes."""
+    """Distinct items: a key of their words, smallest id, number of equal items, width of their shingles (all words if fewer),
+    shingle texts and hashes. Everything goes by the key, as ids may be null or stand for several texts.
+    """
     base = items.select(F.col(item_id).alias("item_id"), plain_words(F.col(text)).alias("w")).where(F.size("w") > 0)
     base = base.groupBy("w").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"))
+    base = base.withColumn("item", F.md5(F.array_join("w", " ").cast("binary")))
     base = base.withColumn("width", F.least(F.lit(shingle), F.size("w")))
     pick = lambda f: F.coalesce(*[F.when(F.col("width") == k, f(F.col("w"), k)) for k in range(1, shingle + 1)])
-    return base.select("item_id", "n_items", "width", pick(spelled).alias("shingles"), F.array_distinct(pick(hashed)).alias("hashes"))
+    return base.select("item", "item_id", "n_items", "width", pick(spelled).alias("shingles"), F.array_distinct(pick(hashed)).alias("hashes"))
 
 
 def sketches(classes: DataFrame, threshold: float) -> DataFrame:
-    """``item_id, width, hash, need``: the kept minima, and how many of them a containing document has at least.
+    """``item, width, hash, need``: the kept minima, and how many of them a containing document has at least.
 
     A class of items has from 2^c to 2^(c+1) - 1 shingles. It keeps one more than may be missing from its largest items, which
     leaves ``need`` of at least one for each of its items.
@@ -62,24 +65,24 @@ def sketches(classes: DataFrame, threshold: float) -> DataFrame:
     keep = F.least(n, top - needed(top, threshold) + 1)
     kept = F.slice(F.sort_array("hashes"), 1, keep)
     need = F.greatest(F.lit(1), keep - (n - needed(n, threshold)))
-    return classes.select("item_id", "width", need.alias("need"), F.explode(kept).alias("hash"))
+    return classes.select("item", "width", need.alias("need"), F.explode(kept).alias("hash"))
 
 
 def candidates(docs: DataFrame, index: DataFrame) -> DataFrame:
-    """Pairs ``key, item_id`` of documents (``key``, words ``w``) that hold enough kept minima of an item."""
+    """Pairs ``key, item`` of documents (``key``, words ``w``) that hold enough kept minima of an item."""
     widths = {r[0]: r[1] for r in index.groupBy("width").agg(F.max("hash")).collect()}  # five rows at most
     if not widths:
-        return docs.select("key").crossJoin(index.select("item_id").limit(0)).limit(0)
+        return docs.select("key").limit(0).withColumn("item", F.lit(""))
     few = index.count() <= BROADCAST_ROWS
     found = None
     for k, highest in sorted(widths.items()):
         probes = F.array_distinct(F.filter(hashed(F.col("w"), k), lambda h: h <= highest))  # noqa: B023
         rows = docs.select("key", F.explode(probes).alias("hash"))
-        own = index.where(F.col("width") == k).select("item_id", "need", "hash")
+        own = index.where(F.col("width") == k).select("item", "need", "hash")
         hits = rows.join(F.broadcast(own) if few else own, "hash")
         found = hits if found is None else found.unionByName(hits)
-    hits = found.groupBy("key", "item_id", "need", "hash").agg(F.lit(1).alias("one"))  # copies of a document meet here
-    return hits.groupBy("key", "item_id", "need").agg(F.count("*").alias("n")).where("n >= need").select("key", "item_id")
+    hits = found.groupBy("key", "item", "need", "hash").agg(F.lit(1).alias("one"))  # copies of a document meet here
+    return hits.groupBy("key", "item", "need").agg(F.count("*").alias("n")).where("n >= need").select("key", "item")
 
 
 def leaks(
@@ -90,14 +93,14 @@ def leaks(
     document's ``key``.
 
     Containment is the share of an item's distinct word shingles that the document has. Equal items are one row under their
-    smallest id with their number ``n_items``; items shorter than a shingle are one shingle of all their words; items and
+    smallest id (null if none has one) with their number ``n_items``; different items under one id are a row each; items shorter than a shingle are one shingle of all their words; items and
     documents without words match nothing. Repeated documents give repeated rows, copies are looked up once.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("key"), F.col(text).alias("text"))
     classes = stored(item_classes(items, item_id, item_text, shingle), "items")
     index = stored(sketches(classes, threshold), "minima")
     found = stored(candidates(base.select("key", plain_words(F.col("text")).alias("w")), index), "candidates")
-    asked = found.join(classes.select("item_id", "n_items", "width", "shingles"), "item_id")
+    asked = found.join(classes.select("item", "item_id", "n_items", "width", "shingles"), "item")
     asked = asked.groupBy("key").agg(F.collect_list(F.struct("item_id", "n_items", "width", "shingles")).alias("items"))
     # Stored, so that the join reads nothing but exchanges and a text with very many copies can be split; merged at every size.
     docs_asked = base.join(stored(asked, "asked").hint("merge"), "key")

@@ -184,22 +184,22 @@ OP9_SQL = r"""
 WITH doc_words AS (
   SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents
 ), item_words AS (
-  SELECT w, min(item_id) AS item_id, count(*) AS n_items FROM (
+  SELECT row_number() OVER () AS item, w, min(item_id) AS item_id, count(*) AS n_items FROM (
     SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark)
   WHERE len(w) > 0 GROUP BY w
 ), item_shingles AS (
-  SELECT DISTINCT item_id, n_items, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS s
+  SELECT DISTINCT item, item_id, n_items, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS s
   FROM (SELECT *, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM item_words)
 ), widths AS (
   SELECT DISTINCT least(5, len(w)) AS width FROM item_words
 ), doc_shingles AS (
   SELECT DISTINCT k, doc_id, array_to_string(w[i:i + width - 1], ' ') AS s
   FROM (SELECT k, doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM doc_words, widths)
-), sized AS (SELECT item_id, n_items, count(*) AS n FROM item_shingles GROUP BY ALL)
-SELECT doc_id, item_id, CAST(any_value(z.n_items) AS BIGINT) AS n_items, CAST(any_value(z.n) AS INTEGER) AS n_shingles,
+), sized AS (SELECT item, count(*) AS n FROM item_shingles GROUP BY ALL)
+SELECT doc_id, any_value(i.item_id) AS item_id, CAST(any_value(i.n_items) AS BIGINT) AS n_items, CAST(any_value(z.n) AS INTEGER) AS n_shingles,
   CAST(count(*) AS INTEGER) AS n_shared, count(*) / any_value(z.n) AS containment
-FROM doc_shingles d JOIN item_shingles i USING (s) JOIN sized z USING (item_id)
-GROUP BY k, doc_id, item_id HAVING count(*) >= ceil(0.8 * any_value(z.n) - 1e-9)
+FROM doc_shingles d JOIN item_shingles i USING (s) JOIN sized z USING (item)
+GROUP BY k, doc_id, item HAVING count(*) >= ceil(0.8 * any_value(z.n) - 1e-9)
 """
 
 
