@@ -94,6 +94,22 @@ def test_language_edges(spark):
     assert langid.identify(no_rows(spark), model).count() == 0
     one = langid.Model({"xx": [b" some words"]}).classifier()
     assert one("words") == ("xx", 1.0, False) and one("123 --")[0] == "und"
+    for t in ["²", "Ⅻ ①", "\u0301\u0308 7", "_", "٣", "🙂"]:  # no letters, though some count as word characters
+        assert one(t)[0] == "und" and not any(c.isalpha() for c in t)
+    assert langid.normal("नमस्ते दुनिया") == "नमस्ते दुनिया".encode()  # marks stay within words
+
+
+def test_copies_leave_dictionaries_full_and_pieces_come_from_anywhere(spark):
+    text = lambda lang, k: "the same opening of every page " + " ".join(f"{lang}{chr(97 + j % 26)}{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzabcd'[k // 100]}" for j in range(40))
+    rows = [(k, text("q", k), "qq") for k in range(400)] + [(k, text("q", 7), "qq") for k in range(400, 1900)] + [(k, text("r", k), "rr") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, docs_per_language=100, chars_per_doc=60)
+    words = {g: len(b" ".join(d).split()) for g, d in model.dictionaries.items()}
+    assert 0.8 < words["qq"] / words["rr"] < 1.25
+    opening = sum(b"opening" in d for d in b" ".join(model.dictionaries["rr"]).split(b"every page"))
+    assert opening < 40  # under half of the pieces hold the opening
+    copy = langid.normal(text("q", 7)).split()[-1]
+    assert b" ".join(model.dictionaries["qq"]).split().count(copy) <= 1
 
 
 def test_close_languages_are_rejected():

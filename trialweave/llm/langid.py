@@ -8,21 +8,25 @@ other pieces add their sizes before the choice; what stays close is marked as re
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Marks belong to the letters before them, but no text is made of marks alone.
+NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+LETTER = regex.compile(r"\p{L}")
 BLOCK = 16_384
 
 
 def normal(text: str | None) -> bytes:
     """Lower-case words of letters; empty if there is no letter."""
-    return NOT_LETTERS.sub(" ", (text or "").lower()).strip().encode("utf-8", "surrogatepass")
+    if not LETTER.search(text or ""):
+        return b""
+    return NOT_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "surrogatepass")
 
 
 @dataclass(frozen=True)
@@ -66,22 +70,25 @@ class Model:
 
 
 def fit(
-    df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_language: int = 120, chars_per_doc: int = 2_000,
+    df: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = 120, chars_per_doc: int = 2_000,
     n_dictionaries: int = 3, seed: int = 1, level: int = 6, narrow: float = 0.02,
 ) -> Model:
     """Dictionaries from about ``docs_per_language`` texts of each language, ``chars_per_doc`` characters of each.
 
-    The bounds hold for the dictionaries alone. Rows are drawn by a hash at the rate that the language's count asks for; equal
-    pieces count once, so a text with many copies fills no dictionary. Rows without language or letters are not used.
+    The bounds hold for the dictionaries alone. Texts are drawn by their hash at the rate that the language's number of different
+    texts asks for, so copies neither fill nor thin a dictionary; of each a piece at a hashed place of the whole text is taken.
+    Rows without language or letters are not used; the ids of the rows decide nothing.
     """
-    rows = df.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.col(lang).alias("g")).where(r"g is not null and t rlike '\\p{L}'")
-    counts = {g: int(n) for g, n in rows.groupBy("g").agg(F.count("*")).collect()}
+    rows = df.select(F.col(text).alias("t"), F.col(lang).alias("g")).where(r"g is not null and t rlike '\\p{L}'")
+    rows = rows.withColumn("key", F.xxhash64(F.lit(seed), "t"))
+    counts = {g: int(n) for g, n in rows.select("g", "key").distinct().groupBy("g").agg(F.count("*")).collect()}
     if not counts:
         return Model({}, level, narrow)
     rate = F.create_map(*[F.lit(x) for g, n in sorted(counts.items()) for x in (g, min(1.0, 1.5 * docs_per_language / n))])
-    key = F.xxhash64(F.lit(seed), "id", "t")
-    drawn = rows.withColumn("key", key).where(F.shiftrightunsigned("key", 11) * F.lit(2.0**-53) < F.element_at(rate, F.col("g")))
-    pieces = drawn.groupBy("g", F.substring("t", 1, chars_per_doc).alias("piece")).agg(F.min("key").alias("key"))
+    drawn = rows.where(F.shiftrightunsigned("key", 11) * F.lit(2.0**-53) < F.element_at(rate, F.col("g")))
+    places = F.greatest(F.lit(1), F.length("t") - (chars_per_doc - 1))
+    start = (1 + F.pmod(F.xxhash64(F.lit(seed), "key"), places)).cast("int")
+    pieces = drawn.groupBy("g", F.col("t").substr(start, F.lit(chars_per_doc)).alias("piece")).agg(F.min("key").alias("key"))
     of: dict[str, list[bytes]] = {}
     for r in sorted(pieces.collect(), key=lambda r: (r["g"], r["key"])):
         if data := normal(r["piece"]):
