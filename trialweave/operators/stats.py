@@ -144,3 +144,78 @@ def trimmed_mean(df: DataFrame, keys: Sequence[str], value: str, share: float, t
     cut = F.floor(F.lit(share) * F.col("__n"))
     kept = r.filter((F.col("__r") > cut) & (F.col("__r") <= F.col("__n") - cut))
     return kept.groupBy(*keys).agg(F.avg(value).alias("trimmed_mean"), F.count(F.lit(1)).alias("n_kept"))
+
+
+def _beside(xs: DataFrame, ys: DataFrame, keys: Sequence[str], state: DataFrame, shifts: Column) -> DataFrame:
+    """The values of ``xs`` moved down by each shift, merged in falling order with those of ``ys``: ``cum`` and ``rank`` are how many
+    rows and distinct values of ``ys`` are not below a moved value.
+    """
+
+    def side(df: DataFrame, is_x: bool) -> DataFrame:
+        d = skew.attach(df, state, keys, ["v"], how="inner").select(*keys, "v", "c", F.posexplode(shifts).alias("i", "d"))
+        place = F.col("v") - F.col("d") if is_x else F.col("v")
+        own = lambda c: F.lit(0).cast("long") if is_x else c.cast("long")
+        return d.select(*keys, "v", "c", "i", "d", (F.lit(0.0) - place).alias("w"), F.lit(is_x).alias("is_x"), own(F.col("c")).alias("cy"), own(F.lit(1)).alias("one"))
+
+    both = side(xs, True).unionByName(side(ys, False))
+    # equal places: false before true, so a value of ys counts for the moved value that it equals
+    return skew.running_sum(both, [*keys, "i"], ["w", "is_x"], skew.value_block(F.col("w")), {"cum": "cy", "rank": "one"})
+
+
+def hodges_lehmann(
+    df: DataFrame, keys: Sequence[str], value: str, left: Column, cuts: int = 32, spare: int = 100_000, keep=lambda df, name: df
+) -> DataFrame:
+    """Median of all differences between a value of the left side and one of the right side per ``keys``: ``n_left, n_right, shift``.
+
+    No pair is formed on the way to the median. Each round counts, for ``cuts`` shifts of every group at once, the pairs below them by
+    merging the two cumulative count tables, and narrows the interval that holds the median; once it holds no more pairs of distinct
+    values than there are values (four times, plus ``spare``), those alone are listed and ranked. Any one difference has at most one
+    partner per value, so narrowing always ends. ``left`` is true, false or NULL (row unused); null and NaN values are ignored, and
+    groups without values on a side are absent. ``keep(df, name)`` may store the state of a round.
+    """
+    keys = list(keys)
+    used = df.withColumn("__l", left).where("__l is not null").withColumn("v", F.col(value).cast("double")).where("v is not null and not isnan(v)")
+    counts = keep(used.groupBy(*keys, "__l", (F.col("v") + F.lit(0.0)).alias("v")).agg(F.count(F.lit(1)).alias("c")), "counts")
+    xs, ys = (counts.where(c).select(*keys, "v", "c") for c in ("__l", "not __l"))
+    ends = lambda d, n: d.groupBy(*keys).agg(F.sum("c").alias(f"n_{n}"), F.count(F.lit(1)).alias(f"d_{n}"), F.min("v").alias(f"min_{n}"), F.max("v").alias(f"max_{n}"))
+    big = "decimal(38,0)"
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    both = ends(xs, "left").join(ends(ys, "right"), keys)
+    pairs, low, high = wide("n_left") * wide("n_right"), F.col("min_left") - F.col("max_right"), F.col("max_left") - F.col("min_right")
+    state = both.select(
+        *keys, "n_left", "n_right", (4 * (F.col("d_left") + F.col("d_right")) + spare).cast(big).alias("bound"),
+        F.floor((pairs + 1) / 2).cast(big).alias("k1"), (F.floor(pairs / 2) + 1).cast(big).alias("k2"),
+        (low - 1 - F.abs(low) * 1e-9).alias("lo"), (high + 1 + F.abs(high) * 1e-9).alias("hi"),
+        F.lit(0).cast(big).alias("c_lo"), (wide("d_left") * wide("d_right")).cast(big).alias("open"), F.lit(0).cast(big).alias("r_lo"),
+        (wide("d_left") * wide("d_right")).cast(big).alias("r_hi"),
+    )
+    state = keep(state, "interval 0")
+    for turn in range(1, 17):  # 5 bits a round and more
+        wider = state.where("open > bound")
+        if wider.isEmpty():
+            break
+        grid = F.transform(F.sequence(F.lit(1), F.lit(cuts - 1)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / cuts)
+        merged = _beside(xs, ys, keys, wider.select(*keys, "lo", "hi"), grid).where("is_x")
+        below = merged.groupBy(*keys, "i", "d").agg(
+            F.sum(wide("c") * wide("cum")).cast(big).alias("n"), F.sum(wide("rank")).cast(big).alias("r")
+        )
+        seen = skew.attach(below, state.select(*keys, "k1", "k2"), keys, ["i"], how="inner")
+        under, over = F.col("n") < F.col("k1"), F.col("n") >= F.col("k2")
+        new = seen.groupBy(*keys).agg(
+            *[F.max(F.when(under, F.col(c))).alias(f"{c}_under") for c in ("d", "n", "r")], *[F.min(F.when(over, F.col(c))).alias(f"{c}_over") for c in ("d", "r")]
+        )
+        either = lambda a, b: F.coalesce(F.col(a), F.col(b)).alias(b)
+        state = state.join(new, keys, "left").select(
+            *keys, "n_left", "n_right", "bound", "k1", "k2", either("d_under", "lo"), either("d_over", "hi"), either("n_under", "c_lo"),
+            either("r_under", "r_lo"), either("r_over", "r_hi"),
+        ).withColumn("open", F.col("r_hi") - F.col("r_lo"))
+        state = keep(state, f"interval {turn}")
+    merged = keep(_beside(xs, ys, keys, state.select(*keys, "lo", "hi"), F.array("lo", "hi")), "merged")
+    spans = merged.where("is_x").groupBy(*keys, F.col("v").alias("x"), F.col("c").alias("cx")).agg(F.min("rank").alias("a"), F.max("rank").alias("b"))
+    asked = spans.where("b > a").select(*keys, "x", "cx", F.explode(F.sequence(F.col("a") + 1, F.col("b"))).alias("rank"))
+    ranked = merged.where("not is_x and i = 0").select(*keys, "rank", F.col("v").alias("y"), F.col("c").alias("cy"))
+    found = asked.join(ranked, [*keys, "rank"]).groupBy(*keys, (F.col("x") - F.col("y")).alias("d")).agg(F.sum(wide("cx") * wide("cy")).cast(big).alias("n"))
+    summed = skew.running_sum(found, keys, ["d"], skew.value_block(F.col("d")), {"cum": "n"})
+    placed = skew.attach(summed, state.select(*keys, "n_left", "n_right", "k1", "k2", "c_lo"), keys, ["d"], how="inner")
+    at = lambda k: F.min(F.when(F.col("cum") + F.col("c_lo") >= F.col(k), F.col("d")))
+    return placed.groupBy(*keys, "n_left", "n_right").agg(((at("k1") + at("k2")) / 2).alias("shift"))

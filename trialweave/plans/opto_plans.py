@@ -469,6 +469,19 @@ def g24(spark, sf):
     return t.withColumn("trimmed_mean", rnd("trimmed_mean"))
 
 
+@query(
+    "G24_hodges_lehmann",
+    f"""SELECT a.DVstr, count(DISTINCT a.event_id) AS n_left, count(DISTINCT b.event_id) AS n_right, {qr('quantile_cont(a.calcStimulusTime - b.calcStimulusTime, 0.5)')} AS shift
+      FROM trials a JOIN trials b ON a.DVstr = b.DVstr AND a.OptoEnabled = 1 AND b.OptoEnabled = 0
+      WHERE a.calcStimulusTime IS NOT NULL AND b.calcStimulusTime IS NOT NULL GROUP BY a.DVstr""",
+)
+def g24h(spark, sf):
+    t = fx.trials(spark, sf).filter("DVstr is not null")
+    keep = lambda df, name: stored(spark, f"hodges-lehmann {sf} {name}", lambda: df)
+    d = st.hodges_lehmann(t, ["DVstr"], "calcStimulusTime", E("OptoEnabled = 1"), keep=keep)
+    return d.withColumn("shift", rnd("shift"))
+
+
 # ---- resampling -----------------------------------------------------------------------------------------------------
 
 
