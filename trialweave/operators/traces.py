@@ -346,6 +346,30 @@ def average(df: DataFrame, keys: Sequence[str], pos: str = "pos", value: str = "
     )
 
 
+def average_again(df: DataFrame, keys: Sequence[str], pos: str = "pos", mean: str = "mean", sem: str = "sem", n: str = "n_rows") -> DataFrame:
+    """Averages of already averaged rows, weighted by how many rows each stands for: ``mean``, ``sem`` and ``n_rows`` as ``average`` gives
+    them over the rows underneath (where no value was missing there).
+
+    The squared deviations inside an averaged row come back from its SEM, those between averaged rows from their means. Rows without
+    a mean add their count only.
+    """
+    w = F.when(F.col(mean).isNotNull(), F.col(n))
+    centre = df.groupBy(*keys, pos).agg((F.sum(F.col(mean) * w) / F.sum(w)).alias("__m"))
+    d = skew.attach(df, centre, [*keys, pos], salts=1)
+    inside = F.coalesce(F.pow(F.col(sem), 2) * w * (w - 1), F.lit(0.0))
+    squares = F.sum(inside + w * F.pow(F.col(mean) - F.col("__m"), 2))
+    return d.groupBy(*keys, pos).agg(
+        F.first("__m").alias("mean"), F.when(F.sum(w) > 1, F.sqrt(squares / (F.sum(w) - 1) / F.sum(w))).alias("sem"), F.sum(n).alias("n_rows")
+    )
+
+
+def averaged_name(*columns: str, own: bool = False) -> Column:
+    """Name of an averaged row: each column's name and value joined by ``_``, or (``own``) the value of the one column and "Avg. Trace"."""
+    if own:
+        return F.concat_ws(" ", F.col(columns[0]).cast("string"), F.lit("Avg. Trace"))
+    return F.concat_ws("_", *[p for c in columns for p in (F.lit(c), F.col(c).cast("string"))])
+
+
 def order_by_range(df: DataFrame, row: Sequence[str], ascending: bool = True, value: str = "v") -> DataFrame:
     """Rank traces by max − min; ties by trace id."""
     s = df.groupBy(*row, "trace_id").agg(F.round(F.max(value) - F.min(value), 9).alias("span"))

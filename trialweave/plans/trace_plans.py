@@ -6,9 +6,10 @@ from trialweave.functions import skew
 from trialweave.operators import behavior as bh
 from trialweave.operators import traces as tr
 from trialweave.operators.behavior import r6, rnd
+from trialweave.plans.behavior_plans import _PARTS, _PUBLISHED
 from trialweave.plans.registry import query
 from trialweave.sources import fixtures as fx
-from trialweave.sources.sql_views import q6
+from trialweave.sources.sql_views import DVSTR, q6
 from trialweave.sources.sql_views import rnd as qr
 
 E = F.expr
@@ -354,6 +355,19 @@ def f22b(spark, sf):
     return _avg(fx.frames_big(spark, sf).withColumnRenamed("frame", "pos"), ["ShortName"])
 
 
+@query(
+    "F22_average_of_averages",
+    f"""SELECT 'ShortName_' || ShortName || '_quantile_idx_' || quantile_idx AS row_name, ShortName || ' Avg. Trace' AS own_name, ShortName, quantile_idx, pos,
+      {qr('avg(v)')} AS mean, {qr('stddev_samp(v) / sqrt(count(v))')} AS sem, count(*) AS n_rows FROM {_POS} p GROUP BY ShortName, quantile_idx, pos""",
+)
+def f22a(spark, sf):
+    """The SQL averages all rows at once; the query averages the averages of each trace."""
+    by_trace = tr.average(_pos(spark, sf), [*T, "quantile_idx"])
+    d = tr.average_again(by_trace, ["ShortName", "quantile_idx"])
+    names = [tr.averaged_name("ShortName", "quantile_idx").alias("row_name"), tr.averaged_name("ShortName", own=True).alias("own_name")]
+    return d.select(*names, "ShortName", "quantile_idx", "pos", rnd("mean").alias("mean"), rnd("sem").alias("sem"), F.col("n_rows").cast("long").alias("n_rows"))
+
+
 @query(
     "F23_average_by_combination",
     f"""WITH {_OUT} {_avg_sql(f"(SELECT p.*, CASE WHEN ChoiceCorrect = 1 THEN 'Correct' ELSE 'Incorrect' END || ' / ' || CASE WHEN ChoiceLeft = 1 THEN 'Left' ELSE 'Right' END AS label FROM {_POS} p JOIN o USING (ShortName, TrialNumber, trace_id) WHERE NOT is_outlier)", "label, trace_id, ShortName")}""",
@@ -747,6 +761,31 @@ def d59(spark, sf):
     return bh.combinations(_pos(spark, sf), cols, combos, [rnd(F.avg("v")).alias("mean"), F.count("*").alias("n")])
 
 
+def _published_sql(name, cols, cond):
+    keep = [c for c in cols.split(", ") if c]
+    picked = ", ".join(c if c in keep else f"NULL AS {c}" for c in _PARTS)
+    known = " AND ".join([cond, *[f"{c} IS NOT NULL" for c in keep]])
+    keys = ", ".join([*keep, "ShortName", "pos"])
+    return f"SELECT '{name}' AS combination, {picked}, ShortName, pos, {qr('avg(v)')} AS mean, count(*) AS n FROM d WHERE {known} GROUP BY {keys}"
+
+
+@query(
+    "D59_published_combinations",
+    f"WITH d AS (SELECT *, {DVSTR.format('DV')} AS DVstr, CAST(floor(epoch_time) AS BIGINT) AS dur_bin FROM {_POS} p) "
+    + " UNION ALL ".join(_published_sql(n, c, f) for n, (c, f) in _PUBLISHED.items()),
+)
+def d59p(spark, sf):
+    """All named groupings over traces. Frames are summed once per cell of all their columns; the groupings add up cells."""
+    d = _pos(spark, sf).withColumn("DVstr", bh.dv_label(F.col("DV"))).withColumn("dur_bin", F.floor("epoch_time").cast("long"))
+    cells = d.groupBy(*_PARTS, "ShortName", "pos").agg(F.sum("v").alias("s"), F.count("v").alias("k"), F.count("*").alias("m"))
+    combos = {}
+    for name, (cols, cond) in _PUBLISHED.items():
+        keep = [c for c in cols.split(", ") if c]
+        combos[name] = ([*keep, "ShortName", "pos"], E(" AND ".join([cond, *[f"{c} IS NOT NULL" for c in keep]])))
+    aggs = [rnd(F.sum("s") / F.sum("k")).alias("mean"), F.sum("m").alias("n")]
+    return bh.filtered_combinations(cells, [*_PARTS, "ShortName", "pos"], combos, aggs)
+
+
 @query(
     "C7_keep_only_traces",
     f"SELECT {TR}, count(*) AS n FROM frames WHERE trace_id NOT IN (SELECT vec_id FROM embeddings WHERE embedding[1] > 0.1) GROUP BY ALL",
