@@ -182,6 +182,27 @@ def epochs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def sampling_epochs(spark: SparkSession, sf: str) -> DataFrame:
+    """Epochs with decision times, unknown choices and times, and a feedback wait in every other session."""
+    e = epochs(spark, sf).drop("MaxTrial", "PrevDV", "PrevChoiceLeft", "PrevChoiceCorrect")
+    e = e.selectExpr(
+        "* except (epoch, ChoiceCorrect, epoch_time, state_id, trace_start_idx, trace_end_idx)",
+        "if((TrialNumber * 3 + label) % 7 = 0, null, ChoiceCorrect) as ChoiceCorrect",
+        """if((TrialNumber + label) % 11 = 0, null,
+             (2 + TrialNumber % 3) / 4.0D + ((TrialNumber * 7 + label * 3) % 10) / 10.0D) as calcStimulusTime""",
+        "if(abs(DV) >= 0.66, 'Easy', if(abs(DV) <= 0.33, 'Hard', 'Med')) as DVstr",
+        "if(state_id = 3 and (TrialNumber + label) % 5 = 0, 'Decision Time', replace(epoch, 'Timeout ', '')) as name",
+        """explode(if(state_id = 4 and label % 2 = 0,
+             array(named_struct('s', 4L, 'a', trace_start_idx, 'z', trace_start_idx), named_struct('s', 5L, 'a', trace_start_idx + 1, 'z', trace_end_idx)),
+             array(named_struct('s', state_id, 'a', trace_start_idx, 'z', trace_end_idx)))) as x""",
+    )
+    return e.selectExpr(
+        "* except (name, x)",
+        "if(x.s = 4 and label % 2 = 0, 'Feedback Wait', name) as epoch",
+        "x.s as state_id", "x.a as trace_start_idx", "x.z as trace_end_idx", "(x.z - x.a + 1) / 4.0D as epoch_time",
+    )
+
+
 def ep_frames(spark: SparkSession, sf: str) -> DataFrame:
     from trialweave.operators import traces
 

@@ -148,6 +148,16 @@ VIEWS: dict[str, str] = {
           CASE e WHEN 1 THEN b WHEN 2 THEN b + L WHEN 3 THEN b + L + 1 ELSE b + 7 END AS trace_end_idx
         FROM (SELECT ShortName, label, t, 8 * (t - 1) AS b, 2 + t % 3 AS L, unnest(range(1, 5)) AS e FROM (
           SELECT DISTINCT 'N' || label AS ShortName, label, unnest(range(1, 9)) AS t FROM embeddings) x) y) z""",
+    "sampling_epochs": """SELECT * EXCLUDE (name, x), CASE WHEN x.s = 4 AND label % 2 = 0 THEN 'Feedback Wait' ELSE name END AS epoch,
+        x.s AS state_id, x.a AS trace_start_idx, x.z AS trace_end_idx, (x.z - x.a + 1) / 4.0::DOUBLE AS epoch_time
+      FROM (SELECT * EXCLUDE (epoch, ChoiceCorrect, epoch_time, state_id, trace_start_idx, trace_end_idx, MaxTrial, PrevDV, PrevChoiceLeft, PrevChoiceCorrect),
+          CASE WHEN (TrialNumber * 3 + label) % 7 <> 0 THEN ChoiceCorrect END AS ChoiceCorrect,
+          CASE WHEN (TrialNumber + label) % 11 <> 0 THEN (2 + TrialNumber % 3) / 4.0::DOUBLE + ((TrialNumber * 7 + label * 3) % 10) / 10.0::DOUBLE END AS calcStimulusTime,
+          CASE WHEN abs(DV) >= 0.66 THEN 'Easy' WHEN abs(DV) <= 0.33 THEN 'Hard' ELSE 'Med' END AS DVstr,
+          CASE WHEN state_id = 3 AND (TrialNumber + label) % 5 = 0 THEN 'Decision Time' ELSE replace(epoch, 'Timeout ', '') END AS name,
+          unnest(CASE WHEN state_id = 4 AND label % 2 = 0
+            THEN [{'s': 4::BIGINT, 'a': trace_start_idx, 'z': trace_start_idx}, {'s': 5::BIGINT, 'a': trace_start_idx + 1, 'z': trace_end_idx}]
+            ELSE [{'s': state_id::BIGINT, 'a': trace_start_idx, 'z': trace_end_idx}] END) AS x FROM epochs) q""",
     "ep_frames": """SELECT e.* EXCLUDE (label), f.trace_id, f.frame, f.v FROM epochs e JOIN frames f
         ON e.ShortName = f.ShortName AND f.frame BETWEEN e.trace_start_idx AND e.trace_end_idx""",
     "reduc": """SELECT ShortName, trace_id, TrialNumber, ChoiceLeft, ChoiceCorrect, quantile_idx, DV, PrevDV, PrevChoiceLeft,
