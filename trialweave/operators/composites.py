@@ -128,3 +128,90 @@ def side_area(cut: DataFrame, keys: Sequence[str]) -> DataFrame:
     side = {n: F.avg(F.when(F.col("ChoiceLeft") == s, F.col("v"))) for n, s in (("l", 1), ("r", 0))}
     m = cut.groupBy(*keys, "pos").agg(*[c.alias(n) for n, c in side.items()])
     return m.groupBy(*keys).agg(F.sum(F.abs(F.col("l") - F.col("r"))).alias("area"))
+
+
+def preferred_side_activity(cut: DataFrame, group: Sequence[str], preferred: DataFrame, at: str = "after") -> DataFrame:
+    """Mean activity of neurons in trials of their preferred side: trials → neurons → sides → sessions → group.
+
+    Trials are padded with empty values to the longest of their group behind (``after``) or in front (``before``). ``preferred`` holds one
+    ``prefers_left`` per trace; other traces are left out. A side has no value where one of its neurons has none, and there is no SEM where
+    a session has no value. A position that no session reaches has an empty mean.
+    """
+    if at not in ("after", "before"):
+        raise ValueError(f"at must be 'after' or 'before', not {at!r}")
+    group = list(group)
+    if at == "before":
+        n = cut.groupBy(*group, *TRIAL).agg((F.max("pos") + 1).alias("__n"))
+        longest = n.groupBy(*group).agg(F.max("__n").alias("__max"))
+        shift = skew.attach(n, longest, group).select(*group, *TRIAL, (F.col("__max") - F.col("__n")).alias("__shift"))
+        cut = skew.attach(cut, shift, [*group, *TRIAL]).withColumn("pos", F.col("pos") + F.col("__shift")).drop("__shift")
+    own = skew.attach(cut, preferred.select(*TRACE, "prefers_left"), TRACE, how="inner", salts=1)
+    own = own.filter((F.col("ChoiceLeft") == 1) == F.col("prefers_left"))
+    side = [*group, "ShortName", "ChoiceLeft"]
+    neurons = own.groupBy(*side, "trace_id", "pos").agg(F.avg("v").alias("m"))
+    used = neurons.select(*side, "trace_id").distinct().groupBy(*side).agg(F.count(F.lit(1)).alias("__k"))
+    sides = skew.attach(neurons.groupBy(*side, "pos").agg(F.avg("m").alias("m"), F.count("m").alias("__got")), used, side)
+    sessions = sides.groupBy(*group, "ShortName", "pos").agg(F.avg(F.when(F.col("__got") == F.col("__k"), F.col("m"))).alias("m"))
+    sizes = used.groupBy(*group).agg(F.count_distinct("ShortName").alias("n_sessions"), F.sum("__k").alias("n_traces"))
+    out = sessions.groupBy(*group, "pos").agg(F.avg("m").alias("mean"), F.stddev_samp("m").alias("__d"), F.count("m").alias("__c"))
+    out = skew.attach(out, sizes, group)
+    sem = F.when(F.col("__c") == F.col("n_sessions"), F.col("__d") / F.sqrt(F.col("__c")))
+    return out.withColumn("sem", sem).drop("__d", "__c")
+
+
+def side_area_counts(cut: DataFrame, part: str, significant: DataFrame, active: DataFrame) -> DataFrame:
+    """Areas of significant traces per session and ``part``, with how many traces there are, are active, significant, and both.
+
+    ``significant`` holds traces, ``active`` traces per ``part``. A part without a significant trace has one row without trace and area.
+    """
+    traces = cut.select(*TRACE).distinct()
+    sig = significant.select(*TRACE).distinct().join(traces, TRACE, "left_semi")
+    act = active.select(*TRACE, part).distinct().join(traces, TRACE, "left_semi")
+    keys = ["ShortName", part]
+    per = traces.groupBy("ShortName").agg(F.count(F.lit(1)).alias("n_all"))
+    chosen = sig.groupBy("ShortName").agg(F.count(F.lit(1)).alias("n_significant"))
+    flagged = act.join(sig.withColumn("__sig", F.lit(True)), TRACE, "left")
+    counts = flagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_active"), F.count("__sig").alias("n_active_significant"))
+    cells = cut.select(*keys).distinct().join(per, "ShortName").join(chosen, "ShortName", "left").join(counts, keys, "left")
+    cells = cells.na.fill(0, ["n_significant", "n_active", "n_active_significant"])
+    area = side_area(cut.join(sig, TRACE, "left_semi"), [*TRACE, part])
+    area = area.join(act.withColumn("is_active", F.lit(True)), [*TRACE, part], "left").withColumn("is_active", F.coalesce("is_active", F.lit(False)))
+    return cells.join(area, keys, "left")
+
+
+def session_mean_traces(cut: DataFrame, keys: Sequence[str], session: str = "ShortName") -> DataFrame:
+    """Mean trace per ``keys``: a mean per session first, then mean, SEM and number over sessions."""
+    one = cut.groupBy(session, *keys, "pos").agg(F.avg("v").alias("m"))
+    return one.groupBy(*keys, "pos").agg(
+        F.avg("m").alias("mean"), (F.stddev_samp("m") / F.sqrt(F.count("m"))).alias("sem"), F.count("m").alias("n_sessions")
+    )
+
+
+def expand_trials(cut: DataFrame, carried: Sequence[str] = (), raw: bool = False, only: DataFrame | None = None) -> DataFrame:
+    """One row per trial and trace with a choice and a stimulus time: mean activity (missing values left out), the session's percentage of
+    correct trials and, with ``raw``, its frames in order. ``only`` restricts the traces. Empty frames stay in ``raw`` as nulls."""
+    known = cut.filter("ChoiceCorrect is not null and calcStimulusTime is not null")
+    trials = known.select(*TRIAL, "ChoiceCorrect").distinct()
+    perf = trials.groupBy("ShortName").agg((100 * F.avg("ChoiceCorrect")).alias("performance"))
+    if only is not None:
+        known = tr.keep_only(known, only, TRACE)
+    frames = F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"])
+    aggs = [F.avg("v").alias("mean_activity"), *([frames.alias("raw")] if raw else [])]
+    rows = known.groupBy(*TRIAL, "trace_id", *carried).agg(*aggs)
+    return skew.attach(rows, perf, ["ShortName"])
+
+
+def copy_order(dst: DataFrame, order: DataFrame, match: Sequence[str] = ("ShortName",), only: DataFrame | None = None) -> DataFrame:
+    """Give ``dst`` the ``sort_pos`` of the same trace in ``order``, in sessions alike in ``match``; traces without one, or not in ``only``, go."""
+    keys = [*match, "trace_id"]
+    if only is not None:
+        dst = dst.join(only.select("trace_id").distinct(), "trace_id", "left_semi")
+    return skew.attach(dst, order.select(*keys, "sort_pos"), keys, how="inner", salts=1)
+
+
+def heatmaps_in_order(cut: DataFrame, by: str, source, shared: bool = False, only: DataFrame | None = None) -> DataFrame:
+    """Average trace per condition ``by``, scaled to its own or (``shared``) the trace's range over all conditions, in the peak order that
+    the traces have in condition ``source``."""
+    m = cut.groupBy(by, *TRACE, "pos").agg(F.round(F.avg("v"), 9).alias("v"))
+    order = tr.order_by_peak(m.filter(F.col(by) == source), ["ShortName"], "pos")
+    return copy_order(tr.min_max_scale(m, TRACE if shared else [by, *TRACE]), order, only=only)
