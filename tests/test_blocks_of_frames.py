@@ -133,3 +133,16 @@ def test_paired_tests_corrected_over_the_bins(spark):
         run = max(run, min(1.0, (4 - k) * p[b]))
         want[b] = run
     assert {b: got[b]["p_holm"] for b in want} == pytest.approx(want)
+
+
+def test_smoothing_leaves_holes_between_positions(spark):
+    """A position without a row is a missing value: its neighbours do not move together."""
+    w = np.array(tr.gaussian_kernel(1.0))
+    held = {0: 1.0, 1: 4.0, 4: -2.0, 5: None, 9: 3.0, 23: 7.0}
+    df = spark.createDataFrame([("a", k, v) for k, v in held.items()], "key string, pos long, v double")
+    for size in (8, 4096):
+        got = {r["pos"]: r["smooth"] for r in tr.gaussian(df, ["key"], "pos", 1.0, size=size).collect()}
+        for p, v in held.items():
+            near = [(w[q - p + 4], x) for q, x in held.items() if x is not None and abs(q - p) <= 4]
+            want = None if v is None else sum(k * x for k, x in near) + (1 - sum(k for k, _ in near)) * v
+            assert got[p] == (None if want is None else pytest.approx(want, abs=1e-12))

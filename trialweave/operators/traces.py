@@ -133,16 +133,21 @@ def running_extreme(x: np.ndarray, back: int, ahead: int, of: np.ufunc) -> np.nd
 
 
 def _by_block(df: DataFrame, keys: Sequence[str], pos: str, value: str, before: int, after: int, size: int, of: Callable[[np.ndarray], np.ndarray], out: str) -> DataFrame:
-    """``keys, pos, value`` and ``out``, made by ``of`` from the values of a block and its halo as one array in the order of ``pos``."""
+    """``keys, pos, value`` and ``out``, made by ``of`` from the values of a block and its halo as one array, a place per position.
+
+    Positions without a row are missing values; the array is no longer than the block and its halo.
+    """
     held = skew.with_halo(df.select(*keys, pos, value), keys, pos, before=before, after=after, size=size)
     made = StructType([*(f for f in held.schema if f.name in (*keys, pos, value)), StructField(out, DoubleType())])
 
     def run(block: pa.Table) -> pa.Table:
         at = block[pos].to_numpy()
         order = np.argsort(at, kind="stable")
-        x = np.asarray(block[value].to_pandas(), dtype=float)[order]
+        place = at[order] - at[order[0]]
+        x = np.full(place[-1] + 1, np.nan)
+        x[place] = np.asarray(block[value].to_pandas(), dtype=float)[order]
         own = ~block["__ghost"].to_numpy().astype(bool)[order]
-        y = of(x)[own]
+        y = of(x)[place[own]]
         kept = block.select([*keys, pos, value]).take(pa.array(order[own]))
         return kept.append_column(out, pa.array(y, pa.float64(), mask=np.isnan(y)))
 
@@ -150,7 +155,7 @@ def _by_block(df: DataFrame, keys: Sequence[str], pos: str, value: str, before:
 
 
 def gaussian(df: DataFrame, keys: Sequence[str], pos: str, sigma: float, value: str = "v", out: str = "smooth", size: int = skew.BLOCK):
-    """Gaussian smoothing that keeps the total where neighbours are missing; ``pos`` has no holes within a key.
+    """Gaussian smoothing that keeps the total where neighbours are missing: null values and positions without a row alike.
 
     A block of frames and its halo is one array; each frame is shuffled once and nothing is fanned out.
     """
