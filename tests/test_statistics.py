@@ -180,3 +180,19 @@ def test_resampling_runs_a_thousand_iterations(spark):
     for f in (resample.hierarchical_bootstrap, resample.two_region_bootstrap, resample.auc_permutation):
         assert inspect.signature(f).parameters["n_iter"].default == 10_000
     assert QUERIES["G21_hierarchical_bootstrap"](spark, "/root/testdata/sf0.001").count() == 1000
+
+
+def test_percentiles_equal_sql_to_the_last_bit(spark, tmp_path):
+    """Values are compared with percentiles, so the last bit decides on which side of an edge a trial falls."""
+    import duckdb
+
+    from trialweave.functions import skew
+
+    rng = np.random.default_rng(3)
+    k, v = rng.integers(0, 300, 9000), np.round(rng.random(9000) * 5, 4)
+    spark.createDataFrame([(int(a), float(b)) for a, b in zip(k, v, strict=True)], "k long, v double").write.parquet(f"{tmp_path}/t")
+    probs = {"a": 0.1, "b": 0.3, "c": 0.45, "d": 0.5, "e": 0.9}
+    got = {r["k"]: list(r)[1:] for r in skew.exact_percentiles(spark.read.parquet(f"{tmp_path}/t"), ["k"], "v", probs).collect()}
+    parts = ", ".join(f"quantile_cont(v, {p})" for p in probs.values())
+    want = duckdb.connect().execute(f"SELECT k, {parts} FROM read_parquet('{tmp_path}/t/*.parquet') GROUP BY k").fetchall()
+    assert got == {r[0]: list(r[1:]) for r in want} and len(got) == 300
