@@ -54,11 +54,11 @@ def condition_tests(tagged: DataFrame, medians: bool = False) -> DataFrame:
     ranks = st.rank_test(tagged, TEST, "x", F.col("side"))
     mean = {s: F.round(F.avg(F.when(F.col("side") == b, F.col("x"))), 12) for s, b in (("left", True), ("right", False))}
     means = tagged.groupBy(*TEST).agg(*[c.alias(f"{s}_mean") for s, c in mean.items()])
-    out = ranks.join(means, TEST)
+    out = skew.key_join(ranks, means, TEST)
     if medians:
         med = skew.exact_percentiles(tagged, [*TEST, "side"], "x", {"m": 0.5})
         cell = [F.round(F.max(F.when(F.col("side") == b, F.col("m"))), 12).alias(f"{s}_median") for s, b in (("left", True), ("right", False))]
-        out = out.join(med.groupBy(*TEST).agg(*cell), TEST)
+        out = skew.key_join(out, med.groupBy(*TEST).agg(*cell), TEST)
     return out
 
 
