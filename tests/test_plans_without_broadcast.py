@@ -33,3 +33,18 @@ def test_drawn_sessions_are_joined_in_parts(spark):
     d = rs._session_draws(spark, cells.dropDuplicates(["Name", "SessId"]), 40, "b")
     assert "BroadcastHashJoin" not in d._jdf.queryExecution().executedPlan().toString()
     assert d.count() == 40 * 7 * 3
+
+
+def test_fit_shuffles_points_once_for_all_passes(spark):
+    from trialweave.operators import compare as cm
+
+    pts = spark.createDataFrame([(k, x / 4, 20, 0.1 + 0.8 / (1 + 2.718 ** (-x - k / 9))) for k in range(6) for x in range(-4, 5)], "key long, x double, n long, p double")
+    fit = lambda passes: cm.grid_fit(pts, ["key"], "erf_psycho", (-1.0, 0.05, 0.0), (1.0, 3.0, 0.4), passes=passes)
+    shuffles = [fit(k)._jdf.queryExecution().executedPlan().toString().count("Exchange") for k in (1, 10)]
+    assert shuffles[0] == shuffles[1]
+    x = [-6.0, -4.5, -0.46875, 0.0, 0.3, 1.0, 3.9, 4.1, 7.0]
+    assert cm.erf_of(__import__("numpy").array(x)) == pytest.approx([__import__("math").erf(v) for v in x], abs=1e-15)
+    rows = fit(10).withColumn("at", F.lit(0.25)).join(pts, "key")
+    q = cm.psychometric("erf_psycho", F.col("x"), [F.col(c) for c in ("bias", "slope", "gamma")])
+    again = rows.groupBy("key", "nll").agg((-F.sum(F.col("n") * (F.col("p") * F.ln(q) + (1 - F.col("p")) * F.ln(1 - q)))).alias("same")).collect()
+    assert len(again) == 6 and all(r["nll"] == pytest.approx(r["same"]) for r in again)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from trialweave.functions import skew
 from trialweave.operators import behavior as bh
@@ -151,38 +154,61 @@ def neg_log_likelihood(model: str, x: Column, n: Column, p: Column, pars: Sequen
     return F.when(F.max(~inside), F.lit(1e7)).otherwise(total)
 
 
+def erf_of(x: np.ndarray) -> np.ndarray:
+    """``erf`` of an array, by the same approximations."""
+    z = np.abs(x)
+    low, mid, far = (lambda v, r=r: np.polyval(r[0], v) / np.polyval(r[1], v) for r in CODY)
+    big = np.maximum(z, 0.46875)
+    square = 1 / (big * big)
+    tail = np.where(z <= 4, np.exp(-z * z) * mid(np.minimum(big, 4)), np.exp(-z * z) / big * (1 / math.sqrt(math.pi) - square * far(square)))
+    return np.where(z <= 0.46875, x * low(x * x), np.where(x > 0, 1 - tail, tail - 1))
+
+
+def psychometric_of(model: str, x: np.ndarray, pars: Sequence[np.ndarray]) -> np.ndarray:
+    """``psychometric`` of arrays."""
+    a, b, *lapse = pars
+    if model.startswith("weibull"):
+        floor = 0.5 if model == "weibull50" else lapse[0]
+        return 1 - lapse[0] - (1 - lapse[0] - floor) * np.exp(-np.power(x / a, b))
+    low, high = (lapse[0], lapse[0]) if len(lapse) == 1 else lapse
+    return low + (1 - low - high) * (erf_of((x - a) / b) + 1) / 2
+
+
 def grid_fit(points: DataFrame, keys: Sequence[str], model: str, lo: Sequence[float], hi: Sequence[float], steps: int = 9, passes: int = 10, shrink: float = 0.45):
     """Best-fitting parameters of every key at once: a parameter grid around the best so far, shrunk at each pass.
 
-    ``points`` holds keys, ``x``, ``n``, ``p``: a handful of evidence bins per key.  A pass is one exploded
-    grid that is reduced map-side; no key waits for another.
+    ``points`` holds keys, ``x``, ``n``, ``p``: a handful of evidence bins per key.  The points of a key are one row, and its grids
+    are worked out where that row lies: the points are shuffled once, however many passes there are.  Of equal likelihoods the
+    least parameters win.
     """
     names = MODELS[model]
-    pts = points.groupBy(*keys).agg(F.collect_list(F.struct("x", "n", "p")).alias("pts"))
-    cur = pts.withColumns({f"{n}": F.lit((a + b) / 2) for n, a, b in zip(names, lo, hi)})
+    pts = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "n", "p"))).alias("pts"))
     eps = 2.220446049250313e-16
-    for k in range(passes):
-        scale = shrink**k
-        grid = cur
-        for n, a, b in zip(names, lo, hi):
-            half = (b - a) / 2 * scale
+
+    def fitted(rows: Sequence[dict]) -> list[float]:
+        x, n, p = (np.array([r[c] for r in rows], dtype=float) for c in ("x", "n", "p"))
+        best, nll = [(a + b) / 2 for a, b in zip(lo, hi, strict=True)], 0.0
+        for k in range(passes):
+            half = [(b - a) / 2 * shrink**k for a, b in zip(lo, hi, strict=True)]
             # steps points from −half to +half around the best so far, kept inside the bounds
-            at = F.expr(
-                f"transform(sequence(0, {steps - 1}), i -> greatest(least({n} + (i * {2.0 / (steps - 1)}D - 1D) * {half}D, "
-                f"{float(b)}D), {float(a)}D))"
-            )
-            grid = grid.withColumn(n, F.explode(F.array_distinct(at)))
-        q = psychometric(model, F.col("pt.x"), [F.col(n) for n in names])
-        q = F.greatest(F.least(q, F.lit(1 - eps)), F.lit(eps))
-        p = F.col("pt.p")
-        term = F.col("pt.n") * (p * F.ln(q) + (1 - p) * F.ln(1 - q))
-        each = grid.withColumn("pt", F.explode("pts"))
-        scored = each.groupBy(*keys, *names).agg((-F.sum(term)).alias("nll"), F.first("pts").alias("pts"))
-        best = scored.groupBy(*keys).agg(
-            *[F.min_by(n, F.struct("nll", *names)).alias(n) for n in names], F.min("nll").alias("nll"), F.first("pts").alias("pts")
-        )
-        cur = best if k == passes - 1 else best.drop("nll")
-    return cur.drop("pts")
+            axes = [np.clip(c + (np.arange(steps) * (2.0 / (steps - 1)) - 1) * h, a, b) for c, h, a, b in zip(best, half, lo, hi, strict=True)]
+            grid = [g.reshape(-1, 1) for g in np.meshgrid(*axes, indexing="ij")]
+            q = np.clip(psychometric_of(model, x[None, :], grid), eps, 1 - eps)
+            cost = -(n * (p * np.log(q) + (1 - p) * np.log(1 - q))).sum(axis=1)
+            at = int(cost.argmin())
+            best, nll = [float(g[at, 0]) for g in grid], float(cost[at])
+        return [*best, nll]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = np.array([fitted(r) for r in batch.column("pts").to_pylist()], dtype=float).reshape(batch.num_rows, len(names) + 1)
+            columns = [*(batch.column(k) for k in keys), *(pa.array(c) for c in made.T)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, *names, "nll"])
+
+    kinds = [StructField(f.name, f.dataType) for f in pts.schema if f.name in keys]
+    schema = StructType(sorted(kinds, key=lambda f: list(keys).index(f.name)) + [StructField(c, DoubleType()) for c in (*names, "nll")])
+    tasks = 4 * points.sparkSession.sparkContext.defaultParallelism  # few small rows with much to do: not put together by their size
+    return pts.repartition(tasks, *keys).mapInArrow(run, schema)
 
 
 def performance_edges(fits: DataFrame, keys: Sequence[str], model: str, periods: int) -> DataFrame:
