@@ -48,3 +48,11 @@ def test_fit_shuffles_points_once_for_all_passes(spark):
     q = cm.psychometric("erf_psycho", F.col("x"), [F.col(c) for c in ("bias", "slope", "gamma")])
     again = rows.groupBy("key", "nll").agg((-F.sum(F.col("n") * (F.col("p") * F.ln(q) + (1 - F.col("p")) * F.ln(1 - q)))).alias("same")).collect()
     assert len(again) == 6 and all(r["nll"] == pytest.approx(r["same"]) for r in again)
+
+
+def test_registered_bootstrap_draws_every_trial():
+    """Its SQL draws a number for each resampled trial."""
+    from trialweave.plans import ORACLES
+
+    assert "unnest(range(0, n)) AS k" in ORACLES["G21_hierarchical_bootstrap"]
+    assert "b1.k" not in ORACLES["G21_hierarchical_bootstrap"] and "b1.k" in ORACLES["G21_bootstrap_sign_p"]
