@@ -56,3 +56,18 @@ def test_registered_bootstrap_draws_every_trial():
 
     assert "unnest(range(0, n)) AS k" in ORACLES["G21_hierarchical_bootstrap"]
     assert "b1.k" not in ORACLES["G21_hierarchical_bootstrap"] and "b1.k" in ORACLES["G21_bootstrap_sign_p"]
+
+
+def test_permuted_sessions_are_never_shuffled(spark):
+    """Draws are added up where a subject's sessions lie; of an iteration only sums, and subjects of one region, are shuffled."""
+    import re
+
+    trials = spark.createDataFrame(
+        [(f"S{s}", f"S{s}_{q}", ("MFC", "LFC")[q % 2 if s else 0], "Early", k % 2, (k + q + s) % 3 // 2) for s in range(6) for q in range(4) for k in range(9)],
+        "Name string, SessId string, Region string, Phase string, OptoEnabled int, ChoiceCorrect int",
+    )
+    got = rs.max_statistic_permutation(spark, trials, 50)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not re.findall(r"hashpartitioning\([^)]*\biter#[^)]*\bName#", plan)
+    rows = got.collect()
+    assert {r["stat"] for r in rows} == {"MFC", "LFC", "crossregion"} and all(1 / 51 <= r["p_adjusted"] <= 1 for r in rows)
