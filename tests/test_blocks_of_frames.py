@@ -146,3 +146,30 @@ def test_smoothing_leaves_holes_between_positions(spark):
             near = [(w[q - p + 4], x) for q, x in held.items() if x is not None and abs(q - p) <= 4]
             want = None if v is None else sum(k * x for k, x in near) + (1 - sum(k for k, _ in near)) * v
             assert got[p] == (None if want is None else pytest.approx(want, abs=1e-12))
+
+
+def test_blocks_of_many_traces_are_not_sent_one_by_one(spark):
+    """Transients of long, short, gapped and all-high traces equal a plain loop at any block size, and no group is a batch of its own."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    data = {f"t{k}": rng.random(n).round(2) if k else np.ones(n) for k, n in enumerate((300, 3, 40, 211, 64, 5))}
+    df = spark.createDataFrame([("S", t, f, float(x) if (f + len(v)) % 13 else None) for t, v in data.items() for f, x in enumerate(v)], "ShortName string, trace_id string, frame long, v double")
+    stats = spark.createDataFrame([("S", t, 0.45, 0.02, len(v)) for t, v in data.items()], "ShortName string, trace_id string, baseline double, zscore double, n_frames long")
+
+    def want(v):
+        v = [x if (f + len(v)) % 13 else None for f, x in enumerate(v)]
+        n, run = 0, 0
+        for i in range(len(v) + 1):
+            five = [x for x in v[i : i + 5] if x is not None] if i + 5 <= len(v) else []
+            if five and sum(five) / len(five) >= 0.45 + 3 * 0.02:
+                run += 1
+            else:
+                n, run = n + (run > 0 and run + 1 >= 4), 0
+        return n
+
+    for size in (7, 16, 4096):
+        out = tr.transient_rate(df, stats, 1.0, 4.0, size=size)
+        assert {r["trace_id"]: r["n_transients"] for r in out.collect()} == {t: want(v) for t, v in data.items()}
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (out, tr.baseline(df, fps=1.0))]
+    assert all("FlatMapGroups" not in p and "MapInArrow" in p for p in plans)

@@ -7,13 +7,14 @@ concatenated epochs use ``pos`` (0-based position in the cut) in place of ``fram
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from trialweave.functions import skew
 
@@ -132,26 +133,65 @@ def running_extreme(x: np.ndarray, back: int, ahead: int, of: np.ufunc) -> np.nd
     return np.where(np.isinf(out) & (out == none), np.nan, out)
 
 
+def _changes(t: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """Places of the rows whose keys differ from those of the row before, the first one included."""
+    new = np.zeros(t.num_rows, dtype=bool)
+    new[:1] = True
+    for k in keys:
+        c = t[k].combine_chunks()
+        x, y = c.slice(1), c.slice(0, max(0, len(c) - 1))
+        other = pc.fill_null(pc.not_equal(x, y), False).to_numpy(zero_copy_only=False)
+        new[1:] |= other | (x.is_null().to_numpy(zero_copy_only=False) != y.is_null().to_numpy(zero_copy_only=False))
+    return np.flatnonzero(new)
+
+
+def _doubles(c: pa.ChunkedArray) -> np.ndarray:
+    """Values as doubles, NaN for null."""
+    return pc.fill_null(pc.cast(c, pa.float64()), np.nan).to_numpy()
+
+
+def _each_group(df: DataFrame, group: Sequence[str], order: str, of: Callable[[pa.Table, np.ndarray], pa.Table], schema: StructType) -> DataFrame:
+    """Rows made by ``of`` from whole groups in the order of ``order``: a table of several groups, and the places where they begin.
+
+    Groups meet in sorted partitions and a batch holds many of them; a worker holds a batch and the group that goes on behind it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            starts = _changes(held, group)
+            if len(starts) > 1:
+                yield from of(held.slice(0, starts[-1]), starts[:-1]).to_batches()
+                held = held.slice(starts[-1])
+        if held is not None and held.num_rows:
+            yield from of(held, np.zeros(1, dtype=int)).to_batches()
+
+    return df.repartition(*group).sortWithinPartitions(*group, order).mapInArrow(run, schema)
+
+
 def _by_block(df: DataFrame, keys: Sequence[str], pos: str, value: str, before: int, after: int, size: int, of: Callable[[np.ndarray], np.ndarray], out: str) -> DataFrame:
     """``keys, pos, value`` and ``out``, made by ``of`` from the values of a block and its halo as one array, a place per position.
 
     Positions without a row are missing values; the array is no longer than the block and its halo.
     """
     held = skew.with_halo(df.select(*keys, pos, value), keys, pos, before=before, after=after, size=size)
-    made = StructType([*(f for f in held.schema if f.name in (*keys, pos, value)), StructField(out, DoubleType())])
+    made = StructType([*(held.schema[c] for c in (*keys, pos, value)), StructField(out, DoubleType())])
 
-    def run(block: pa.Table) -> pa.Table:
-        at = block[pos].to_numpy()
-        order = np.argsort(at, kind="stable")
-        place = at[order] - at[order[0]]
-        x = np.full(place[-1] + 1, np.nan)
-        x[place] = np.asarray(block[value].to_pandas(), dtype=float)[order]
-        own = ~block["__ghost"].to_numpy().astype(bool)[order]
-        y = of(x)[place[own]]
-        kept = block.select([*keys, pos, value]).take(pa.array(order[own]))
-        return kept.append_column(out, pa.array(y, pa.float64(), mask=np.isnan(y)))
+    def run(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        at, v, own = t[pos].to_numpy(), _doubles(t[value]), ~t["__ghost"].to_numpy().astype(bool)
+        y = np.full(len(at), np.nan)
+        for a, z in zip(starts, [*starts[1:], len(at)], strict=True):
+            place = at[a:z] - at[a]
+            x = np.full(place[-1] + 1, np.nan)
+            x[place] = v[a:z]
+            if own[a:z].any():
+                y[a:z] = of(x)[place]
+        kept = t.select([*keys, pos, value]).append_column(out, pa.array(y, pa.float64(), mask=np.isnan(y)))
+        return kept.filter(pa.array(own))
 
-    return held.groupBy(*keys, "__blk").applyInArrow(run, made)
+    return _each_group(held, [*keys, "__blk"], pos, run, made)
 
 
 def gaussian(df: DataFrame, keys: Sequence[str], pos: str, sigma: float, value: str = "v", out: str = "smooth", size: int = skew.BLOCK):
@@ -180,11 +220,12 @@ def baseline(
 
     found = _by_block(df, TRACE, "frame", "v", r + 2 * back, r + 2 * ahead, size, floor_of, "floor")
     floor = found.select(*TRACE, "frame", F.round("floor", 9).alias("floor"))
-    span = floor.groupBy(*TRACE).agg(F.min("floor").alias("__a"), F.max("floor").alias("__z"))
-    h = skew.attach(floor, span, TRACE)
+    # The floor keeps a value over many frames, so its distinct values with counts are few; they alone meet by trace.
+    counts, whole = floor.groupBy(*TRACE, "floor").agg(F.count(F.lit(1)).alias("n")), Window.partitionBy(*TRACE)
+    h = counts.withColumns({"__a": F.min("floor").over(whole), "__z": F.max("floor").over(whole)})
     width = (F.col("__z") - F.col("__a")) / bins
     bin_ = F.least(F.floor((F.col("floor") - F.col("__a")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))
-    h = h.groupBy(*TRACE, "__a", "__z", F.coalesce(bin_, F.lit(0)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    h = h.groupBy(*TRACE, "__a", "__z", F.coalesce(bin_, F.lit(0)).cast("long").alias("bin")).agg(F.sum("n").alias("n"))
     best = h.groupBy(*TRACE, "__a", "__z").agg(F.max_by("bin", F.struct(F.col("n"), (-F.col("bin")).alias("b"))).alias("bin"))
     base = best.select(*TRACE, F.round(F.col("__a") + (F.col("bin") + 0.5) * (F.col("__z") - F.col("__a")) / bins, 9).alias("baseline"))
     below = skew.attach(df, base, TRACE)
@@ -197,24 +238,46 @@ def baseline(
 
 
 def transient_rate(df: DataFrame, stats: DataFrame, fps: float, min_sec: float, size: int = skew.BLOCK) -> DataFrame:
-    """Transients per minute: runs of the 5-frame mean at or over baseline + 3·noise that last long enough."""
-    d = skew.attach(df, stats, TRACE)
-    b = skew.with_halo(d, TRACE, "frame", after=4, before=1, size=size)
-    w = skew.block_window(TRACE, "frame")
-    five = w.rowsBetween(0, 4)
-    full = F.count(F.lit(1)).over(five) == 5
-    high = full & (F.avg("v").over(five) >= F.col("baseline") + 3 * F.col("zscore"))
-    b = b.withColumn("__high", F.coalesce(high, F.lit(False)))
-    own = ~F.col("__ghost")
-    b = b.withColumn("__low", F.when(own & ~F.col("__high"), F.col("frame")))
-    b = skew.carry_in(b, TRACE, {"__in": (F.max, F.max("__low"))})
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    # A run is named by the last quiet frame before it.
-    run = F.coalesce(F.max("__low").over(so_far), F.col("__in"), F.lit(-1))
-    runs = skew.drop_ghosts(b.withColumn("__run", run)).filter("__high").groupBy(*TRACE, "__run").agg(F.count(F.lit(1)).alias("__len"))
+    """Transients per minute: runs of the 5-frame mean at or over baseline + 3·noise that last long enough.
+
+    A block counts the runs inside it and gives the lengths of those at its ends, which are added up over the blocks of the trace.
+    """
     need = int(round(min_sec * fps))
-    found = runs.groupBy(*TRACE).agg(F.count_if(F.col("__len") + 1 >= need).alias("n_transients"))
-    out = stats.join(found, TRACE, "left").withColumn("n_transients", F.coalesce("n_transients", F.lit(0)))
+    edge = stats.select(*TRACE, (F.col("baseline") + 3 * F.col("zscore")).alias("__edge"))
+    held = skew.with_halo(skew.attach(df.select(*TRACE, "frame", "v"), edge, TRACE), TRACE, "frame", after=4, size=size)
+    made = StructType([*(held.schema[c] for c in (*TRACE, "__blk")), *(StructField(c, LongType()) for c in ("first", "last", "inside", "low"))])
+
+    def run(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        given, v, edge = pc.is_valid(t["v"]).to_numpy(), _doubles(t["v"]), _doubles(t["__edge"])
+        own, out = ~t["__ghost"].to_numpy().astype(bool), []
+        for a, z in zip(starts, [*starts[1:], t.num_rows], strict=True):
+            n = int(own[a:z].sum())  # own rows come first
+            high = np.zeros(n, dtype=bool)
+            if (m := min(n, z - a - 4)) > 0:
+                ahead = lambda x: sum(x[a + d : a + d + m] for d in range(5))  # noqa: E731, B023
+                c = ahead(given.astype(float))
+                mean = ahead(np.where(given, v, 0.0)) / np.maximum(c, 1)
+                high[:m] = (c > 0) & ~np.isnan(edge[a : a + m]) & ((mean >= edge[a : a + m]) | np.isnan(mean))
+            quiet = np.flatnonzero(~high)
+            runs = np.diff(np.concatenate([[-1], quiet, [n]])) - 1  # before, between and behind the quiet rows
+            inside = int(((runs[1:-1] > 0) & (runs[1:-1] + 1 >= need)).sum())
+            out.append((int(runs[0]), int(runs[-1]) if len(quiet) else 0, inside, len(quiet)) if n else None)
+        keep = [k for k, x in enumerate(out) if x]
+        cols = [pa.array([out[k][c] for k in keep], pa.int64()) for c in range(4)]
+        t = t.select([*TRACE, "__blk"]).take(pa.array(np.asarray(starts, dtype=np.int64)[keep]))
+        for name, col in zip(("first", "last", "inside", "low"), cols, strict=True):
+            t = t.append_column(name, col)
+        return t
+
+    ends = _each_group(held, [*TRACE, "__blk"], "frame", run, made)
+    # A run over block borders is named by the last block before it with a quiet frame.
+    earlier = Window.partitionBy(*TRACE).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("__in", F.max(F.when(F.col("low") > 0, F.col("__blk"))).over(earlier))
+    parts = rows_of(("run", "len", "inside"), (F.col("__in"), F.col("first"), F.col("inside")), (F.col("__blk"), F.col("last"), F.lit(0).cast("long")))
+    runs = ends.select(*TRACE, F.inline(parts)).groupBy(*TRACE, "run").agg(F.sum("len").alias("len"), F.sum("inside").alias("inside"))
+    long = F.count_if((F.col("len") > 0) & (F.col("len") + 1 >= need))
+    found = runs.groupBy(*TRACE).agg((F.sum("inside") + long).alias("n_transients"))
+    out = skew.key_join(stats, found, TRACE, "left").withColumn("n_transients", F.coalesce("n_transients", F.lit(0)))
     return out.withColumn("rate", F.col("n_transients") / (F.col("n_frames") / (fps * 60)))
 
 
