@@ -129,3 +129,16 @@ def test_maps_are_composed_over_levels(spark):
         assert got["a", b] == pytest.approx(x)
         x = fa * x + fb
     assert got["b", 7] == 2.0 and len(got) == 61
+
+
+def test_result_sink_has_no_folder_per_subject(spark, tmp_path):
+    from trialweave.sources import tables as tb
+
+    df = spark.range(3000).selectExpr("concat('S', id % 1000) as Name", "id as n")
+    tb.write_results(df, f"file://{tmp_path}/out")
+    assert len(list((tmp_path / "out").glob("folder=*/*.parquet"))) == tb.RESULT_FOLDERS
+    back = tb.read_results(spark, f"file://{tmp_path}/out", "Name STRING, n BIGINT")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    one = tb.read_results(spark, f"file://{tmp_path}/out", "Name STRING, n BIGINT", only="S7")
+    assert sorted(r["n"] for r in one.collect()) == [7, 1007, 2007] and len(one.inputFiles()) >= 1
+    assert "folder" in one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]

@@ -101,7 +101,7 @@ def a7(spark, sf):
         "concat('S', user_id) Name",
         "case when abs((k - 50) / 50.0D) >= 0.66 then 'Easy' when abs((k - 50) / 50.0D) <= 0.33 then 'Hard' else 'Med' end DVstr",
     ).groupBy("Name", "DVstr").agg(F.count("*").alias("n")), path)
-    return spark.read.schema("DVstr STRING, n BIGINT, Name STRING").parquet(path)
+    return tb.read_results(spark, path, "DVstr STRING, n BIGINT, Name STRING")
 
 
 # ---- projections and filters ----------------------------------------------------------------------------------------
