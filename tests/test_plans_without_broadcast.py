@@ -71,3 +71,8 @@ def test_permuted_sessions_are_never_shuffled(spark):
     assert not re.findall(r"hashpartitioning\([^)]*\biter#[^)]*\bName#", plan)
     rows = got.collect()
     assert {r["stat"] for r in rows} == {"MFC", "LFC", "crossregion"} and all(1 / 51 <= r["p_adjusted"] <= 1 for r in rows)
+
+
+def test_trace_distribution_numbers_no_frames(spark):
+    plan = QUERIES["F34_trace_distribution"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "lineitem" in plan

@@ -617,7 +617,7 @@ def f33(spark, sf):
     f"SELECT {TR}, min(v) AS v_min, max(v) AS v_max, {qr('stddev_pop(v)')} AS v_std, {qr('max(v) - min(v)')} AS v_range FROM frames_big GROUP BY ALL",
 )
 def f34(spark, sf):
-    return _r(tr.trace_summary(fx.frames_big(spark, sf), T), [*T, "v_min", "v_max"], "v_std", "v_range")
+    return _r(tr.trace_summary(fx.trace_values(spark, sf), T), [*T, "v_min", "v_max"], "v_std", "v_range")
 
 
 _W = "region_frames f JOIN regions r ON r.area_name = f.region || '_' || f.side"
