@@ -281,3 +281,23 @@ def test_texts_of_one_template_end_soon(spark):
     began = time.time()
     assert simhash.deduplicate(df).count() == 20_000
     assert time.time() - began < 60
+
+
+def test_fingerprints_propose_pairs_and_sets_decide(spark):
+    """The stage goes by the pigeonhole index; links of fingerprints that are no pairs of the wanted similarity are left out."""
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 400, n)]
+    base = [word(120) for _ in range(12)]
+    texts = [" ".join(t) for t in base] + [" ".join([*t[:60], "other", *t[61:]]) for t in base] + ["a b c d e", "a b c d e f"]
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    got = {tuple(sorted(r)) for r in simhash.proposed(nodes, 5, 6).collect()}
+    prints = [simhash.text_fingerprint(t, 5) for t in texts]
+    apart = lambda a, b: ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count()
+    assert got and all(a != b and apart(a, b) <= 6 for a, b in got)
+    close = {(a, b) for a in range(len(texts)) for b in range(a) if apart(a, b) <= 6}
+    assert {x for p in close for x in p} <= {x for p in got for x in p}
+    none = nodes.selectExpr("node as a", "node as b").limit(0)
+    wrong = nodes.where("node = 0").selectExpr("node as a", "node + 1 as b")
+    links = [{tuple(sorted(r)) for r in jaccard.links(nodes, p, simhash.roots).collect()} for p in (none, wrong)]
+    assert links[0] == links[1] == {(k, k + 12) for k in range(12)}
+    assert len(jaccard.folded(np.arange(16, dtype=np.int64))) == 8

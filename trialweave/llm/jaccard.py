@@ -3,8 +3,8 @@
 Shingles are put in one order, those that a sample of texts shows to be common last. Two sets of the wanted similarity share one of
 the first ``n - ceil(threshold * n) + 1`` shingles of each (prefix filter), in any order, so no pair is lost. The places of the first
 shared shingle and both sizes bound the overlap, and the XOR of two parity bitmaps, a bit per shingle, bounds the difference from below;
-only pairs that both bounds leave open have their whole sets compared. Texts that share a shingle are first compared with one text of
-their group only; then every pair that is not yet linked is compared. Shingles are 64-bit hashes.
+only pairs that both bounds leave open have their whole sets compared. Pairs proposed by fingerprints are compared first, then texts that
+share a shingle with one text of their group only; then every pair that is not yet linked is compared. Shingles are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -95,6 +95,13 @@ def bitmap(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view("<i8")
 
 
+def folded(bits: np.ndarray, longs: int = 8) -> np.ndarray:
+    """A bitmap of at most so many longs: halves laid over each other."""
+    while len(bits) > longs:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
 def least_difference(a: Column, b: Column) -> Column:
     """The least size of the difference of two sets by their bitmaps; of the longer one the halves are laid over each other."""
     xor = lambda x, y: F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
@@ -126,35 +133,43 @@ def keyed(nodes: DataFrame, k: int, threshold: float, common: np.ndarray, counts
 
 
 def bitmaps(nodes: DataFrame, k: int) -> DataFrame:
-    """``node, n, bits``: size and bitmap of every set."""
+    """``node, n, bits, sketch``: size, bitmap and folded bitmap of every set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in in_parts(batches):
             sets = [shingles(t, k, known) for t in batch.column("text").to_pylist()]
-            cols = [pa.array([len(s) for s in sets], pa.int32()), pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), *cols], names=["node", "n", "bits"])
+            bits = [bitmap(s) for s in sets]
+            cols = [pa.array([len(s) for s in sets], pa.int32()), *(pa.array(x, pa.list_(pa.int64())) for x in (bits, [folded(b) for b in bits]))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *cols], names=["node", "n", "bits", "sketch"])
 
-    return nodes.select("node", "text").mapInArrow(run, "node long, n int, bits array<long>")
+    return nodes.select("node", "text").mapInArrow(run, "node long, n int, bits array<long>, sketch array<long>")
 
 
-def links(nodes: DataFrame, roots, shingle: int = 5, threshold: float = 0.8, sample_size: int = 10_000, stars: int = 2) -> DataFrame:
+def links(nodes: DataFrame, proposed: DataFrame, roots, shingle: int = 5, threshold: float = 0.8, sample_size: int = 10_000, stars: int = 1) -> DataFrame:
     """Links ``a``, ``b`` between rows of ``nodes`` (``node``, ``text``; texts differ) that give the components of all pairs whose
     similarity reaches ``threshold``; every link is such a pair. ``roots`` finds the components of links.
 
+    The pairs of ``proposed`` (``a``, ``b``) are verified first, and those that reach the threshold are links; the prefix filter then
+    compares only texts that these leave in different components.
+
     The order of shingles is fitted on about ``sample_size`` texts; any order finds every pair. Texts without words have no links; an
     empty table gives no links.
     """
     rate = min(1.0, sample_size / max(1, nodes.count()))
     drawn = nodes.where(F.shiftrightunsigned(F.xxhash64(F.lit(1), "node"), 11) * F.lit(2.0**-53) < rate)
     often = sets_of(drawn, shingle).select(F.explode("set").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c >= 3")
-    got = sorted(often.orderBy(F.desc("c"), "key").limit(100_000).collect())
-    common, counts = np.array([r[0] for r in got], dtype=np.int64), np.array([r[1] for r in got], dtype=np.int64)
+    got = often.orderBy(F.desc("c"), "key").limit(100_000).toArrow().sort_by("key")
+    common, counts = (got[c].to_numpy().astype(np.int64) for c in ("key", "c"))
     group = Window.partitionBy("key")
     shared = keyed(nodes, shingle, threshold, common, counts).withColumn("__k", F.count("*").over(group)).where("__k > 1").drop("__k")
     shared = stored(shared, "shared")
     held = stored(bitmaps(nodes, shingle), "bitmaps")
 
+    def most_apart(n: Column, n2: Column) -> Column:
+        """The greatest difference of two sets of the wanted similarity."""
+        return F.lit((1 - threshold) / (1 + threshold)) * (n + n2) + 1e-9
+
     def may(n: Column, pos: Column, n2: Column, pos2: Column) -> Column:
         """Whether two sets whose first shared shingle has these places can have the wanted similarity."""
         need = F.lit(threshold / (1 + threshold)) * (n + n2) - 1e-9
@@ -163,7 +178,7 @@ def links(nodes: DataFrame, roots, shingle: int = 5, threshold: float = 0.8, sam
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct()
         of = lambda c: held.selectExpr(f"node as {c}", f"n as n{c}", f"bits as bits{c}")
-        most = F.lit((1 - threshold) / (1 + threshold)) * (F.col("na") + F.col("nb")) + 1e-9
+        most = most_apart(F.col("na"), F.col("nb"))
         # A pair of one similarity has bitmaps of lengths that differ by a factor of two at most if the threshold is over a half.
         alike = F.greatest(F.size("bitsa"), F.size("bitsb")) > 2 * F.least(F.size("bitsa"), F.size("bitsb"))
         open_pairs = pairs.join(of("a"), "a").join(of("b"), "b").where(alike | (least_difference(F.col("bitsa"), F.col("bitsb")) <= most))
@@ -174,25 +189,23 @@ def links(nodes: DataFrame, roots, shingle: int = 5, threshold: float = 0.8, sam
         common = F.size(F.array_intersect("sa", "sb"))
         return both.where(common >= threshold * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b")
 
-    def placed(edges: DataFrame | None) -> DataFrame:
+    def placed(edges: DataFrame) -> DataFrame:
         """``shared`` with ``root``, where a key has more than one."""
-        rows = shared.withColumn("root", F.col("node"))
-        if edges is not None:
-            found = stored(roots(edges), "roots")
-            rows = shared.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        found = stored(roots(edges), "roots")
+        rows = shared.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = rows.withColumns({"__a": F.min("root").over(group), "__b": F.max("root").over(group)}).where("__a < __b")
         return stored(mixed.drop("__a", "__b"), "mixed")
 
-    edges = None
+    edges = stored(verified(proposed), "proposed")
     for turn in range(stars):
         rows = placed(edges)
         centre = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n", "pos", "root")).alias("c"))
         pairs = rows.join(centre, "key").where((F.col("root") != F.col("c.root")) & may(F.col("n"), F.col("pos"), F.col("c.n"), F.col("c.pos")))
         new = stored(verified(pairs.select(F.col("node").alias("a"), F.col("c.node").alias("b"))), "near")
-        edges = new if edges is None else edges.unionByName(new)
+        edges = edges.unionByName(new)
     rows = placed(edges)
     main = rows.groupBy("key").agg(F.mode("root", True).alias("main"))
-    rows = stored(rows.join(main, "key"), "open")
+    rows = stored(rows.join(main, "key").join(held.select("node", "sketch"), "node"), "open")
     y = rows.drop("main").alias("y")
     # Rows of a key meet by classes of size and place, so that texts of one template, whose class cannot match itself, never meet.
     kinds = rows.groupBy("key", "n", "pos").agg(F.count("*").alias("__c"))
@@ -202,5 +215,7 @@ def links(nodes: DataFrame, roots, shingle: int = 5, threshold: float = 0.8, sam
     x = rows.where("root <> main")  # one of two roots is not the main one
     x = x.join(both, ["key", "n", "pos"]).alias("x")
     apart = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("x.main")) | (F.col("x.node") < F.col("y.node")))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.n2") == F.col("y.n")) & (F.col("x.pos2") == F.col("y.pos")) & apart)
+    # Sizes that may match have sketches whose lengths differ by a factor of two at most; texts that the sketches tell apart make no row.
+    near = least_difference(F.col("x.sketch"), F.col("y.sketch")) <= most_apart(F.col("x.n"), F.col("y.n"))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.n2") == F.col("y.n")) & (F.col("x.pos2") == F.col("y.pos")) & apart & near)
     return edges.unionByName(verified(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))))

@@ -247,10 +247,23 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     return out.select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+def proposed(nodes: DataFrame, shingle: int, limit: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of rows of ``nodes`` (``node``, ``text``) that give the components of all fingerprints within ``limit`` bits: texts
+    of one fingerprint beside the smallest node of them, and these nodes of linked fingerprints."""
+    prints = stored(nodes.select("node", fingerprint(F.col("text"), shingle).alias("fp")), "node-fingerprints")
+    first = stored(prints.groupBy("fp").agg(F.min("node").alias("first")), "first-of-fingerprint")
+    same = prints.join(first, "fp").where("node <> first").selectExpr("first as a", "node as b")
+    found = stored(links(first.select("fp"), limit).distinct(), "fingerprint-links")
+    of = lambda c: first.selectExpr(f"fp as f{c}", f"first as {c}")
+    return same.unionByName(found.selectExpr("a as fa", "b as fb").join(of("a"), "fa").join(of("b"), "fb").select("a", "b"))
+
+
+def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = 0.8, limit: int = 4) -> DataFrame:
     """``df`` with one row of each near-duplicate group: that of the smallest id, null ids last, then the first as read.
 
-    Groups are the components of all pairs whose sets of ``shingle``-word shingles have a Jaccard similarity of ``threshold`` or more;
+    Groups are the components of all pairs whose sets of ``shingle``-word shingles have a Jaccard similarity of ``threshold`` or more.
+    Fingerprints of these shingles within ``limit`` bits propose pairs by the pigeonhole index; whole sets decide on them, and an exact
+    prefix filter finds the pairs of the wanted similarity whose fingerprints are further apart. Any limit gives the same groups;
     texts of the same words are one, and so are all texts without words. Columns named ``__fp`` or ``__row`` are lost.
     """
     base = without(df, "__fp", "__row")
@@ -260,7 +273,8 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
     texts = stored(ids.groupBy("__fp").agg(first.alias("keep")).select("keep.*"), "texts")
     copies = stored(ids.select("__row").join(texts.select(F.col("node").alias("__row")), "__row", "left_anti"), "copies")
     nodes = rows.join(small(copies), "__row", "left_anti").select(F.col("__row").alias("node"), F.col(text).alias("text"))
-    placed = texts.join(roots(jaccard.links(nodes, roots, shingle, threshold)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = jaccard.links(nodes, proposed(nodes, shingle, limit), roots, shingle, threshold)
+    placed = texts.join(roots(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
     keep = placed.groupBy("root").agg(F.min(F.struct("none", "doc", "node")).alias("keep")).select(F.col("keep.node").alias("__row"))
     gone = stored(ids.select("__row").join(keep, "__row", "left_anti"), "gone")
     return rows.join(small(gone), "__row", "left_anti").select(*[F.col(f"`{c}`") for c in base.columns])
