@@ -119,10 +119,12 @@ def train(
     rate = float((weight * label).sum()) if len(label) else 0.0
     if not 0 < rate < 1:
         return Model(40.0 if rate >= 1 else -40.0)
-    known, column = np.unique(np.concatenate([*rows, np.zeros(0, dtype=np.int64)]).astype(np.int64), return_inverse=True)
-    sizes = [len(r) for r in rows]
-    of = np.stack([np.bincount(column, weights=np.repeat(weight * (label == y), sizes), minlength=len(known)) for y in (0, 1)])
-    seen = np.bincount(column, minlength=len(known))
+    every, sizes = np.concatenate([*rows, np.zeros(0, dtype=np.int32)]).astype(np.int32), [len(r) for r in rows]
+    seen = np.bincount(every)
+    known = np.flatnonzero(seen)
+    of = np.stack([np.bincount(every, weights=np.repeat(weight * (label == y), sizes))[known] for y in (0, 1)])
+    seen = seen[known]
+    del every
     total, share = of.sum(axis=0), np.array([1 - rate, rate])
     gain = sum(np.where(of[k] > 0, of[k] * np.log(np.maximum(of[k], 1e-300) / np.maximum(total * share[k], 1e-300)), 0.0) for k in (0, 1))
     gain[seen < 3] = 0
