@@ -301,3 +301,68 @@ def test_fingerprints_propose_pairs_and_sets_decide(spark):
     links = [{tuple(sorted(r)) for r in jaccard.links(nodes, p, simhash.roots).collect()} for p in (none, wrong)]
     assert links[0] == links[1] == {(k, k + 12) for k in range(12)}
     assert len(jaccard.folded(np.arange(16, dtype=np.int64))) == 8
+
+
+def components_of(links, n):
+    parent = list(range(n))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def edited(rng, base, most):
+    t = list(base)
+    for _ in range(rng.randint(1, most)):
+        t[rng.randrange(len(t))] = f"edit{rng.randrange(10**6)}"
+    return " ".join(t)
+
+
+def test_links_of_a_crowd_do_not_grow_with_its_pairs(spark):
+    """Edited copies of one text, most pairs of which are alike: links stay fewer than a few per text, not per pair."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    texts = [edited(rng, base, 4) for _ in range(240)]
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    found = jaccard.links(nodes, nodes.selectExpr("node as a", "node as b").limit(0), simhash.roots).distinct().collect()
+    sets = shingle_sets(texts)
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9
+    assert all(alike(*r) for r in found) and components_of(found, 240) == jaccard_components(texts)
+    assert sum(alike(a, b) for a in range(240) for b in range(a)) > 4 * 240 > len(found)
+
+
+@pytest.mark.parametrize("stars,dense,block", [(0, 2, 3), (1, 5, 512), (0, 10**6, 512)])
+def test_units_and_joins_find_the_same_components(spark, stars, dense, block):
+    """Crowds in units of any size, texts of different sizes in one crowd, and none in units."""
+    rng = random.Random(6)
+    line, docs = [f"l{k}" for k in range(12)], []
+    for n in (8, 20, 21, 60, 150):
+        base = [f"w{rng.randrange(500)}" for _ in range(n)] + line
+        docs += [edited(rng, base, max(1, n // 30)) for _ in range(9)] + [" ".join(base[k:]) for k in range(0, n // 4, 2)]
+    docs += [" ".join([*line, f"nr{k}"]) for k in range(30)] + ["", "one word"]
+    docs = list(dict.fromkeys(docs))
+    nodes = spark.createDataFrame(list(enumerate(docs)), "node long, text string")
+    none = nodes.selectExpr("node as a", "node as b").limit(0)
+    found = jaccard.links(nodes, none, simhash.roots, stars=stars, dense=dense, block=block).collect()
+    assert components_of(found, len(docs)) == jaccard_components(docs)
+
+
+def test_counts_and_forests_of_a_unit():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(-50, 50, size=n)) * 2**40 for n in (0, 1, 5, 30, 80, 200)]
+    for width in (7, 2048):
+        got = jaccard.shared_counts(sets, sets[1:], width)
+        assert got.tolist() == [[len(np.intersect1d(x, y)) for y in sets[1:]] for x in sets]
+    assert jaccard.shared_counts([], sets).shape == (0, 6) and jaccard.spanning(np.zeros((0, 3), dtype=bool)) == []
+    for share in (0.02, 0.1, 0.9):
+        near = rng.random((40, 30)) < share
+        links = jaccard.spanning(near)
+        assert all(near[x, y] for x, y in links) and len(links) < 70
+        whole = components_of([(x, 40 + y) for x, y in np.argwhere(near).tolist()], 70)
+        assert components_of([(x, 40 + y) for x, y in links], 70) == whole

@@ -4,7 +4,8 @@ Shingles are put in one order, those that a sample of texts shows to be common l
 the first ``n - ceil(threshold * n) + 1`` shingles of each (prefix filter), in any order, so no pair is lost. The places of the first
 shared shingle and both sizes bound the overlap, and the XOR of two parity bitmaps, a bit per shingle, bounds the difference from below;
 only pairs that both bounds leave open have their whole sets compared. Pairs proposed by fingerprints are compared first, then texts that
-share a shingle with one text of their group only; then every pair that is not yet linked is compared. Shingles are 64-bit hashes.
+share a shingle with one text of their group only; then every pair that is not yet linked is compared: in small groups by a join, in
+crowds inside units of bounded size, which hold whole sets and return a spanning forest. Shingles are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -146,24 +148,106 @@ def bitmaps(nodes: DataFrame, k: int) -> DataFrame:
     return nodes.select("node", "text").mapInArrow(run, "node long, n int, bits array<long>, sketch array<long>")
 
 
-def links(nodes: DataFrame, proposed: DataFrame, roots, shingle: int = 5, threshold: float = 0.8, sample_size: int = 10_000, stars: int = 1) -> DataFrame:
+def shared_counts(xs: list[np.ndarray], ys: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of every set of ``xs`` with every one of ``ys``, by products of 0/1 blocks of ``width`` shingles."""
+    out = np.zeros((len(xs), len(ys)), dtype=np.float32)
+    flat = [np.concatenate(s) if s else np.zeros(0, dtype=np.int64) for s in (xs, ys)]
+    both = np.intersect1d(*flat)
+    if not len(both):
+        return out
+    marks = []
+    for sets, values in zip((xs, ys), flat, strict=True):
+        at = np.minimum(np.searchsorted(both, values), len(both) - 1)
+        row, known = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), both[at] == values
+        row, at = row[known], at[known]
+        order = np.argsort(at, kind="stable")
+        marks.append((len(sets), row[order], at[order]))
+    for first in range(0, len(both), width):
+        blocks = []
+        for n, row, at in marks:
+            a, b = np.searchsorted(at, (first, first + width))
+            block = np.zeros((n, width), dtype=np.float32)
+            block[row[a:b], at[a:b] - first] = 1
+            blocks.append(block)
+        out += blocks[0] @ blocks[1].T
+    return out
+
+
+def spanning(near: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (row, column) of ``near`` that give the same components of rows and columns as all of its pairs, fewer than both together."""
+    open_x, open_y, out = near.any(axis=1), near.any(axis=0), []
+    for start in np.flatnonzero(open_x):
+        if not open_x[start]:
+            continue
+        open_x[start], front = False, np.array([start])
+        while len(front):
+            reach = np.flatnonzero(near[front].any(axis=0) & open_y)
+            open_y[reach] = False
+            out += zip(front[near[np.ix_(front, reach)].argmax(axis=0)], reach, strict=True) if len(reach) else []
+            front = np.flatnonzero(near[:, reach].any(axis=1) & open_x)
+            open_x[front] = False
+            out += zip(front, reach[near[np.ix_(front, reach)].argmax(axis=1)], strict=True) if len(front) else []
+    return [(int(x), int(y)) for x, y in out]
+
+
+def in_crowds(rows: DataFrame, sets: DataFrame, threshold: float, block: int = 512, weight: int = 200_000) -> DataFrame:
+    """Links ``a``, ``b`` of the wanted similarity that join all rows of a key (``key, node, n, root, main``, the place ``pos`` of the key)
+    whose sets (``node``, ``set``) reach ``threshold`` and whose roots differ.
+
+    A key's rows meet by classes of sizes a tenth apart: rows outside of its main root come to every class that their size and place
+    leave open, where both sides are dealt to units of about ``block`` rows and ``weight`` shingles a side. A unit compares whole sets and
+    returns a spanning forest of its pairs, so rows grow with the texts and not with their pairs.
+    """
+    size_class = lambda n: F.floor(F.log(n.cast("double")) * 10).cast("int")
+    n, pos = F.col("n"), F.col("pos")
+    low = F.ceil(n * threshold - 1e-6)
+    high = F.floor(F.least((n - pos) * ((1 + threshold) / threshold) - n, n / threshold) + 1e-6)
+    ours = rows.where((F.col("root") != F.col("main")) & (high >= low)).withColumn("c", F.explode(F.sequence(size_class(low), size_class(high))))
+    ours, theirs = ours.drop("main"), rows.withColumn("c", size_class(n)).drop("main")
+
+    def units(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy("key", "c").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / weight)).cast("int").alias(name))
+
+    cells = stored(units(ours, "kx").join(units(theirs, "ky"), ["key", "c"]), "cells")
+    place = lambda k: F.pmod(F.xxhash64("node"), k).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    ours = ours.join(small(cells), ["key", "c"]).select("*", F.lit(True).alias("ours"), place(F.col("kx")).alias("i"), every("ky").alias("j"))
+    theirs = theirs.join(small(cells), ["key", "c"]).select("*", F.lit(False).alias("ours"), every("kx").alias("i"), place(F.col("ky")).alias("j"))
+
+    def unit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf["ours"]], pdf[~pdf["ours"]]
+        nx, ny = x["n"].to_numpy()[:, None], y["n"].to_numpy()[None, :]
+        room = np.minimum(nx - x["pos"].to_numpy()[:, None], ny - y["pos"].to_numpy()[None, :])
+        may = (x["root"].to_numpy()[:, None] != y["root"].to_numpy()[None, :]) & (room >= threshold / (1 + threshold) * (nx + ny) - 1e-9)
+        px, py = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
+        common = shared_counts(list(x["set"].iloc[px]), list(y["set"].iloc[py])).astype(np.float64)
+        near = may[np.ix_(px, py)] & (common >= threshold * (nx[px] + ny[:, py] - common) - 1e-9)
+        a, b = x["node"].to_numpy()[px], y["node"].to_numpy()[py]
+        return pd.DataFrame([(a[i], b[j]) for i, j in spanning(near)], columns=["a", "b"], dtype="int64")
+
+    return ours.unionByName(theirs).join(sets, "node").groupBy("key", "c", "i", "j").applyInPandas(unit, "a long, b long")
+
+
+def links(nodes: DataFrame, proposed: DataFrame, roots, shingle: int = 5, threshold: float = 0.8, sample_size: int = 10_000, stars: int = 2, dense: int = 64, block: int = 512) -> DataFrame:
     """Links ``a``, ``b`` between rows of ``nodes`` (``node``, ``text``; texts differ) that give the components of all pairs whose
     similarity reaches ``threshold``; every link is such a pair. ``roots`` finds the components of links.
 
     The pairs of ``proposed`` (``a``, ``b``) are verified first, and those that reach the threshold are links; the prefix filter then
-    compares only texts that these leave in different components.
+    compares only texts that these leave in different components. Keys shared by ``dense`` texts or more are crowds, whose texts are
+    compared in units of ``block`` by ``block`` (``in_crowds``).
 
-    The order of shingles is fitted on about ``sample_size`` texts; any order finds every pair. Texts without words have no links; an
-    empty table gives no links.
+    The order of shingles is fitted on about ``sample_size`` texts, or a quarter of them if that is more, so that the groups of a key do not
+    grow with the input; any order finds every pair. Texts without words have no links; an empty table gives no links.
     """
-    rate = min(1.0, sample_size / max(1, nodes.count()))
+    rate = min(1.0, max(sample_size / max(1, nodes.count()), 0.25))
     drawn = nodes.where(F.shiftrightunsigned(F.xxhash64(F.lit(1), "node"), 11) * F.lit(2.0**-53) < rate)
     often = sets_of(drawn, shingle).select(F.explode("set").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c >= 3")
-    got = often.orderBy(F.desc("c"), "key").limit(100_000).toArrow().sort_by("key")
+    got = often.orderBy(F.desc("c"), "key").limit(2_000_000).toArrow().sort_by("key")
     common, counts = (got[c].to_numpy().astype(np.int64) for c in ("key", "c"))
     group = Window.partitionBy("key")
-    shared = keyed(nodes, shingle, threshold, common, counts).withColumn("__k", F.count("*").over(group)).where("__k > 1").drop("__k")
-    shared = stored(shared, "shared")
+    shared = stored(keyed(nodes, shingle, threshold, common, counts).withColumn("k", F.count("*").over(group)).where("k > 1"), "shared")
+    # The text that all of a crowd are edited from has most of its keys in crowds: edits are rare, and come first in a prefix.
+    central = small(stored(shared.where(F.col("k") >= dense).groupBy("node").agg(F.sum("k").alias("w")), "central"))
     held = stored(bitmaps(nodes, shingle), "bitmaps")
 
     def most_apart(n: Column, n2: Column) -> Column:
@@ -199,23 +283,23 @@ def links(nodes: DataFrame, proposed: DataFrame, roots, shingle: int = 5, thresh
     edges = stored(verified(proposed), "proposed")
     for turn in range(stars):
         rows = placed(edges)
-        centre = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n", "pos", "root")).alias("c"))
+        rows = rows.join(central, "node", "left") if not turn else rows.withColumn("w", F.lit(None).cast("long"))
+        first = F.min(F.struct((-F.coalesce("w", F.lit(0))).alias("w"), F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n", "pos", "root"))
+        centre = rows.groupBy("key").agg(first.alias("c"))
         pairs = rows.join(centre, "key").where((F.col("root") != F.col("c.root")) & may(F.col("n"), F.col("pos"), F.col("c.n"), F.col("c.pos")))
         new = stored(verified(pairs.select(F.col("node").alias("a"), F.col("c.node").alias("b"))), "near")
         edges = edges.unionByName(new)
     rows = placed(edges)
-    main = rows.groupBy("key").agg(F.mode("root", True).alias("main"))
-    rows = stored(rows.join(main, "key").join(held.select("node", "sketch"), "node"), "open")
-    y = rows.drop("main").alias("y")
-    # Rows of a key meet by classes of size and place, so that texts of one template, whose class cannot match itself, never meet.
-    kinds = rows.groupBy("key", "n", "pos").agg(F.count("*").alias("__c"))
-    k1, k2 = kinds.alias("k1"), kinds.alias("k2")
-    both = k1.join(k2, F.col("k1.key") == F.col("k2.key")).where(may(F.col("k1.n"), F.col("k1.pos"), F.col("k2.n"), F.col("k2.pos")))
-    both = both.select(F.col("k1.key").alias("key"), F.col("k1.n").alias("n"), F.col("k1.pos").alias("pos"), F.col("k2.n").alias("n2"), F.col("k2.pos").alias("pos2"))
-    x = rows.where("root <> main")  # one of two roots is not the main one
-    x = x.join(both, ["key", "n", "pos"]).alias("x")
+    rows = stored(rows.join(rows.groupBy("key").agg(F.mode("root", True).alias("main")), "key"), "open")
+    crowds = rows.where(F.col("k") >= dense)
+    whole = sets_of(nodes.join(small(stored(crowds.select("node").distinct(), "crowded")), "node", "left_semi"), shingle)
+    found = stored(in_crowds(crowds, stored(whole, "crowd-sets"), threshold, block), "crowd-links")
+    y = rows.where(F.col("k") < dense).join(held.select("node", "sketch"), "node")
+    x, y = y.where("root <> main").alias("x"), y.drop("main").alias("y")  # one of two roots is not the main one
     apart = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("x.main")) | (F.col("x.node") < F.col("y.node")))
+    fits = may(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
     # Sizes that may match have sketches whose lengths differ by a factor of two at most; texts that the sketches tell apart make no row.
-    near = least_difference(F.col("x.sketch"), F.col("y.sketch")) <= most_apart(F.col("x.n"), F.col("y.n"))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.n2") == F.col("y.n")) & (F.col("x.pos2") == F.col("y.pos")) & apart & near)
-    return edges.unionByName(verified(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))))
+    near = F.when(fits, least_difference(F.col("x.sketch"), F.col("y.sketch")) <= most_apart(F.col("x.n"), F.col("y.n")))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & near)
+    last = verified(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    return edges.unionByName(found).unionByName(last)
