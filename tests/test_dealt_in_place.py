@@ -65,3 +65,44 @@ def test_only_rows_near_the_border_leave_their_task():
         mine = [r for r in out if r["iter"] == it]
         assert sum(r["n"] for r in mine if r["id"] is None) == below < n // 4 < sum(r["n"] for r in mine)
         assert all(u[r["id"]] == r["u"] and r["s"] == r["id"] / 2 for r in mine if r["id"] is not None)
+
+
+def test_tabled_binomials_equal_the_quantiles():
+    rng = np.random.default_rng(4)
+    n = rng.integers(0, 60, 4000)
+    a, b = rng.integers(0, 60, 4000), rng.integers(0, 60, 4000)
+    u = rng.integers(0, 1 << 32, 4000)
+    u[:200] = np.repeat([0, (1 << 32) - 1], 100)
+    rows = rng.integers(0, 4000, 4000)
+    want = draws.binomial_quantiles(n[rows], a[rows], b[rows], u / float(1 << 32))
+    assert (draws.Binomials(n, a, b).draw(rows, u) == want).all()
+
+
+def test_drawn_trimmed_means_equal_a_plain_loop(spark):
+    """Continuous values with a fifth of them missing, and few distinct ones; one group is too small for zones."""
+    rng = np.random.default_rng(6)
+    rows = [("Early", "MFC", f"S{k}", None if k % 5 == 0 else float(rng.normal())) for k in range(4000)]
+    rows += [("Late", "MFC", f"S{k}", float(rng.integers(-2, 3))) for k in range(3000)] + [("Late", "LFC", f"S{k}", float(k)) for k in range(7)]
+    d = spark.createDataFrame(rows, "Phase string, Region string, SessId string, effect double")
+    t = rs._drawn_trimmed_means(spark, d, ["Phase", "Region"], "effect", "SessId", 150, "r4")
+    got = {(r["iter"], r["Phase"], r["Region"]): r["trimmed_mean"] for r in t.collect()}
+    assert len(got) == 450
+    for p, r in (("Early", "MFC"), ("Late", "MFC"), ("Late", "LFC")):
+        v = [x[3] for x in sorted((x for x in rows if x[:2] == (p, r)), key=lambda x: (u32(x[2]), x[2]))]
+        for it in range(0, 150, 37):
+            mine = sorted(x for x in (v[u32("r4", it, p, r, k) % len(v)] for k in range(len(v))) if x is not None)
+            cut = len(mine) // 5
+            assert abs(got[it, p, r] - np.mean(mine[cut : len(mine) - cut])) < 1e-12
+
+
+def test_drawn_sessions_are_worked_on_where_they_lie(spark):
+    import re
+
+    trials = spark.createDataFrame(
+        [(f"S{s}", f"S{s}_{q}", ("MFC", "LFC")[q % 2], ("Early", "Late")[k % 2], k % 3 % 2, (k + q + s) % 3 // 2) for s in range(9) for q in range(4) for k in range(12)],
+        "Name string, SessId string, Region string, Phase string, OptoEnabled int, ChoiceCorrect int",
+    )
+    got = rs.two_region_bootstrap(spark, trials, 20)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and not re.findall(r"hashpartitioning\([^)]*\b(slot|sess_slot)#", plan)
+    assert {r["stat"] for r in got.collect()} == {"MFC", "LFC", "Delta"}
