@@ -106,3 +106,30 @@ def test_drawn_sessions_are_worked_on_where_they_lie(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and not re.findall(r"hashpartitioning\([^)]*\b(slot|sess_slot)#", plan)
     assert {r["stat"] for r in got.collect()} == {"MFC", "LFC", "Delta"}
+
+
+def test_trials_drawn_again_equal_a_plain_loop(monkeypatch):
+    """Sessions of no trial to more than a thousand, also where they are cut into parts."""
+    rng = np.random.default_rng(8)
+    n = np.r_[0, 1, 9, 10, 11, 100, 101, 1234, rng.integers(0, 40, 60)]
+    o = rng.integers(0, n + 1)
+    o1, c = rng.integers(0, o + 1), n - o
+    c1 = rng.integers(0, c + 1)
+    places = rng.integers(0, 1000, len(n)), rng.integers(0, 100_000, len(n)), rng.integers(0, 12, len(n))
+    want = []
+    for k in range(len(n)):
+        u = [u32("b3", *(p[k] for p in places), j) % n[k] for j in range(n[k])]
+        want.append((sum(x < o[k] for x in u), sum(x < o1[k] for x in u), sum(o[k] <= x < o[k] + c1[k] for x in u)))
+    for size in (draws.AT_ONCE, 64):
+        monkeypatch.setattr(draws, "AT_ONCE", size)
+        assert list(zip(*(x.tolist() for x in draws.trial_counts(b"b3", places, o, o1, c, c1)), strict=True)) == want
+
+
+def test_drawn_trials_are_no_rows(spark):
+    """Trials are drawn and counted in the task of their subject, with each trial and with counts."""
+    trials = spark.createDataFrame([(f"S{s}", f"S{s}_{q}", k % 3 % 2, (k + q + s) % 3 // 2) for s in range(9) for q in range(4) for k in range(12)], "Name string, SessId string, OptoEnabled int, ChoiceCorrect int")
+    for each in (True, False):
+        got = rs.hierarchical_bootstrap(spark, trials, 20, each_trial=each)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "sess_slot#" not in plan
+        assert got.count() == 20
